@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import simhash
+from quillspark.llm import bpe, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +23,26 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _tokenizer(name: str) -> str:
+    """The place of a public tokenizer file on the machine that asks; TOKENIZER_DIR may name another folder."""
+    if os.environ.get("TOKENIZER_DIR"):
+        return os.path.join(os.environ["TOKENIZER_DIR"], name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of all documents, and what they decode to, as digests."""
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    locate = partial(_tokenizer, "byte_bpe_multi_50k.tiktoken")
+    return bpe.digest_documents(docs, locate, public_tokenizers.PATTERN).drop("text")
+
+
 def queries():
-    return {"op1_simhash": op1_simhash}
+    return {"op1_simhash": op1_simhash, "op9_byte_bpe": op9_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
