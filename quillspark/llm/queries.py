@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, simhash
+from quillspark.llm import bpe, langid, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents by hyperdimensional profiles."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def _tokenizer(name: str) -> str:
     """The place of a public tokenizer file on the machine that asks; TOKENIZER_DIR may name another folder."""
     if os.environ.get("TOKENIZER_DIR"):
@@ -42,7 +48,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_simhash": op1_simhash, "op9_byte_bpe": op9_byte_bpe}
+    return {"op1_simhash": op1_simhash, "op5_language_id": op5_language_id, "op9_byte_bpe": op9_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
