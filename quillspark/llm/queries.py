@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, langid, simhash
+from quillspark.llm import bpe, html, langid, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages by consensus host paths."""
+    return html.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def _tokenizer(name: str) -> str:
     """The place of a public tokenizer file on the machine that asks; TOKENIZER_DIR may name another folder."""
     if os.environ.get("TOKENIZER_DIR"):
@@ -48,7 +53,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_simhash": op1_simhash, "op5_language_id": op5_language_id, "op9_byte_bpe": op9_byte_bpe}
+    """Every query by name."""
+    return {f.__name__: f for f in (op1_simhash, op5_language_id, op6_html_extraction, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
