@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, html, langid, simhash
+from quillspark.llm import bpe, html, langid, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents by a learned lexicon in context windows."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score_documents(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents by hyperdimensional profiles."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -54,7 +61,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     """Every query by name."""
-    return {f.__name__: f for f in (op1_simhash, op5_language_id, op6_html_extraction, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op4_toxicity, op5_language_id, op6_html_extraction, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
