@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, html, langid, simhash, toxicity
+from quillspark.llm import bpe, embeddings, html, langid, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings with cosine of 0.9 or more."""
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def _tokenizer(name: str) -> str:
     """The place of a public tokenizer file on the machine that asks; TOKENIZER_DIR may name another folder."""
     if os.environ.get("TOKENIZER_DIR"):
@@ -61,7 +66,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     """Every query by name."""
-    return {f.__name__: f for f in (op1_simhash, op4_toxicity, op5_language_id, op6_html_extraction, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op4_toxicity, op5_language_id, op6_html_extraction, op8_embeddings, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
