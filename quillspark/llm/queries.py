@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, embeddings, html, langid, simhash, toxicity
+from quillspark.llm import bpe, embeddings, html, langid, licenses, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,9 +64,14 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(docs, locate, public_tokenizers.PATTERN).drop("text")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in all documents."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def queries():
     """Every query by name."""
-    return {f.__name__: f for f in (op1_simhash, op4_toxicity, op5_language_id, op6_html_extraction, op8_embeddings, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op4_toxicity, op5_language_id, op6_html_extraction, op8_embeddings, op9_byte_bpe, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
