@@ -3,8 +3,8 @@
 A pre-token's merges run on a rank queue: one bucket per merge rank holds positions of a linked list, a
 two-level bitmap marks the ranks whose buckets hold something, find-first-set gives the next rank, and
 positions that an earlier merge has changed are skipped. A pre-token of n bytes takes time in proportion to
-n, which also suits very long ones. Pieces of text between single spaces are split and encoded once per
-worker and then looked up in two bounded generations of a cache.
+n, which also suits very long ones. The ids of short pre-tokens are remembered by each
+worker in two bounded generations of a cache.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import base64
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 import regex
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 SPLIT_BITS = 10
 MASK = (1 << SPLIT_BITS) - 1
-CACHE_ROWS = 150_000
+CACHE_ROWS = 400_000
 CACHE_KEY_CHARS = 64
 
 
@@ -107,60 +108,41 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.tokens = {r: t for t, r in ranks.items()}
-        self.gaps = regex.compile(r"\s\s|^\s|\s\Z").search
-        self.young: dict[str, tuple[str, int, bytes]] = {}
-        self.old: dict[str, tuple[str, int, bytes]] = {}
-        self.young_ids: dict[str, list[int]] = {}
-        self.old_ids: dict[str, list[int]] = {}
+        self.digits = {r: str(r) for r in ranks.values()}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of a text, each match of the pattern on its own."""
-        return [i for m in self.split(text) for i in self.match(m)]
-
-    def match(self, text: str) -> list[int]:
+    def match(self, text: str) -> tuple[int, ...]:
         """The ids of one match of the pattern, remembered if short."""
-        found = self.young_ids.get(text)
+        found = self.young.get(text)
         if found is None:
-            found = self.old_ids.get(text)
+            found = self.old.get(text)
             if found is None:
-                found = merge(text.encode("utf-8", "replace"), self.ranks)
+                found = tuple(merge(text.encode("utf-8", "replace"), self.ranks))
             if len(text) <= CACHE_KEY_CHARS:
-                if len(self.young_ids) >= CACHE_ROWS:
-                    self.old_ids, self.young_ids = self.young_ids, {}
-                self.young_ids[text] = found
+                if len(self.young) >= CACHE_ROWS:
+                    self.old, self.young = self.young, {}
+                self.young[text] = found
         return found
 
+    def encode(self, text: str) -> list[int]:
+        """The ids of a text, each match of the pattern on its own."""
+        matches = self.split(text)
+        found = list(map(self.young.get, matches))
+        if None in found:
+            match = self.match
+            found = [match(m) if f is None else f for m, f in zip(matches, found)]
+        return list(chain.from_iterable(found))
+
     def decode(self, ids: list[int]) -> bytes:
         """The bytes that ids stand for."""
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def piece(self, text: str) -> tuple[str, int, bytes]:
-        """A piece's ids joined by commas, their number, and the bytes that they decode to."""
-        found = self.old.get(text)
-        if found is None:
-            ids = self.encode(text)
-            found = (",".join(map(str, ids)), len(ids), self.decode(ids))
-        if len(text) <= CACHE_KEY_CHARS:
-            if len(self.young) >= CACHE_ROWS:
-                self.old, self.young = self.young, {}
-            self.young[text] = found
-        return found
-
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, and SHA-256 of the ids' text and of the decoded bytes."""
-        if not text:
-            pieces = []
-        elif self.gaps(text):
-            pieces = [self.piece(m) for m in self.split(text)]
-        else:  # single spaces between other characters always begin a pre-token
-            first, *rest = text.split(" ")
-            get, piece = self.young.get, self.piece  # a generation may pass meanwhile; its rows stay right
-            pieces = [piece(first)]
-            for word in rest:
-                word = " " + word
-                pieces.append(get(word) or piece(word))
-        ids = hashlib.sha256(",".join([p[0] for p in pieces]).encode()).hexdigest()
-        return sum([p[1] for p in pieces]), ids, hashlib.sha256(b"".join([p[2] for p in pieces])).hexdigest()
+        ids = self.encode(text)
+        written = hashlib.sha256(",".join(map(self.digits.__getitem__, ids)).encode()).hexdigest()
+        return len(ids), written, hashlib.sha256(self.decode(ids)).hexdigest()
 
 
 @lru_cache(maxsize=2)
