@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, embeddings, html, langid, licenses, simhash, toxicity
+from quillspark.llm import bpe, embeddings, html, langid, licenses, lines, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of lines within two edits over all documents, and which line of each is kept."""
+    return lines.line_classes(_table(spark, sf_dir, "documents"), k=2, min_chars=32)
+
+
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings with cosine of 0.9 or more."""
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.9)
@@ -71,7 +76,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     """Every query by name."""
-    return {f.__name__: f for f in (op1_simhash, op4_toxicity, op5_language_id, op6_html_extraction, op8_embeddings, op9_byte_bpe, op10_licenses)}
+    return {f.__name__: f for f in (op1_simhash, op4_toxicity, op5_language_id, op6_html_extraction, op7_line_dedup, op8_embeddings, op9_byte_bpe, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
