@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, embeddings, html, langid, licenses, lines, simhash, toxicity
+from quillspark.llm import bpe, decontaminate, embeddings, html, langid, licenses, lines, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item or an edited copy of one."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents by a learned lexicon in context windows."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -76,7 +81,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     """Every query by name."""
-    return {f.__name__: f for f in (op1_simhash, op4_toxicity, op5_language_id, op6_html_extraction, op7_line_dedup, op8_embeddings, op9_byte_bpe, op10_licenses)}
+    return {f.__name__: f for f in (op1_simhash, op3_decontamination, op4_toxicity, op5_language_id, op6_html_extraction, op7_line_dedup, op8_embeddings, op9_byte_bpe, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
