@@ -65,13 +65,24 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of all documents, and what they decode to, as digests."""
+def encode_digests(docs: DataFrame) -> DataFrame:
+    """docs with n_tokens, ids_sha256 and decoded_sha256."""
     import public_tokenizers
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     locate = partial(_tokenizer, "byte_bpe_multi_50k.tiktoken")
-    return bpe.digest_documents(docs, locate, public_tokenizers.PATTERN).drop("text")
+    return bpe.digest_documents(docs, locate, public_tokenizers.PATTERN)
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of all documents, and what they decode to, as digests."""
+    return encode_digests(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of the corpus pipeline over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +92,19 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     """Every query by name."""
-    return {f.__name__: f for f in (op1_simhash, op3_decontamination, op4_toxicity, op5_language_id, op6_html_extraction, op7_line_dedup, op8_embeddings, op9_byte_bpe, op10_licenses)}
+    found = (
+        op1_simhash,
+        op3_decontamination,
+        op4_toxicity,
+        op5_language_id,
+        op6_html_extraction,
+        op7_line_dedup,
+        op8_embeddings,
+        op9_byte_bpe,
+        op10_licenses,
+        pipeline,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
