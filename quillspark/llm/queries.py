@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, decontaminate, embeddings, html, langid, licenses, lines, simhash, toxicity
+from quillspark.llm import bpe, decontaminate, embeddings, html, langid, licenses, lines, pii, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    found = pii.find_spans(_table(spark, sf_dir, "documents"))
+    counts = [f"n_{kind}" for kind in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item or an edited copy of one."""
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -94,6 +101,7 @@ def queries():
     """Every query by name."""
     found = (
         op1_simhash,
+        op2_pii,
         op3_decontamination,
         op4_toxicity,
         op5_language_id,
