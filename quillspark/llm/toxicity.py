@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import hash_bound, is_training
@@ -181,6 +181,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where("text is not null").select("text", "toxic")
 
 
+def _stems(size: int) -> Column:
+    """The first letters of all longer words, with * for the rest."""
+    longer = F.filter("words", lambda w: F.length(w) > size)
+    return F.transform(longer, lambda w: F.concat(F.substring(w, 1, size), F.lit("*")))
+
+
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     """Terms and weights (log odds) from (text, toxic)."""
     sizes = rows.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") != 1)).first()
@@ -188,10 +194,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     if not good or not bad:
         return {}
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1))
-    stems = [
-        F.transform(F.filter("words", lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*")))
-        for k in STEMS
-    ]
+    stems = [_stems(k) for k in STEMS]
     rows = rows.select("toxic", words.alias("words"))
     terms = rows.select("toxic", F.explode(F.array_distinct(F.concat("words", *stems))).alias("term"))
     counts = terms.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count_if(F.col("toxic") != 1).alias("q"))
