@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import components, merge_links, spread_buckets, stash
 
 TILE = 512
+#: So many rows of buckets are compared in one call, or one split bucket.
+GROUP_ROWS = 8192
 QUANTUM = 2.0
 MISS = 0.02
 
@@ -76,26 +78,34 @@ def hashed(units: DataFrame, width: int, tables: int, quantum: float = QUANTUM,
 
 
 def compare(rows: pd.DataFrame, table: int, across: bool, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For one bucket: counts of new links by row, summed over copies, and for every row the first row it reaches."""
-    x, keys = np.stack(rows["u"].to_numpy()), np.stack(rows["keys"].to_numpy())[:, :table]
-    copies, tile = rows["copies"].to_numpy(), rows["tile"].to_numpy()
+    """For one bucket: ids that have links, the id that each leads to, and the number of new links, summed over copies.
+
+    A link is new where the pair shares no bucket of an earlier table.
+    """
+    x, tile = np.stack(rows["u"].to_numpy()), rows["tile"].to_numpy() if across else None
+    ids, copies, keys = rows["id"].to_numpy(), rows["copies"].to_numpy(), None
     links, label = np.zeros(len(x), np.int64), np.arange(len(x))
     for a in range(0, len(x), TILE):
         for b in range(a, len(x), TILE):
             near = x[a : a + TILE] @ x[b : b + TILE].T >= least
-            if across:
+            if tile is not None:
                 near &= tile[a : a + TILE][:, None] != tile[b : b + TILE][None, :]
             i, j = np.nonzero(near)
             i, j = i + a, j + b
             own = i < j
             i, j = i[own], j[own]
+            if not len(i):
+                continue
             label = merge_links(label, i, j)
+            if keys is None:
+                keys = np.stack(rows["keys"].to_numpy())
             new = np.ones(len(i), bool)
             for t in range(table):
                 new[new] = keys[i[new], t] != keys[j[new], t]
             np.add.at(links, i[new], copies[j[new]])
             np.add.at(links, j[new], copies[i[new]])
-    return links, label, np.arange(len(x))
+    some = (links > 0) | (label != np.arange(len(x)))
+    return ids[some], ids[label[some]], links[some]
 
 
 def near_duplicates(
@@ -125,16 +135,17 @@ def near_duplicates(
     spots = spots.select("id", "t", F.xxhash64("t", "key").alias("bucket"))
     shared = stash(spots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
     spots = stash(spots.join(shared, "bucket").withColumn("salt", F.xxhash64("id")))
-    spread = spread_buckets(spots, split_rows).join(keyed, "id")
+    shares = max(1, math.ceil(spots.count() / GROUP_ROWS))
+    spread = spread_buckets(spots, split_rows)
+    spread = spread.withColumn("share", F.pmod(F.xxhash64("bucket", "lo", "hi"), F.lit(shares))).join(keyed, "id")
 
-    def links(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        counts, label, own = compare(part, int(part["t"].iloc[0]), key[1] != key[2], least)
-        ids = part["id"].to_numpy()
-        some = (counts > 0) | (label != own)
-        return pd.DataFrame({"a": ids[some], "b": ids[label[some]], "links": counts[some]})
+    def links(part: pd.DataFrame) -> pd.DataFrame:
+        out = [compare(rows, int(rows["t"].iloc[0]), lo != hi, least) for (_, lo, hi), rows in part.groupby(["bucket", "lo", "hi"], sort=False)]
+        a, b, counts = (np.concatenate(x) for x in zip(*out))
+        return pd.DataFrame({"a": a, "b": b, "links": counts})
 
-    spread = spread.select("bucket", "lo", "hi", "t", "tile", "id", "u", "keys", "copies")
-    found = stash(spread.groupBy("bucket", "lo", "hi").applyInPandas(links, "a long, b long, links long"))
+    spread = spread.select("share", "bucket", "lo", "hi", "t", "tile", "id", "u", "keys", "copies")
+    found = stash(spread.groupBy("share").applyInPandas(links, "a long, b long, links long"))
     sums = found.groupBy("a").agg(F.sum("links").alias("links")).select(F.col("a").alias("id"), "links")
     heads = components(found.select("a", "b")).withColumnRenamed("node", "id")
     named = nodes.join(sums, "id", "left").join(heads, "id", "left")
