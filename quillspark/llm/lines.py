@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import components, stash
 
 LAST = 9223372036854775807
+#: Up to so many ids of candidate pairs, lines are filtered by a broadcast of the ids before they are shuffled.
+BROADCAST_IDS = 1_000_000
 
 
 def explode_lines(docs: DataFrame) -> DataFrame:
@@ -83,8 +85,13 @@ def links(nodes: DataFrame, k: int, hot: int = 32) -> DataFrame:
     busy = stash(entered.groupBy("key").count().where(F.col("count") > hot).select("key"))
     pair = (F.col("x.id") != F.col("y.id"), F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     calm_in, calm_ask = entered.join(busy, "key", "left_anti"), asked.join(busy, "key", "left_anti")
-    met = calm_in.alias("x").join(calm_ask.alias("y"), (F.col("x.key") == F.col("y.key")) & pair[0]).select(*pair[1:]).distinct()
+    # no key has more than `hot` entries here, so that the side of the entries fits a hash table
+    met = calm_ask.alias("y").join(calm_in.hint("shuffle_hash").alias("x"), (F.col("x.key") == F.col("y.key")) & pair[0])
+    met = stash(met.select(*pair[1:]).distinct())
+    needed = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = nodes.select("id", "line")
+    if needed.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(needed), "id", "left_semi")
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("left"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("right"))
     near = F.levenshtein("left", "right", k) >= 0
