@@ -77,8 +77,9 @@ class Profiler:
             found = self.place[codes]
         return found
 
-    def grams(self, text: str) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Table rows of a part's n-grams, the vectors' sum of those without a row, and whether it has a letter."""
+    def grams(self, text: str) -> tuple[np.ndarray, np.ndarray, bool, str]:
+        """Table rows of a part's n-grams, the vectors' sum of those without a row, whether it has a letter, and its last
+        characters, with one space for each run of others than letters, for n-grams that go on in the next part."""
         codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
         at = self.places(codes)
         seen = bool(at.any())
@@ -86,8 +87,9 @@ class Profiler:
         keep[1:] = (at[1:] != 0) | (at[:-1] != 0)
         at, codes = at[keep], codes[keep]
         rest = np.zeros(self.dimensions, np.float32)
+        tail = "".join(chr(c) if a else " " for c, a in zip(codes[1 - GRAM :], at[1 - GRAM :]))
         if len(at) < GRAM:
-            return np.zeros(0, np.int32), rest, seen
+            return np.zeros(0, np.int32), rest, seen, tail
         if (at == COMMON).any():
             rare = (at[:-2] == COMMON) | (at[1:-1] == COMMON) | (at[2:] == COMMON)
             codes = np.where(at == 0, SPACE, codes)
@@ -112,7 +114,7 @@ class Profiler:
                 for k in range(0, len(odd), 4096):
                     rest += counts[k : k + 4096].astype(np.float32) @ self.bind(self.spell(odd[k : k + 4096]))
                 rows = rows[rows >= 0]
-        return rows, rest, seen
+        return rows, rest, seen, tail
 
     def spell(self, keys: np.ndarray) -> np.ndarray:
         """The code points of the n-grams with these keys."""
@@ -126,11 +128,10 @@ class Profiler:
         counts = []
         for i, text in enumerate(texts):
             text, count = text or "", np.zeros(0, np.int64)
+            tail = " "
             for start in range(0, len(text), SCAN_CHARS):
-                low = max(0, start - GRAM + 1)  # n-grams across two parts are counted in the later one
-                part = text[low : start + SCAN_CHARS].lower()
-                part = (" " if low == 0 else "") + part + (" " if start + SCAN_CHARS >= len(text) else "")
-                rows, rest, has = self.grams(part)
+                part = tail + text[start : start + SCAN_CHARS].lower() + (" " if start + SCAN_CHARS >= len(text) else "")
+                rows, rest, has, tail = self.grams(part)
                 more = np.bincount(rows, minlength=len(count))
                 more[: len(count)] += count
                 count, seen[i] = more, seen[i] or has
@@ -172,7 +173,8 @@ def train(docs: DataFrame, bound: int = TRAINING_BOUND, dimensions: int = DIMENS
                 for one, has, lang in zip(units, seen, part["lang"]):
                     if has:
                         total[lang] = total.get(lang, 0) + one.astype(np.float64)
-        yield pd.DataFrame({"lang": list(total), "v": [x.tolist() for x in total.values()]})
+        if total:
+            yield pd.DataFrame({"lang": list(total), "v": [x.tolist() for x in total.values()]})
 
     parts = drawn.select("text", "lang").mapInPandas(sums, "lang string, v array<double>")
     whole = parts.select("lang", F.posexplode("v").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x"))
