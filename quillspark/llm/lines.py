@@ -3,8 +3,8 @@
 Equal lines are one node. A node of n characters is cut into k + 1 segments of about equal length: two lines within k edits
 share a segment, at places that the lengths and the segment's number confine to a few. Every node enters its segments into
 an index and probes the index, with those substrings, for nodes of its own length and up to k shorter. Pairs that meet are
-verified by edit distance computed in a band of width 2 k + 1 (`levenshtein` with a threshold). A substring that very many
-nodes share is joined with the texts at hand, so that only verified pairs leave the join.
+verified in two steps: blocks of one must stand in the other, and then the edit automaton runs bit-parallel in a band of
+width 2 k + 1. A substring that very many nodes share is joined with the texts at hand, so that few pairs leave the join.
 """
 
 from __future__ import annotations
@@ -78,6 +78,53 @@ def letters_parity() -> Column:
     )
 
 
+def blocks_agree(left: str, right: str, k: int, blocks: int = 8) -> Column:
+    """A condition that texts within k edits always meet: of so many blocks of one, all but k stand in the other, moved by k at most."""
+    n = F.length(left)
+    found = F.lit(0)
+    for i in range(blocks):
+        start, size = cut(n, blocks - 1, i)
+        around = F.substring(right, F.greatest(start - k, F.lit(1)), size + k + F.least(start - 1, F.lit(k)))
+        found = found + F.when(F.instr(around, F.substring(left, start, size)) > 0, 1).otherwise(0)
+    return (F.abs(n - F.length(right)) <= k) & (found >= blocks - k)
+
+
+def within_edits(left: str, right: str, k: int) -> Column:
+    """Whether two texts are within k edits, by bit-parallel simulation of the edit automaton in a band.
+
+    After i characters of right, bit r of vector e tells whether the first i - k + r characters of left can have become them by e
+    edits; a character keeps a bit (match or substitution), moves it down (insertion), and a deletion moves it up.
+    """
+    full, one = (1 << (2 * k + 1)) - 1, F.lit(1)
+    first = [1 << k]
+    for _ in range(k):
+        first.append((first[-1] | first[-1] << 1) & full)
+    start = F.struct(F.split(left, "").alias("a"), F.split(right, "").alias("b"), *(F.lit(v).alias(f"e{e}") for e, v in enumerate(first)))
+
+    def step(acc: Column, i: Column) -> Column:
+        c = F.get(acc["b"], i)
+        same = F.lit(0)
+        for r in range(2 * k + 1):
+            same = same + F.when(F.get(acc["a"], i + (r - k)) == c, 1 << r).otherwise(0)
+        moved = [acc["e0"].bitwiseAND(same)]
+        for e in range(1, k + 1):
+            low, up = acc[f"e{e - 1}"], F.shiftleft(moved[-1], 1)
+            now = acc[f"e{e}"].bitwiseAND(same).bitwiseOR(low).bitwiseOR(F.shiftright(low, 1)).bitwiseOR(up)
+            moved.append(now.bitwiseAND(F.lit(full)))
+        return F.struct(acc["a"].alias("a"), acc["b"].alias("b"), *(v.alias(f"e{e}") for e, v in enumerate(moved)))
+
+    # a negative index is out of range, not counted from the end: F.get gives null for it
+    last = F.length(right) - one
+    end = F.aggregate(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), start, step)[f"e{k}"]
+    at = F.length(left) - F.length(right) + k
+    return at.between(0, 2 * k) & (F.when(at.between(0, 2 * k), end).otherwise(0).bitwiseAND(_bit(at, k)) != 0)
+
+
+def _bit(at: Column, k: int) -> Column:
+    """1 shifted by at, for at from 0 to 2 k."""
+    return F.coalesce(*(F.when(at == r, 1 << r) for r in range(2 * k + 1)), F.lit(0))
+
+
 def links(nodes: DataFrame, k: int, hot: int = 32) -> DataFrame:
     """(a, b), a < b by id, for all pairs of nodes (id, line, n) within k edits, each pair once."""
     entered = nodes.select("id", F.explode(index_keys(k)).alias("key"))
@@ -94,7 +141,7 @@ def links(nodes: DataFrame, k: int, hot: int = 32) -> DataFrame:
         texts = texts.join(F.broadcast(needed), "id", "left_semi")
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("left"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("right"))
-    near = F.levenshtein("left", "right", k) >= 0
+    near = blocks_agree("left", "right", k) & within_edits("left", "right", k)
     calm = met.join(left, "a").join(right, "b").where(near).select("a", "b")
     marked = stash(entered.join(busy, "key", "left_semi").withColumn("enters", F.lit(True)).union(
         asked.join(busy, "key", "left_semi").withColumn("enters", F.lit(False))
@@ -103,8 +150,9 @@ def links(nodes: DataFrame, k: int, hot: int = 32) -> DataFrame:
     full = stash(marked.join(full.select("id", "line", "parity"), "id"))
     x, y = full.where("enters").alias("x"), full.where("not enters").alias("y")
     close = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))) <= 2 * k
-    close &= F.levenshtein(F.col("x.line"), F.col("y.line"), k) >= 0
-    held = x.join(y, (F.col("x.key") == F.col("y.key")) & pair[0] & close).select(*pair[1:])
+    close &= blocks_agree("x.line", "y.line", k)
+    held = x.join(y, (F.col("x.key") == F.col("y.key")) & pair[0] & close)
+    held = held.where(within_edits("x.line", "y.line", k)).select(*pair[1:])
     return calm.union(held).distinct()
 
 
