@@ -19,6 +19,10 @@ LAST = 9223372036854775807
 BROADCAST_IDS = 1_000_000
 
 
+#: Up to so many lost line numbers are broadcast to the documents, whose texts are then not shuffled.
+BROADCAST_LINES = 2_000_000
+
+
 def explode_lines(docs: DataFrame) -> DataFrame:
     """(doc, line_no, line) for the lines of every text; doc is doc_id, or the largest long where that is null."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc")
@@ -197,7 +201,9 @@ def drop_repeated(docs: DataFrame, k: int = 2, min_chars: int = 32) -> DataFrame
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     lost = found.where("not kept").select(doc.alias("__doc"), "line_no").distinct()
     lost = lost.groupBy("__doc").agg(F.collect_set("line_no").alias("__lost"))
-    joined = docs.withColumn("__doc", doc).join(stash(lost), "__doc", "left").drop("__doc")
+    lost = stash(lost)
+    few = (lost.agg(F.sum(F.size("__lost"))).first()[0] or 0) <= BROADCAST_LINES
+    joined = docs.withColumn("__doc", doc).join(F.broadcast(lost) if few else lost, "__doc", "left").drop("__doc")
     parts = F.split("text", "\n", -1)
     places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__lost")
     rest = F.transform(places, lambda i: F.get("__parts", i))
