@@ -145,8 +145,9 @@ def links(nodes: DataFrame, k: int, hot: int = 32) -> DataFrame:
         texts = texts.join(F.broadcast(needed), "id", "left_semi")
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("left"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("right"))
-    near = blocks_agree("left", "right", k) & within_edits("left", "right", k)
-    calm = met.join(left, "a").join(right, "b").where(near).select("a", "b")
+    # written out between the two steps, so that the costly one sees only what passes the other
+    some = stash(met.join(left, "a").join(right, "b").where(blocks_agree("left", "right", k)))
+    calm = some.where(within_edits("left", "right", k)).select("a", "b")
     marked = stash(entered.join(busy, "key", "left_semi").withColumn("enters", F.lit(True)).union(
         asked.join(busy, "key", "left_semi").withColumn("enters", F.lit(False))
     ))
@@ -156,7 +157,8 @@ def links(nodes: DataFrame, k: int, hot: int = 32) -> DataFrame:
     close = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))) <= 2 * k
     close &= blocks_agree("x.line", "y.line", k)
     held = x.join(y, (F.col("x.key") == F.col("y.key")) & pair[0] & close)
-    held = held.where(within_edits("x.line", "y.line", k)).select(*pair[1:])
+    held = stash(held.select(*pair[1:], F.col("x.line").alias("left"), F.col("y.line").alias("right")).dropDuplicates(["a", "b"]))
+    held = held.where(within_edits("left", "right", k)).select("a", "b")
     return calm.union(held).distinct()
 
 
