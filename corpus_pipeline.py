@@ -26,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each near-duplicate group."""
-    return simhash.keep_one(docs, width=3, radius=2)
+    """One document, that with the smallest doc_id, of each group linked by similarities of 0.8 or more in five-word shingles."""
+    return simhash.keep_one(docs, width=5, radius=20, least=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,9 @@ Fingerprints are compared exactly, tile against tile, with numpy exclusive-or an
 population counts differ by more than the radius are skipped. Two fingerprints within the radius r agree
 in at least one of r + 1 blocks of bits, so tiles are only drawn from fingerprints that share a hash
 bucket of a block, and the work grows with the input rather than with its square.
+
+Similarities of 0.8 or more need some 20 bits, for which 64 bits hold no selective blocks: there, tiles are drawn from
+texts that share a band of minimum hashes, and pairs within the radius are verified by their sets of shingles.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from quillspark.llm.common import components, merge_links, spread_buckets, stash
 
 WORDS_AT_ONCE = 1 << 16
 TILE = 512
+#: Minimum hashes: a pair at similarity 0.8 shares none of 24 bands of 4 with chance 0.000003.
+BANDS, BAND_ROWS = 24, 4
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -112,13 +117,137 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles in order; none for a text without words."""
+    words = text.encode("utf-8", "replace").lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(width)))) if len(words) >= width else [b" ".join(words)]
+    return np.unique(np.frombuffer(b"".join(map(xxh64_digest, shingles, repeat(42))), np.uint64))
+
+
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """The Jaccard similarity of two sorted sets of hashes; two empty ones are alike."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of a set's minimum hashes."""
+    factors = np.random.default_rng(5).integers(0, 1 << 63, (BANDS * BAND_ROWS, 2)).astype(np.uint64)
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for start in range(0, len(hashes), 4096):
+            mixed = hashes[start : start + 4096, None] * (factors[:, 0] * np.uint64(2) + np.uint64(1)) + factors[:, 1]
+            np.minimum(least, mixed.min(axis=0), out=least)
+        keys = np.arange(BANDS, dtype=np.uint64)
+        for part in least.reshape(BANDS, BAND_ROWS).T:
+            keys = (keys ^ part) * np.uint64(0x9E3779B97F4A7C15)
+            keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def near_pairs(rows: pd.DataFrame, radius: int, across: bool, star: bool) -> pd.DataFrame:
+    """Pairs (a, b) of different labels that share a key and are within the radius; across: of different tiles too.
+
+    star: not all of them, but of each group that they join, every member with one other.
+    """
+    rows = rows.sort_values(["key", "id"])
+    ids, keys, tile, label = (rows[c].to_numpy() for c in ("id", "key", "tile", "label"))
+    fps, group, found = rows["fp"].to_numpy().view(np.uint64), np.arange(len(rows)), []
+    for a in range(0, len(rows), TILE):
+        x, last = slice(a, a + TILE), keys[min(a + TILE, len(rows)) - 1]
+        for b in range(a, len(rows), TILE):
+            if keys[b] > last:
+                break
+            y = slice(b, b + TILE)
+            near = (keys[x, None] == keys[None, y]) & (label[x, None] != label[None, y])
+            near &= np.bitwise_count(fps[x, None] ^ fps[None, y]) <= radius
+            if across:
+                near &= tile[x, None] != tile[None, y]
+            i, j = np.nonzero(near)
+            i, j = i + a, j + b
+            own = i < j
+            if star:
+                group = merge_links(group, i[own], j[own])
+            else:
+                found.append(np.stack([ids[i[own]], ids[j[own]]]))
+    if star:
+        moved = np.nonzero(group != np.arange(len(rows)))[0]
+        found = [np.stack([ids[moved], ids[group[moved]]])]
+    a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+
+def similar_links(texts: DataFrame, width: int, radius: int, least: float, split_rows: int = 8192) -> DataFrame:
+    """Links (a, b) among texts (id, text) whose components are those of all candidate pairs of a similarity of `least` or more.
+
+    First each candidate is verified against one other of its group, then every candidate pair that those links leave apart.
+    """
+
+    @F.pandas_udf("fp long, bands array<long>")
+    def described(texts: pd.Series) -> pd.DataFrame:
+        bands = [band_keys(shingle_hashes(t, width)).view(np.int64) for t in texts]
+        return pd.DataFrame({"fp": pd.Series([fingerprint(t, width) for t in texts], dtype="int64"), "bands": bands})
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(t, width).view(np.int64) for t in texts])
+
+    @F.pandas_udf("boolean")
+    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        pairs = zip(left, right)
+        return pd.Series([similarity(np.asarray(x).view(np.uint64), np.asarray(y).view(np.uint64)) >= least for x, y in pairs], dtype=bool)
+
+    nodes = stash(texts.select("id", described("text").alias("d")).select("id", "d.fp", "d.bands"))
+    entered = nodes.select("id", "fp", F.explode("bands").alias("key"))
+    shared = entered.groupBy("key").count().where("count > 1").select("key")
+    entered = stash(entered.join(shared, "key"))
+    buckets = max(1, entered.count() // 2048)
+    few = texts.join(entered.select("id").distinct(), "id", "left_semi")
+    sets = stash(few.select("id", shingles("text").alias("set")))
+
+    def round_of(labelled: DataFrame, star: bool) -> DataFrame:
+        def pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            return near_pairs(rows, radius, key[1] != key[2], star)
+
+        spread = labelled.withColumns({"bucket": F.pmod("key", F.lit(buckets)), "salt": F.xxhash64("id")})
+        spread = spread_buckets(spread, split_rows)
+        met = stash(spread.groupBy("bucket", "lo", "hi").applyInPandas(pairs, "a long, b long").distinct())
+        met = met.join(sets.select(F.col("id").alias("a"), F.col("set").alias("left")), "a")
+        met = met.join(sets.select(F.col("id").alias("b"), F.col("set").alias("right")), "b")
+        return stash(met.where(alike("left", "right")).select("a", "b"))
+
+    first = round_of(entered.withColumn("label", F.col("id")), True)
+    heads = components(first).withColumnRenamed("node", "id")
+    labelled = entered.join(heads, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    return first.union(round_of(stash(labelled), False))
+
+
+def similar_documents(docs: DataFrame, width: int = 5, radius: int = 20, least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for each row of docs, where texts are linked whose shingle sets have a similarity of `least` or more.
+
+    Texts of equal words are one; null, empty and blank texts are alike. component_id is as in near_duplicates.
+    """
+    named = stash(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"), "text"))
+    texts = named.groupBy("id").agg(F.min("doc_id").alias("low"), F.first("text", ignorenulls=True).alias("text"))
+    texts = stash(texts)
+    found = stash(components(similar_links(texts.select("id", "text"), width, radius, least)))
+    heads = texts.select("id", "low").join(found.withColumnRenamed("node", "id"), "id", "left")
+    heads = stash(heads.select("id", "low", F.coalesce("component", "id").alias("head")))
+    lowest = heads.groupBy("head").agg(F.min("low").alias("component_id"))
+    heads = heads.join(lowest, "head").select("id", "component_id")
+    return named.select("doc_id", "id").join(heads, "id").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, least: float | None = None) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest doc_id stays, all columns as they were.
 
+    Components are those of fingerprints within the radius, or, with `least`, of verified similarities.
     Rows with a null doc_id have no identity to compare and stay. Of rows that repeat a doc_id, all stay or
     go together, but for exact repeats of the kept row, which go.
     """
-    found = near_duplicates(docs, width, radius)
+    found = near_duplicates(docs, width, radius) if least is None else similar_documents(docs, width, radius, least)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     whole = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return whole.select(*docs.columns).unionByName(docs.where("doc_id is null"))

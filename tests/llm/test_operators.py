@@ -102,6 +102,45 @@ def test_keep_one(odd):
     assert [d for _, d in got if d] == [1, 4, 6, 7, 8] and got[-1] == (True, None)
 
 
+def test_similar_documents(spark, odd):
+    rng = random.Random(6)
+    texts = [words(rng, rng.choice([4, 30, 120, 400])) for _ in range(30)]
+    for t in list(texts):
+        for changes in (1, 3, 6):
+            w = t.split()
+            for _ in range(changes):
+                w[rng.randrange(len(w))] = rng.choice(WORDS)
+            texts.append(" ".join(w))
+    texts += ["", None, " ", "One", "one"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else {()} for t in texts]
+    label = brute_components(len(texts), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()} == dict(enumerate(label))
+    assert len(set(label)) < len(label) - 20
+    kept = simhash.keep_one(odd, 5, 20, 0.8)
+    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {None, 1, 4, 6, 7, 8}
+    assert simhash.keep_one(odd.limit(0), 5, 20, 0.8).count() == 0
+
+
+def test_near_pairs_in_tiles():
+    rng = np.random.default_rng(4)
+    n = 1500
+    rows = pd.DataFrame({"id": np.arange(n), "key": rng.integers(0, 3, n), "fp": rng.integers(0, 1 << 63, n), "tile": rng.integers(0, 2, n), "label": rng.integers(0, 900, n)})
+    fp, key, tile, label = (rows[c].tolist() for c in ("fp", "key", "tile", "label"))
+    expect = {(i, j) for i in range(n) for j in range(i + 1, n) if key[i] == key[j] and label[i] != label[j] and tile[i] != tile[j] and (fp[i] ^ fp[j]).bit_count() <= 18}
+    assert expect and set(simhash.near_pairs(rows, 18, True, False).itertuples(index=False, name=None)) == expect
+
+
+def test_pipeline_drops_near_copies(spark):
+    rng = random.Random(12)
+    lines_of = [words(rng, 12) for _ in range(20)]
+    near = [" ".join(["new", "other", "words", *t.split()[3:]]) if k in (3, 9, 15) else t for k, t in enumerate(lines_of)]
+    df = spark.createDataFrame([(1, "\n".join(lines_of), "en", "s", 1), (2, " ".join(near), "en", "s", 1), (3, words(rng, 240), "en", "s", 1)], DOCS)
+    df = lines.drop_repeated(df)
+    assert {r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, df, "").collect()} == {1, 3}
+    assert len({r["component_id"] for r in simhash.near_duplicates(df).collect()}) == 3
+
+
 # 2
 
 KINDS = {
