@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every text is scanned once for word n-grams of the benchmark; around the hits, passages are cut out. Counted over
-all documents, the rarest n-gram of every short run of an item's n-grams becomes a seed, so that an item cannot lose all
-its seeds to common phrases, nor all of them to a few edits. Seeds join passages to items, and a local alignment of words
-scores each such pair: copies score 1, edited or paraphrased ones somewhat less.
+Every text is scanned once for word n-grams of the benchmark; around the hits, passages are cut out. Every n-gram of an
+item is a seed, common or not, so that one intact n-gram is enough and what other documents hold plays no part. Seeds join
+passages to items, and a local alignment of words scores each pair that has words enough in common to reach the least
+score: copies score 1, edited or paraphrased ones somewhat less.
 """
 
 from __future__ import annotations
@@ -12,14 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from quillspark.llm.common import stash
 
 GRAM = 5
-RUN = 4
 LEAST = 0.5
 #: The benchmark's distinct words and n-grams go to every worker while they are this few; beyond, they are joined.
 BROADCAST_GRAMS = 2_000_000
@@ -152,21 +151,21 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> Dat
     grams = np.array([g for (g,) in spots.select("gram").distinct().collect()], np.int64)
     short = [w for (w,) in bench.select(F.least(F.size("ids"), F.lit(GRAM))).distinct().collect()]
     cut = stash(passages(docs, words, grams, tuple(sorted(short)), sizes[0]))
-    counts = cut.select("doc_id", F.explode("hits").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    ranked = spots.join(counts, "gram", "left").na.fill(0, ["n"])
-    near = Window.partitionBy("item_id").orderBy("at").rangeBetween(0, RUN - 1)
-    lowest = F.min(F.struct("n", "at", "gram")).over(near)
-    seeds = ranked.select("item_id", lowest.alias("seed")).select("item_id", "seed.gram").distinct()
-    seeds = stash(seeds.join(counts.select("gram"), "gram", "left_semi"))
+    # no more rows than BROADCAST_GRAMS, so that a common n-gram needs no shuffle by it
+    seeds = F.broadcast(spots.select("item_id", "gram").distinct())
     met = cut.select("doc_id", "start", F.explode("hits").alias("gram")).join(seeds, "gram")
     met = met.select("doc_id", "start", "item_id").distinct()
     # what a passage is compared with: each item that it shares a seed with, once
     pairs = met.join(cut.select("doc_id", "start", "ids").dropDuplicates(["doc_id", "start"]), ["doc_id", "start"])
-    pairs = pairs.join(bench.select("item_id", F.col("ids").alias("own")), "item_id")
+    pairs = pairs.join(F.broadcast(bench.select("item_id", F.col("ids").alias("own"))), "item_id")
 
     @F.pandas_udf("double")
     def score(ids: pd.Series, own: pd.Series) -> pd.Series:
-        return pd.Series([align(np.asarray(y), np.asarray(x)) / (2 * len(y)) for x, y in zip(ids, own)], dtype=float)
+        out = []
+        for x, y in zip(map(np.asarray, ids), map(np.asarray, own)):
+            # no alignment matches more words of the item than stand in the passage
+            out.append(align(y, x) / (2 * len(y)) if np.isin(y, x).mean() >= least else 0.0)
+        return pd.Series(out, dtype=float)
 
     scored = pairs.select("doc_id", "item_id", score("ids", "own").alias("score"))
     best = scored.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))

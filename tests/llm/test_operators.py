@@ -223,6 +223,25 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_regular_edits(spark):
+    rng = random.Random(8)
+    items = [words(rng, 40) for _ in range(8)]
+    docs, expect = [], set()
+    for every in (6, 7, 8):
+        for i, item in enumerate(items):
+            edited = [f"edit{k}" if k % every == every - 1 else w for k, w in enumerate(item.split())]
+            docs.append((len(docs), " ".join([words(rng, 60), *edited, words(rng, 60)])))
+            expect.add((docs[-1][0], i))
+    docs += [(len(docs) + k, items[k]) for k in range(2)]  # exact copies beside the edited ones change nothing
+    expect |= {(docs[k - 2][0], k) for k in range(2)}
+    common_gram = " ".join(items[3].split()[:5])
+    docs += [(1000 + k, f"{words(rng, 30)} {common_gram} {words(rng, 30)}") for k in range(30)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(df, bench).collect()}
+    assert set(got) == expect
+    assert all(abs(v - brute_align(items[i].split(), dict(docs)[d].split()) / 80) < 1e-9 for (d, i), v in got.items())
+
+
 # 4
 
 
