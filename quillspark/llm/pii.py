@@ -2,9 +2,9 @@
 
 Fixed formats give base spans. Beside them, high-recall generators propose spans that may overlap: obfuscated
 addresses, local telephone numbers, long numbers, and long opaque strings. Boosted trees score every candidate by its
-format and its context. They learn from weak labels of a bounded sample (a base format that passes its check, or an opaque string
-that is assigned to a name like token or key), and a threshold for each kind is calibrated on other candidates of the sample. Of
-candidates that overlap, the likeliest stays; base spans always stay, and what overlaps them goes.
+format and its context. They learn from weak labels of a sample that is bounded for each kind and label (a base format that passes
+its check, and for each added kind a cue or check of its own), and a threshold for each kind is calibrated on all candidates that
+were not learned from. Of candidates that overlap, the likeliest stays; base spans always stay, and what overlaps them goes.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ GUARD = {
 }
 KINDS = [*BASE, *MORE]
 CONTEXT = 32
-#: About so many candidates are learned from at most.
+#: About so many candidates are learned from at most; each kind and label has an equal share.
 SAMPLE_BOUND = 20_000
 PRECISION = 0.95
 LEAST_ROWS = 40
@@ -53,6 +53,7 @@ CUES = {
     "cue_mail": r"(?i)(?:e-?mail|contact|write)\W*\w*\W*$",
     "cue_phone": r"(?i)(?:tel|phone|call|fax|mobile)\W*\w*\W*$",
     "cue_card": r"(?i)(?:card|visa|account|iban|number)\W*\w*\W*$",
+    "cue_account": r"(?i)(?:card|visa|account|iban)\W*\w*\W*$",
     "cue_secret": r"(?i)(?:token|key|secret|passw\w*|auth)\W*$",
     "cue_assigned": r"[=:][\x20]?[\"']?$",
 }
@@ -136,40 +137,54 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
         "left_word": F.col("left").rlike("[A-Za-z0-9]$").cast("double"),
         "right_word": F.col("right").rlike("^[A-Za-z0-9]").cast("double"),
         "quoted": (F.col("left").rlike("[\"']$") & F.col("right").rlike("^[\"']")).cast("double"),
+        # one string may be a candidate of several kinds, with labels of their own
+        **{f"is_{k}": (F.col("kind") == k).cast("double") for k in KINDS},
         **{name: F.col("left").rlike(cue).cast("double") for name, cue in CUES.items()},
     }
     return found.withColumns(made), list(made)
 
 
 def weak_label(kind: str = "kind") -> Column:
-    """1 where a base check passes, or where an opaque string is assigned to a name of a secret."""
+    """1 where a base check passes, or where an added kind has a sign of its own.
+
+    An opaque string is assigned to a name of a secret, an obfuscated address hides its dot too or follows a mail cue, a local
+    telephone number follows a telephone cue, and a long number passes Luhn's check or follows a card or account cue.
+    """
     secret = (F.col(kind) == "opaque") & F.col("left").rlike(r"(?i)(?:token|key|secret|passw\w*|auth)[\x20]?[=:][\x20]?[\"']?$")
-    masked = (F.col(kind) == "masked_email") & F.col("left").rlike(CUES["cue_mail"])
-    return (F.col("valid") | secret | masked).cast("double")
+    masked = (F.col(kind) == "masked_email") & (F.col("left").rlike(CUES["cue_mail"]) | F.col("value").rlike(r"[(\[]dot[)\]]"))
+    local = (F.col(kind) == "local_phone") & F.col("left").rlike(CUES["cue_phone"])
+    luhn = F.when(F.length("digits").between(12, 19), passes_luhn(F.col("digits"))).otherwise(False)
+    number = (F.col(kind) == "number") & (F.col("left").rlike(CUES["cue_account"]) | luhn)
+    return (F.col("valid") | secret | masked | local | number).cast("double")
 
 
 def likely(found: DataFrame, bound: int = SAMPLE_BOUND) -> DataFrame:
-    """The candidates of the added kinds that the boosted trees select, with their probability p.
+    """(doc_id, key, kind, start, end, p): the candidates of the added kinds that the boosted trees select, p their probability.
 
     None where the sample has too few rows, or rows of one class only.
     """
-    described, names = features(found)
-    described = described.withColumn("label", weak_label())
-    share = hash_bound(described.count(), bound)
+    described, names = features(found.withColumn("label", weak_label()))
     spot = F.pmod(F.xxhash64(F.lit(3), "doc_id", "key", "kind", "start"), F.lit(1_000_000))
-    sample = stash(described.where(spot < math.ceil(share * 1_000_000)).withColumn("fold", F.pmod(F.xxhash64("value", "left"), F.lit(3))))
+    every = found.select("kind", weak_label().alias("label")).groupBy("kind", "label").count().collect()  # at most two rows a kind
+    limits = [
+        F.when((F.col("kind") == r["kind"]) & (F.col("label") == r["label"]), math.ceil(hash_bound(r["count"], bound // (2 * len(KINDS))) * 1_000_000))
+        for r in every
+    ]
+    described = described.withColumn("fold", F.pmod(F.xxhash64("value", "left"), F.lit(3)))
+    described = described.withColumn("drawn", spot < F.coalesce(*limits, F.lit(0)))
+    sample = stash(described.where("drawn").select("fold", "label", *names))
     kinds = sample.groupBy((F.col("fold") == 0).alias("held"), "label").count().collect()
+    place = ["doc_id", "key", "kind", "start", "end"]
+    none = found.select(*place).limit(0).withColumn("p", F.lit(0.0))
     if len(kinds) < 4 or min(r["count"] for r in kinds) * 3 < LEAST_ROWS:
-        return found.limit(0).withColumn("p", F.lit(0.0))
+        return none
     pack = VectorAssembler(inputCols=names, outputCol="__x")
     trees = GBTClassifier(featuresCol="__x", labelCol="label", maxIter=12, maxDepth=3, stepSize=0.3, seed=1)
     model = trees.fit(pack.transform(sample.where("fold <> 0").select(*names, "label")))
-
-    def scored(rows: DataFrame) -> DataFrame:
-        out = model.transform(pack.transform(rows))
-        return out.withColumn("p", vector_to_array("probability")[1]).select(*rows.columns, "p")
-
-    held = scored(sample.where("fold = 0")).withColumn("bin", F.floor(F.col("p") * 20) / 20)
+    scored = model.transform(pack.transform(described.where(F.col("kind").isin(*MORE))))
+    fitted = (F.col("drawn") & (F.col("fold") != 0)).alias("fitted")
+    scored = stash(scored.select(*place, "label", fitted, vector_to_array("probability")[1].alias("p")))
+    held = scored.where("not fitted").withColumn("bin", F.floor(F.col("p") * 20) / 20)
     bins = held.groupBy("kind", "bin").agg(F.sum("label").alias("good"), F.count("*").alias("all")).collect()
     least = {}
     for kind in MORE:
@@ -179,9 +194,9 @@ def likely(found: DataFrame, bound: int = SAMPLE_BOUND) -> DataFrame:
             if r["bin"] >= 0.5 and good >= PRECISION * every:
                 least[kind] = r["bin"]
     if not least:
-        return found.limit(0).withColumn("p", F.lit(0.0))
+        return none
     enough = F.coalesce(*(F.when((F.col("kind") == k) & (F.col("p") >= v), True) for k, v in least.items()), F.lit(False))
-    return scored(described.where(F.col("kind").isin(*least))).where(enough).select(*found.columns, "p")
+    return scored.where(enough).select(*place, "p")
 
 
 def selected(docs: DataFrame, bound: int = SAMPLE_BOUND) -> DataFrame:

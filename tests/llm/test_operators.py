@@ -177,6 +177,32 @@ def test_pii(spark):
     assert sum("opaque" in got[i]["spans"] for i in range(len(texts) - 60, len(texts))) > 40
 
 
+def test_pii_finds_every_added_kind(spark):
+    rng = random.Random(13)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    value = {
+        "masked_email": lambda i: f"name{i} [at] host{i % 7} [dot] org",
+        "local_phone": lambda i: f"{rng.randint(200, 999)}-{digits(3)}-{digits(4)}",
+        "number": lambda i: f"7{digits(8)}",
+        "opaque": lambda i: hashlib.sha1(str(i).encode()).hexdigest(),
+    }
+    cue = {"masked_email": "please write to ", "local_phone": "my telephone: ", "number": "from account ", "opaque": "token = "}
+    docs, places = [], {}
+    for kind, make in value.items():
+        for i in range(150):
+            v = make(i)
+            places[len(docs)] = f"{kind}:{len(cue[kind])}:{len(cue[kind]) + len(v)}"
+            docs.append((len(docs), f"{cue[kind]}{v} and so on"))
+    plain = len(docs)
+    for kind in ("local_phone", "number", "opaque"):
+        docs += [(len(docs) + i, f"some part {value[kind](1000 + i)} of it") for i in range(150)]
+    got = table(pii.find_spans(spark.createDataFrame(docs, "doc_id long, text string")))
+    for kind in value:
+        own = [d for d, x in places.items() if x.startswith(kind)]
+        assert sum(places[d] in got[d]["spans"].split(",") for d in own) >= 0.9 * len(own), kind
+    assert sum(bool(got[d]["spans"]) for d in range(plain, len(docs))) <= 0.1 * (len(docs) - plain)
+
+
 # 3
 
 
