@@ -21,7 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that repeat an earlier line within two edits; documents left without a long line go."""
+    """Texts without lines that repeat an earlier line within two edits; documents left without any but blank lines go."""
     return lines.drop_repeated(docs, k=2, min_chars=32)
 
 

@@ -24,9 +24,9 @@ BROADCAST_LINES = 2_000_000
 
 
 def explode_lines(docs: DataFrame) -> DataFrame:
-    """(doc, line_no, line) for the lines of every text; doc is doc_id, or the largest long where that is null."""
+    """(doc, key, line_no, line) for the lines of every text; doc is doc_id, or the largest long where that is null, key a hash of the text."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc")
-    return docs.where("text is not null").select(doc, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return docs.where("text is not null").select(doc, F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
 def name_lines(lines: DataFrame) -> DataFrame:
@@ -35,9 +35,9 @@ def name_lines(lines: DataFrame) -> DataFrame:
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """One row per text: h1, h2, line, n (characters), copies, and its first place (doc, line_no)."""
+    """One row per text: h1, h2, line, n (characters), copies, and its first place (doc, key, line_no)."""
     found = lines.groupBy("h1", "h2").agg(
-        F.first("line").alias("line"), F.min(F.struct("doc", "line_no")).alias("place"), F.count("*").alias("copies")
+        F.first("line").alias("line"), F.min(F.struct("doc", "key", "line_no")).alias("place"), F.count("*").alias("copies")
     )
     return found.withColumn("n", F.length("line"))
 
@@ -167,9 +167,14 @@ def line_classes(docs: DataFrame, k: int = 2, min_chars: int = 32) -> DataFrame:
 
     A class is what links of at most k edits join, with all copies of its texts; class_id is a hash that names
     it, class_doc_id and class_line_no its first place by doc_id and line number, which alone is kept. n_links counts the
-    other texts linked directly. Null and empty texts and shorter lines have no rows. Rows that repeat a doc_id count as
-    one document, null ids as one that comes last. Columns other than doc_id and text are not read.
+    other texts linked directly. Null and empty texts and shorter lines have no rows. Rows that repeat a doc_id and text count
+    as one document, null ids come last; texts that share an id come by their hash. Columns other than doc_id and text are not read.
     """
+    return line_places(docs, k, min_chars).drop("key")
+
+
+def line_places(docs: DataFrame, k: int, min_chars: int) -> DataFrame:
+    """line_classes with the hash of the text that holds the line, key."""
     lines = name_lines(explode_lines(docs.select("doc_id", "text")).where(F.length("line") >= min_chars))
     nodes = stash(distinct_lines(lines).withColumn("id", F.xxhash64("h1", "h2")))
     found = stash(links(nodes.select("id", "line", "n"), k))
@@ -181,36 +186,38 @@ def line_classes(docs: DataFrame, k: int = 2, min_chars: int = 32) -> DataFrame:
     )
     first = named.groupBy("class_id").agg(F.min("place").alias("first"))
     named = stash(named.join(first, "class_id").select("h1", "h2", "class_id", "first", "n_links"))
-    joined = lines.select("doc", "line_no", "h1", "h2").join(named, ["h1", "h2"])
+    joined = lines.select("doc", "key", "line_no", "h1", "h2").join(named, ["h1", "h2"])
     shown = lambda c: F.when(c != LAST, c)
     return joined.select(
         shown(F.col("doc")).alias("doc_id"),
+        "key",
         "line_no",
         "class_id",
         shown(F.col("first.doc")).alias("class_doc_id"),
         F.col("first.line_no").alias("class_line_no"),
         "n_links",
-        ((F.col("doc") == F.col("first.doc")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"),
+        ((F.col("doc") == F.col("first.doc")) & (F.col("key") == F.col("first.key")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"),
     )
 
 
 def drop_repeated(docs: DataFrame, k: int = 2, min_chars: int = 32) -> DataFrame:
-    """docs without lines that repeat an earlier one; a document that loses all its lines of min_chars or more goes.
+    """docs without lines of min_chars or more that repeat an earlier one; a document left without any but blank lines goes.
 
     Documents that lose nothing, null and empty texts among them, stay as they are. n_chars follows the text.
     """
-    found = line_classes(docs, k, min_chars)
+    found = line_places(docs, k, min_chars)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    lost = found.where("not kept").select(doc.alias("__doc"), "line_no").distinct()
-    lost = lost.groupBy("__doc").agg(F.collect_set("line_no").alias("__lost"))
+    lost = found.where("not kept").select(doc.alias("__doc"), F.col("key").alias("__key"), "line_no").distinct()
+    lost = lost.groupBy("__doc", "__key").agg(F.collect_set("line_no").alias("__lost"))
     lost = stash(lost)
     few = (lost.agg(F.sum(F.size("__lost"))).first()[0] or 0) <= BROADCAST_LINES
-    joined = docs.withColumn("__doc", doc).join(F.broadcast(lost) if few else lost, "__doc", "left").drop("__doc")
+    joined = docs.withColumns({"__doc": doc, "__key": F.xxhash64("text")})
+    joined = joined.join(F.broadcast(lost) if few else lost, ["__doc", "__key"], "left").drop("__doc", "__key")
     parts = F.split("text", "\n", -1)
     places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__lost")
     rest = F.transform(places, lambda i: F.get("__parts", i))
     joined = joined.withColumn("__parts", F.when(F.col("__lost").isNotNull(), parts)).withColumn("__rest", F.when(F.col("__lost").isNotNull(), rest))
-    left = joined.where(F.col("__lost").isNull() | F.exists("__rest", lambda x: F.length(x) >= min_chars))
+    left = joined.where(F.col("__lost").isNull() | F.exists("__rest", lambda x: x.rlike(r"\S")))
     text = F.when(F.col("__lost").isNull(), F.col("text")).otherwise(F.array_join("__rest", "\n"))
     changed = {"text": text}
     if "n_chars" in docs.columns:

@@ -420,6 +420,15 @@ def test_line_dedup(spark, odd):
     assert lines.drop_repeated(odd.limit(0)).count() == 0 and lines.line_classes(odd.limit(0)).count() == 0
 
 
+def test_line_dedup_keeps_clean_lines(spark):
+    footer, other = "This footer line is shared by all of the documents here.", "Another shared line, which is also long enough to count."
+    docs = [(1, footer), (2, f"one\ntwo\n{footer}\nthree"), (3, f"{footer}\n \n"), (4, f"{other}\nfour"), (5, f"{footer}\nfive"), (5, "A clean line of the same number, and of the same document id.\nsix"),
+            (None, f"{other}\nseven"), (None, "A clean line of the same number in a row without document id.\neight")]
+    got = lines.drop_repeated(spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], DOCS)).collect()
+    expect = [docs[0], (2, "one\ntwo\nthree"), docs[3], (5, "five"), docs[5], (None, "seven"), docs[7]]
+    assert sorted(((r["doc_id"] or 9, r["text"]) for r in got)) == sorted((d or 9, t) for d, t in expect)
+
+
 # 8
 
 
