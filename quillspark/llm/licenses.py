@@ -1,7 +1,7 @@
 """Licence scans with a positional index of rare words, in DataFrame functions only.
 
 Every text is cut into words once. The words of licence templates are weighed by how rare they are among all
-documents; of each text its highest-weighted licence words are looked up in the templates' postings, hits that
+documents; of each text all licence words are looked up in the postings of the templates' rarest words, hits that
 agree on where the template would begin are added up, and a template is found where enough of its weight
 lies at one place and its key phrase stands in the text. Fixed phrases are looked for beside that.
 """
@@ -170,10 +170,7 @@ def template_hits(facts: DataFrame, top: int = 12, least: float = 0.7, slack: in
         postings += [(w, label, k, weight[w]) for k, w in enumerate(words) if w in rare]
     index = F.broadcast(spark.createDataFrame(postings, "word string, label string, at int, weight double"))
     some = facts.where("words is not null").select("doc_id", "key", "words", "known").distinct()
-    weights = F.create_map(*(F.lit(x) for w, v in weight.items() for x in (w, v)))
-    ranked = F.array_sort(F.transform("known", lambda w: F.struct((-weights[w]).alias("v"), w.alias("w"))))
-    some = some.withColumn("rare", F.slice(ranked, 1, 4 * top)["w"])
-    spots = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda x: F.array_contains("rare", x["word"]))
+    spots = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda x: F.array_contains("known", x["word"]))
     spots = some.select("doc_id", "key", F.inline(spots))
     begun = spots.join(index, "word").withColumn("start", F.col("i") - F.col("at"))
     wide = 2 * slack

@@ -511,6 +511,13 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(odd.limit(0)).count() == 0
 
 
+def test_licenses_joined_in_one_file(spark):
+    notices = [f"Part {k}. {key}. {text}." for k, (_, key, text) in enumerate(licenses.TEMPLATES)]
+    docs = [(0, "\n\n".join(notices))] + [(1 + k, f"plain filler text {t.split()[0]} number {k}") for k, t in enumerate(notices)]
+    got = table(licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert set(got[0]["labels"].split(",")) >= {label for label, _, _ in licenses.TEMPLATES}
+
+
 # Odd rows through the rest, and the pipeline
 
 
