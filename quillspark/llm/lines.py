@@ -163,21 +163,23 @@ def links(nodes: DataFrame, k: int, hot: int = 32) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, k: int = 2, min_chars: int = 32) -> DataFrame:
-    """(doc_id, line_no, class_id, class_doc_id, class_line_no, n_links, kept) for each line of at least min_chars characters.
+    """(doc_id, line_no, class_id, class_doc_id, class_line_no, n_links, kept) for each line that is not blank.
 
-    A class is what links of at most k edits join, with all copies of its texts; class_id is a hash that names
+    Lines of fewer than min_chars characters, where two edits may make another line, are in one class only where they are equal.
+    Of the others, a class is what links of at most k edits join, with all copies of its texts; class_id is a hash that names
     it, class_doc_id and class_line_no its first place by doc_id and line number, which alone is kept. n_links counts the
-    other texts linked directly. Null and empty texts and shorter lines have no rows. Rows that repeat a doc_id and text count
+    other texts linked directly. Null and empty texts and blank lines have no rows. Rows that repeat a doc_id and text count
     as one document, null ids come last; texts that share an id come by their hash. Columns other than doc_id and text are not read.
     """
-    return line_places(docs, k, min_chars).drop("key")
+    return line_places(docs, k, min_chars, True).drop("key")
 
 
-def line_places(docs: DataFrame, k: int, min_chars: int) -> DataFrame:
-    """line_classes with the hash of the text that holds the line, key."""
-    lines = name_lines(explode_lines(docs.select("doc_id", "text")).where(F.length("line") >= min_chars))
+def line_places(docs: DataFrame, k: int, min_chars: int, short: bool) -> DataFrame:
+    """line_classes with the hash of the text that holds the line, key; short: with the lines under min_chars."""
+    rows = explode_lines(docs.select("doc_id", "text"))
+    lines = name_lines(rows.where(F.col("line").rlike(r"\S") if short else F.length("line") >= min_chars))
     nodes = stash(distinct_lines(lines).withColumn("id", F.xxhash64("h1", "h2")))
-    found = stash(links(nodes.select("id", "line", "n"), k))
+    found = stash(links(nodes.where(F.col("n") >= min_chars).select("id", "line", "n"), k))
     ends = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     heads = stash(components(found).withColumnRenamed("node", "id").join(ends, "id"))
     named = nodes.select("h1", "h2", "id", "place", "copies").join(heads, "id", "left")
@@ -205,7 +207,7 @@ def drop_repeated(docs: DataFrame, k: int = 2, min_chars: int = 32) -> DataFrame
 
     Documents that lose nothing, null and empty texts among them, stay as they are. n_chars follows the text.
     """
-    found = line_places(docs, k, min_chars)
+    found = line_places(docs, k, min_chars, False)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
     lost = found.where("not kept").select(doc.alias("__doc"), F.col("key").alias("__key"), "line_no").distinct()
     lost = lost.groupBy("__doc", "__key").agg(F.collect_set("line_no").alias("__lost"))

@@ -429,6 +429,14 @@ def test_line_dedup_keeps_clean_lines(spark):
     assert sorted(((r["doc_id"] or 9, r["text"]) for r in got)) == sorted((d or 9, t) for d, t in expect)
 
 
+def test_line_classes_of_short_lines(spark):
+    docs = [(1, "short\n\n \t\nshorT"), (2, "other\nshort"), (3, "short\na line that is long enough for two edits, surely"), (4, "A line that is long enough for two edits, surely")]
+    got = {(r["doc_id"], r["line_no"]): r for r in lines.line_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    firsts = {place: (r["class_doc_id"], r["class_line_no"]) for place, r in got.items()}
+    assert firsts == {(1, 0): (1, 0), (1, 3): (1, 3), (2, 0): (2, 0), (2, 1): (1, 0), (3, 0): (1, 0), (3, 1): (3, 1), (4, 0): (3, 1)}
+    assert {place for place, r in got.items() if r["kept"]} == set(firsts.values()) and got[2, 1]["n_links"] == 0
+
+
 # 8
 
 
