@@ -2,219 +2,331 @@
 
 Equal lines are one node. A node of n characters is cut into k + 1 segments of about equal length: two lines within k edits
 share a segment, at places that the lengths and the segment's number confine to a few. Every node enters its segments into
-an index and probes the index, with those substrings, for nodes of its own length and up to k shorter. Pairs that meet are
-verified in two steps: blocks of one must stand in the other, and then the edit automaton runs bit-parallel in a band of
-width 2 k + 1. A substring that very many nodes share is joined with the texts at hand, so that few pairs leave the join.
+an index and probes the index, with those substrings, for nodes of its own length and up to k shorter. Lines that meet at a
+segment that many nodes share meet again under keys that hold all but k blocks of a line, so that few pairs leave the joins.
+Pairs are verified in two steps: blocks of one must stand in the other, and then the edit automaton runs bit-parallel in a
+band of width 2 k + 1 over what lies between the first and the last difference.
 """
 
 from __future__ import annotations
 
+import json
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import components, stash
 
-LAST = 9223372036854775807
-#: Up to so many ids of candidate pairs, lines are filtered by a broadcast of the ids before they are shuffled.
-BROADCAST_IDS = 1_000_000
-
-
+#: Up to so many candidate pairs, lines are filtered by a broadcast of their ids before they are shuffled.
+BROADCAST_IDS = 500_000
 #: Up to so many lost line numbers are broadcast to the documents, whose texts are then not shuffled.
 BROADCAST_LINES = 2_000_000
+#: Texts that make up more than this share of all lines, of which there can't be more than 4096, are looked up by broadcast.
+COMMON_SHARE = 1 / 4096
+BLANK = " \t\x0b\f\r\n"
 
 
 def explode_lines(docs: DataFrame) -> DataFrame:
-    """(doc, key, line_no, line) for the lines of every text; doc is doc_id, or the largest long where that is null, key a hash of the text."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc")
-    return docs.where("text is not null").select(doc, F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    """(doc_id, key, line_no, line) for the lines of every text; key is a hash of the text."""
+    parts = F.split("text", "\n", -1)
+    return docs.where("text is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.posexplode(parts).alias("line_no", "line")
+    )
+
+
+def place(doc_id: str = "doc_id", key: str = "key", line_no: str = "line_no") -> Column:
+    """Where a line stands; places compare by doc_id, nulls last, then by the text's hash and line number."""
+    return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.col(key).alias("key"), F.col(line_no).alias("line_no"))
 
 
 def name_lines(lines: DataFrame) -> DataFrame:
-    """lines with a name of 128 bits, h1 and h2."""
-    return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))})
+    """lines with a name of 128 bits, h1 and h2: two hashes of independent seeds."""
+    return lines.withColumns({"h1": F.xxhash64(F.lit(1), "line"), "h2": F.xxhash64(F.lit(2), "line")})
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """One row per text: h1, h2, line, n (characters), copies, and its first place (doc, key, line_no)."""
-    found = lines.groupBy("h1", "h2").agg(
-        F.first("line").alias("line"), F.min(F.struct("doc", "key", "line_no")).alias("place"), F.count("*").alias("copies")
-    )
-    return found.withColumn("n", F.length("line"))
+    """One row per text, written out: id, h1, h2, line, n (characters), and its first place, and copies.
 
+    id numbers the written rows, so that no two texts share one.
+    """
+    found = lines.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min(place()).alias("place"), F.count("*").alias("copies"))
+    return stash(found.select(F.monotonically_increasing_id().alias("id"), "*", F.length("line").alias("n")))
 
-def cut(n: Column, k: int, i: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i of a line with n characters; the later ones are longer by at most one."""
-    base, more = F.floor(n / (k + 1)).cast("int"), (n % (k + 1)).cast("int")
-    short = k + 1 - more
-    return (base * i + F.greatest(F.lit(i) - short, F.lit(0)) + 1).cast("int"), base + (F.lit(i) >= short).cast("int")
 
+def cut(n: str, parts: int, i: int | str) -> tuple[str, str]:
+    """SQL for start (from 1) and length of part i of n characters; the later ones are longer by at most one."""
+    short = f"({parts} - {n} % {parts})"
+    return f"int({n} div {parts} * {i} + greatest({i} - {short}, 0) + 1)", f"int({n} div {parts} + int({i} >= {short}))"
 
-def index_keys(k: int) -> Column:
-    """The keys under which a line's segments are entered."""
-    keys = []
-    for i in range(k + 1):
-        start, size = cut(F.col("n"), k, i)
-        keys.append(F.xxhash64("n", F.lit(i), F.substring("line", start, size)))
-    return F.array(*keys)
 
+def piece(code: str, start: str, size: str) -> str:
+    """SQL for some characters, counted from 1, of a text that is encoded by four bytes each: they are found without reading the text before them."""
+    return f"substr({code}, 4 * ({start}) - 3, 4 * ({size}))"
 
-def probe_keys(k: int) -> Column:
-    """The keys that a line looks up: for each length that is not greater, each segment, and each place that edits can move it to.
 
-    i edits at most lie before segment i of a pair whose first untouched segment it is, and k - i behind it.
+def segment_ways(k: int) -> list[dict[str, int]]:
+    """How a line may be asked for: for each length that is not greater, each segment, and each place that edits can move it to.
+
+    i edits at most lie before segment i of a pair whose first untouched segment it is, and k - i behind it. A line enters the
+    segments that do not move in one of its own length.
     """
-    keys = []
-    for less in range(k + 1):
-        n = F.col("n") - less
-        for i in range(k + 1):
-            start, size = cut(n, k, i)
-            for shift in range(max(-i, less - (k - i)), min(i, less + (k - i)) + 1):
-                at = start + shift
-                inside = (at >= 1) & (at + size - 1 <= F.col("n"))
-                keys.append(F.when(inside, F.xxhash64(n, F.lit(i), F.substring("line", at, size))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
-
-
-def letters_parity() -> Column:
-    """64 bits, each the parity of how often certain characters occur: an edit changes two of them at most."""
-    return F.aggregate(
-        F.split("line", ""), F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64))))
-    )
+    return [
+        {"less": less, "i": i, "shift": shift}
+        for less in range(k + 1)
+        for i in range(k + 1)
+        for shift in range(max(-i, less - (k - i)), min(i, less + (k - i)) + 1)
+    ]
+
+
+def segment_keys(k: int) -> Column:
+    """A key for each way in which a line's segments may be asked for."""
+    start, size = cut("(n - w.less)", k + 1, "w.i")
+    key = f"xxhash64(n - w.less, w.i, {piece('c', f'{start} + w.shift', size)})"
+    ways = f"from_json('{json.dumps(segment_ways(k))}', 'array<struct<less int, i int, shift int>>')"
+    return F.expr(f"transform(array(encode(line, 'UTF-32')), c -> transform({ways}, w -> {key}))[0]")
+
+
+def runs_without(gone: tuple[int, ...], blocks: int) -> list[tuple[int, int, int]]:
+    """(first, behind, edits) of each run of blocks that stay: edits is the number of blocks that go right before it."""
+    found, first, edits = [], 0, 0
+    for i in (*gone, blocks):
+        if i > first:
+            found.append((first, i, edits))
+            edits = 0
+        first, edits = i + 1, edits + 1
+    return found
+
+
+def moves(runs: list[tuple[int, int, int]], less: int, k: int) -> list[tuple[int, ...]]:
+    """How far each run may lie to the right in a line that is longer by `less`: r blocks that go before it hold r edits at most."""
+    found: list[tuple[int, ...]] = [()]
+    for _, _, edits in runs:
+        found = [m + (s,) for m in found for s in range((m[-1] if m else 0) - edits, (m[-1] if m else 0) + edits + 1)]
+    behind = k - sum(edits for _, _, edits in runs)
+    return [m for m in found if abs(less - m[-1]) <= behind]
+
+
+def compound_keys(k: int, blocks: int, ask: bool) -> Column:
+    """Keys of what stays of a line when k of its blocks go, for each choice of the k: lines within k edits share one.
+
+    ask: what a line looks up, for each length that is not greater and each way in which edits can move what stays.
+    """
+    ways = []
+    for less in range(k + 1 if ask else 1):
+        for number, gone in enumerate(combinations(range(blocks), k)):
+            runs = runs_without(gone, blocks)
+            for moved in moves(runs, less, k) if ask else [(0,) * len(runs)]:
+                ways.append({"less": less, "gone": number, "runs": [{"first": f, "behind": b, "shift": s} for (f, b, _), s in zip(runs, moved)]})
+    shape = "array<struct<less int, gone int, runs array<struct<first int, behind int, shift int>>>>"
 
+    start = "int((n - w.less) div {m} * {i} + greatest({i} - ({m} - (n - w.less) % {m}), 0) + 1)"
+    first, behind = start.format(m=blocks, i="r.first"), start.format(m=blocks, i="r.behind")
+    kept = f"transform(w.runs, r -> {piece('c', f'{first} + r.shift', f'{behind} - {first}')})"
+    keys = f"transform(from_json('{json.dumps(ways)}', '{shape}'), w -> xxhash64(n - w.less, w.gone, {kept}))"
+    return F.expr(f"transform(array(encode(line, 'UTF-32')), c -> {keys})[0]")
 
-def blocks_agree(left: str, right: str, k: int, blocks: int = 8) -> Column:
-    """A condition that texts within k edits always meet: of so many blocks of one, all but k stand in the other, moved by k at most."""
-    n = F.length(left)
-    found = F.lit(0)
-    for i in range(blocks):
-        start, size = cut(n, blocks - 1, i)
-        around = F.substring(right, F.greatest(start - k, F.lit(1)), size + k + F.least(start - 1, F.lit(k)))
-        found = found + F.when(F.instr(around, F.substring(left, start, size)) > 0, 1).otherwise(0)
-    return (F.abs(n - F.length(right)) <= k) & (found >= blocks - k)
 
+def parity(pieces: str) -> Column:
+    """64 bits, each the parity of how often certain pieces of a text occur."""
+    return F.expr(f"aggregate({pieces}, 0L, (found, c) -> found ^ shiftleft(1L, int(pmod(xxhash64(c), 64))))")
+
+
+def common_part(x: str, limit: str, end: bool) -> str:
+    """SQL for how many characters, `limit` at most, two encoded texts (x.a, x.b) have in common at their start or end, by comparisons of halving lengths."""
+    halves = f"sequence(int(ceil(log2({limit} + 1))), 0, -1)"
+    size = "shiftleft(1, j)"
+    a, b = (piece(f"{x}.{t}", f"octet_length({x}.{t}) div 4 + 1 - p - {size}" if end else "p + 1", size) for t in "ab")
+    return f"aggregate({halves}, 0, (p, j) -> if(p + {size} <= {limit} and {a} = {b}, p + {size}, p))"
+
+
+def blocks_agree(x: str, k: int, blocks: int = 8) -> str:
+    """SQL for a condition that encoded texts (x.a, x.b) within k edits always meet: of so many blocks of a, all but k stand in b, moved by k at most."""
+    start, size = cut(f"int(octet_length({x}.a) div 4)", blocks, "i")
+    stands = f"exists(sequence(-{k}, {k}), d -> {piece(f'{x}.a', start, size)} = {piece(f'{x}.b', f'{start} + d', size)})"
+    return f"size(filter(sequence(0, {blocks - 1}), i -> {stands})) >= {blocks - k}"
 
-def within_edits(left: str, right: str, k: int) -> Column:
-    """Whether two texts are within k edits, by bit-parallel simulation of the edit automaton in a band.
 
-    After i characters of right, bit r of vector e tells whether the first i - k + r characters of left can have become them by e
-    edits; a character keeps a bit (match or substitution), moves it down (insertion), and a deletion moves it up.
+def band_accepts(x: str, k: int) -> str:
+    """SQL for whether the texts of a struct of letters (a, b) are within k edits, by bit-parallel simulation of the edit automaton in a band.
+
+    After i characters of b, bit r of vector e tells whether the first i - k + r characters of a can have become them by e
+    edits; a character keeps a bit (match or substitution), moves it down (insertion), and a deletion moves it up. Once no
+    bit is set, the rest of the characters is only counted off.
     """
-    full, one = (1 << (2 * k + 1)) - 1, F.lit(1)
-    first = [1 << k]
+    full, first = (1 << (2 * k + 1)) - 1, [1 << k]
     for _ in range(k):
         first.append((first[-1] | first[-1] << 1) & full)
-    start = F.struct(F.split(left, "").alias("a"), F.split(right, "").alias("b"), *(F.lit(v).alias(f"e{e}") for e, v in enumerate(first)))
-
-    def step(acc: Column, i: Column) -> Column:
-        c = F.get(acc["b"], i)
-        same = F.lit(0)
-        for r in range(2 * k + 1):
-            same = same + F.when(F.get(acc["a"], i + (r - k)) == c, 1 << r).otherwise(0)
-        moved = [acc["e0"].bitwiseAND(same)]
-        for e in range(1, k + 1):
-            low, up = acc[f"e{e - 1}"], F.shiftleft(moved[-1], 1)
-            now = acc[f"e{e}"].bitwiseAND(same).bitwiseOR(low).bitwiseOR(F.shiftright(low, 1)).bitwiseOR(up)
-            moved.append(now.bitwiseAND(F.lit(full)))
-        return F.struct(acc["a"].alias("a"), acc["b"].alias("b"), *(v.alias(f"e{e}") for e, v in enumerate(moved)))
-
-    # a negative index is out of range, not counted from the end: F.get gives null for it
-    last = F.length(right) - one
-    end = F.aggregate(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), start, step)[f"e{k}"]
-    at = F.length(left) - F.length(right) + k
-    return at.between(0, 2 * k) & (F.when(at.between(0, 2 * k), end).otherwise(0).bitwiseAND(_bit(at, k)) != 0)
-
-
-def _bit(at: Column, k: int) -> Column:
-    """1 shifted by at, for at from 0 to 2 k."""
-    return F.coalesce(*(F.when(at == r, 1 << r) for r in range(2 * k + 1)), F.lit(0))
-
-
-def links(nodes: DataFrame, k: int, hot: int = 32) -> DataFrame:
-    """(a, b), a < b by id, for all pairs of nodes (id, line, n) within k edits, each pair once."""
-    entered = nodes.select("id", F.explode(index_keys(k)).alias("key"))
-    asked = nodes.select("id", F.explode(probe_keys(k)).alias("key"))
-    busy = stash(entered.groupBy("key").count().where(F.col("count") > hot).select("key"))
-    pair = (F.col("x.id") != F.col("y.id"), F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    calm_in, calm_ask = entered.join(busy, "key", "left_anti"), asked.join(busy, "key", "left_anti")
+    # a negative index is out of range, not counted from the end: get gives null for it
+    same = " + ".join(f"if(get({x}.a, i + {r - k}) = get({x}.b, i), {1 << r}, 0)" for r in range(2 * k + 1))
+    rows = ["(acc.e0 & s)"]
+    for e in range(1, k + 1):
+        rows.append(f"((acc.e{e} & s | acc.e{e - 1} | shiftright(acc.e{e - 1}, 1) | shiftleft({rows[-1]}, 1)) & {full})")
+    named = lambda values: "named_struct({})".format(", ".join(f"'e{e}', {v}" for e, v in enumerate(values)))
+    places = f"if(size({x}.b) > 0, sequence(0, size({x}.b) - 1), cast(array() as array<int>))"
+    step = f"(acc, i) -> if(acc.e{k} = 0, acc, transform(array({same}), s -> {named(rows)})[0])"
+    end, at = f"aggregate({places}, {named(first)}, {step}).e{k}", f"(size({x}.a) - size({x}.b) + {k})"
+    return f"({at} between 0 and {2 * k} and ({end} & shiftleft(1, {at})) != 0)"
+
+
+def within_edits(left: str, right: str, k: int) -> Column:
+    """Whether two different texts are within k edits.
+
+    Their common start and end go first, so that the automaton sees only what lies between the first and the last edit;
+    where that is long, blocks of one must stand in the other.
+    """
+    least = "least(octet_length(x.a), octet_length(x.b)) div 4"
+    core = ", ".join(f"'{t}', {piece(f'x.{t}', 'p + 1', f'octet_length(x.{t}) div 4 - p - q')}" for t in "ab")
+    core = f"transform(array({common_part('x', f'({least} - p)', True)}), q -> named_struct({core}))[0]"
+    core = f"transform(array({common_part('x', f'({least})', False)}), p -> {core})[0]"
+    letters = ", ".join(
+        f"'{t}', if(octet_length(y.{t}) > 0, transform(sequence(1, int(octet_length(y.{t}) div 4)), i -> {piece(f'y.{t}', 'i', '1')}), cast(array() as array<binary>))"
+        for t in "ab"
+    )
+    accepted = f"transform(array(named_struct({letters})), l -> {band_accepts('l', k)})[0]"
+    long = f"(least(octet_length(y.a), octet_length(y.b)) < 128 or {blocks_agree('y', k)})"
+    codes = f"named_struct('a', encode({left}, 'UTF-32'), 'b', encode({right}, 'UTF-32'))"
+    found = f"transform(transform(array({codes}), x -> {core}), y -> {long} and {accepted})[0]"
+    return F.expr(f"abs(length({left}) - length({right})) <= {k} and {found}")
+
+
+def busy_keys(entered: DataFrame, hot: int) -> DataFrame:
+    """(key, parts) of the keys with over `hot` entries, and into how many parts to deal those who ask for them."""
+    found = entered.groupBy("key").agg(F.count("*").alias("entries")).where(F.col("entries") > hot)
+    return stash(found.select("key", F.ceil(F.col("entries") / 1024).cast("int").alias("parts")))
+
+
+def met_calmly(entered: DataFrame, asked: DataFrame, busy: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of those who enter and ask for a key that is not busy."""
+    x, y = entered.join(busy, "key", "left_anti").alias("x"), asked.alias("y")
     # no key has more than `hot` entries here, so that the side of the entries fits a hash table
-    met = calm_ask.alias("y").join(calm_in.hint("shuffle_hash").alias("x"), (F.col("x.key") == F.col("y.key")) & pair[0])
-    met = stash(met.select(*pair[1:]).distinct())
-    needed = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    met = y.join(x.hint("shuffle_hash"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
+def verified(met: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """Those of the pairs (a, b), each once, whose lines are within k edits."""
+    met = stash(met.distinct())
     texts = nodes.select("id", "line")
-    if needed.count() <= BROADCAST_IDS:
+    needed = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if met.count() <= BROADCAST_IDS:
         texts = texts.join(F.broadcast(needed), "id", "left_semi")
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("left"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("right"))
-    # written out between the two steps, so that the costly one sees only what passes the other
-    some = stash(met.join(left, "a").join(right, "b").where(blocks_agree("left", "right", k)))
-    calm = some.where(within_edits("left", "right", k)).select("a", "b")
-    marked = stash(entered.join(busy, "key", "left_semi").withColumn("enters", F.lit(True)).union(
-        asked.join(busy, "key", "left_semi").withColumn("enters", F.lit(False))
-    ))
-    full = nodes.join(marked.select("id").distinct(), "id", "left_semi").withColumn("parity", letters_parity())
-    full = stash(marked.join(full.select("id", "line", "parity"), "id"))
-    x, y = full.where("enters").alias("x"), full.where("not enters").alias("y")
-    close = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))) <= 2 * k
-    close &= blocks_agree("x.line", "y.line", k)
-    held = x.join(y, (F.col("x.key") == F.col("y.key")) & pair[0] & close)
-    held = stash(held.select(*pair[1:], F.col("x.line").alias("left"), F.col("y.line").alias("right")).dropDuplicates(["a", "b"]))
-    held = held.where(within_edits("left", "right", k)).select("a", "b")
-    return calm.union(held).distinct()
+    return met.join(left, "a").join(right, "b").where(within_edits("left", "right", k)).select("a", "b")
+
+
+def links(nodes: DataFrame, k: int, hot: int = 32, blocks: int = 6) -> DataFrame:
+    """(a, b), a < b by id, for all pairs of nodes (id, line, n) within k edits, each pair once.
+
+    A segment that over `hot` lines enter would pair them all. Lines that meet there meet again under compound keys, which
+    hold all of a line but k of its blocks. Where those are busy too, lines differ in little: they are compared as they
+    meet, dealt over parts of the key, and only links leave the join.
+    """
+    nodes = nodes.select("id", "line", "n")
+    keyed = stash(nodes.select("id", segment_keys(k).alias("keys")))
+    still = [i for i, way in enumerate(segment_ways(k)) if way["less"] == way["shift"] == 0]
+    entered = keyed.select("id", F.explode(F.array(*(F.get("keys", F.lit(i)) for i in still))).alias("key"))
+    asked = keyed.select("id", F.explode("keys").alias("key"))
+    busy = busy_keys(entered, hot)
+    met = met_calmly(entered, asked, busy)
+    if busy.isEmpty():
+        return verified(met, nodes, k)
+    held = asked.join(busy, "key", "left_semi").select("id").distinct()
+    some = stash(nodes.join(held, "id", "left_semi"))
+    entered = some.select("id", F.explode(compound_keys(k, blocks, False)).alias("key"))
+    asked = some.select("id", F.explode(compound_keys(k, blocks, True)).alias("key"))
+    dense = busy_keys(entered, hot)
+    found = verified(met.union(met_calmly(entered, asked, dense)), nodes, k)
+    if dense.isEmpty():
+        return found
+    letters, pairs = parity("split(line, '')"), parity("transform(sequence(1, n), i -> substr(line, i, 2))")
+    texts = stash(some.withColumns({"letters": letters, "pairs": pairs}))
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    x = entered.join(dense, "key").select("id", "key", part.alias("part")).join(texts, "id").alias("x")
+    part = F.pmod(F.xxhash64("id"), F.col("parts").cast("bigint")).cast("int")
+    y = asked.join(dense, "key").select("id", "key", part.alias("part")).join(texts, "id").alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part"))
+    once = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
+    # an edit changes how often two letters occur at most, and four pairs of neighbours
+    close = (F.bit_count(F.col("x.letters").bitwiseXOR(F.col("y.letters"))) <= 2 * k) & (
+        F.bit_count(F.col("x.pairs").bitwiseXOR(F.col("y.pairs"))) <= 4 * k
+    )
+    held = x.join(y, same & once & close & within_edits("x.line", "y.line", k))
+    return found.union(held.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))).distinct()
 
 
 def line_classes(docs: DataFrame, k: int = 2, min_chars: int = 32) -> DataFrame:
     """(doc_id, line_no, class_id, class_doc_id, class_line_no, n_links, kept) for each line that is not blank.
 
     Lines of fewer than min_chars characters, where two edits may make another line, are in one class only where they are equal.
-    Of the others, a class is what links of at most k edits join, with all copies of its texts; class_id is a hash that names
-    it, class_doc_id and class_line_no its first place by doc_id and line number, which alone is kept. n_links counts the
-    other texts linked directly. Null and empty texts and blank lines have no rows. Rows that repeat a doc_id and text count
-    as one document, null ids come last; texts that share an id come by their hash. Columns other than doc_id and text are not read.
+    Of the others, a class is what links of at most k edits join, with all copies of its texts; class_doc_id and class_line_no
+    are its first place by doc_id and line number, which alone is kept, and class_id is a 128-bit hash of the line there.
+    n_links counts the other texts linked directly. Null and empty texts and blank lines have no rows. Rows that repeat a doc_id
+    and text count as one document, null ids come last; texts that share an id come by their hash. Columns other than doc_id
+    and text are not read.
     """
-    return line_places(docs, k, min_chars, True).drop("key")
+    return line_places(docs, k, min_chars, True).select(
+        "doc_id", "line_no", "class_id", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), "n_links", "kept"
+    )
+
+
+def name_of(h1: str, h2: str) -> Column:
+    """The name of a text as 32 hexadecimal digits."""
+    return F.lower(F.concat(F.lpad(F.hex(h1), 16, "0"), F.lpad(F.hex(h2), 16, "0")))
 
 
-def line_places(docs: DataFrame, k: int, min_chars: int, short: bool) -> DataFrame:
-    """line_classes with the hash of the text that holds the line, key; short: with the lines under min_chars."""
+def line_places(docs: DataFrame, k: int, min_chars: int, short: bool, lost: bool = False) -> DataFrame:
+    """(doc_id, key, line_no, class_id, first, n_links, kept) for each line; short: with the lines under min_chars; lost: only those not kept."""
     rows = explode_lines(docs.select("doc_id", "text"))
-    lines = name_lines(rows.where(F.col("line").rlike(r"\S") if short else F.length("line") >= min_chars))
-    nodes = stash(distinct_lines(lines).withColumn("id", F.xxhash64("h1", "h2")))
-    found = stash(links(nodes.where(F.col("n") >= min_chars).select("id", "line", "n"), k))
+    lines = name_lines(rows.where(F.length(F.btrim("line", F.lit(BLANK))) > 0 if short else F.length("line") >= min_chars))
+    nodes = distinct_lines(lines)
+    found = stash(links(nodes.where(F.col("n") >= min_chars), k))
     ends = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    heads = stash(components(found).withColumnRenamed("node", "id").join(ends, "id"))
-    named = nodes.select("h1", "h2", "id", "place", "copies").join(heads, "id", "left")
-    named = named.select(
-        "h1", "h2", "place", F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
-    first = named.groupBy("class_id").agg(F.min("place").alias("first"))
-    named = stash(named.join(first, "class_id").select("h1", "h2", "class_id", "first", "n_links"))
-    joined = lines.select("doc", "key", "line_no", "h1", "h2").join(named, ["h1", "h2"])
-    shown = lambda c: F.when(c != LAST, c)
-    return joined.select(
-        shown(F.col("doc")).alias("doc_id"),
+    heads = components(found).withColumnRenamed("node", "id").join(ends, "id")
+    linked = stash(nodes.select("id", "h1", "h2", "place").join(heads, "id"))
+    first = linked.groupBy("component").agg(F.min(F.struct("place", name_of("h1", "h2").alias("class_id"))).alias("of"))
+    linked = linked.select("id", "component", "n_links").join(first, "component").select("id", "of.class_id", F.col("of.place").alias("first"), "n_links")
+    # a text that stands once and has no link is its own class, and needs no look-up
+    told = nodes.drop("line").join(stash(linked), "id", "left").where("copies > 1 or first is not null")
+    told = stash(told.select(
+        "h1", "h2", "copies", F.coalesce("class_id", name_of("h1", "h2")).alias("class_id"), F.coalesce("first", "place").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    ))
+    every = nodes.agg(F.sum("copies")).first()[0] or 0
+    common = told.where(F.col("copies") > every * COMMON_SHARE)
+    other = told.where(F.col("copies") <= every * COMMON_SHARE)
+    names = lines.select("doc_id", "key", "line_no", "h1", "h2")
+    names = names.join(F.broadcast(common), ["h1", "h2"], "left")
+    # what the broadcast told is spread over the tasks of the next join, where nothing meets it
+    asks = F.when(F.col("copies").isNull(), F.col("h1")).otherwise(F.xxhash64("doc_id", "key", "line_no"))
+    other = other.select(F.col("h1").alias("asks"), F.col("h2").alias("asks2"), *(F.col(c).alias(f"o_{c}") for c in ("class_id", "first", "n_links")))
+    named = names.withColumns({"asks": asks, "asks2": F.when(F.col("copies").isNull(), F.col("h2"))}).join(other, ["asks", "asks2"], "left")
+    own = place()
+    told_first = F.coalesce("first", "o_first")
+    placed = named.select(
+        "doc_id",
         "key",
         "line_no",
-        "class_id",
-        shown(F.col("first.doc")).alias("class_doc_id"),
-        F.col("first.line_no").alias("class_line_no"),
-        "n_links",
-        ((F.col("doc") == F.col("first.doc")) & (F.col("key") == F.col("first.key")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"),
+        F.coalesce("class_id", "o_class_id", name_of("h1", "h2")).alias("class_id"),
+        F.coalesce(told_first, own).alias("first"),
+        F.coalesce("n_links", "o_n_links", F.lit(0)).alias("n_links"),
+        F.coalesce(told_first == own, F.lit(True)).alias("kept"),
     )
+    return placed.where("not kept") if lost else placed
 
 
 def drop_repeated(docs: DataFrame, k: int = 2, min_chars: int = 32) -> DataFrame:
     """docs without lines of min_chars or more that repeat an earlier one; a document left without any but blank lines goes.
 
-    Documents that lose nothing, null and empty texts among them, stay as they are. n_chars follows the text.
+    Documents that lose nothing, null and empty texts among them, stay as they are. n_chars follows the text. Lost lines are
+    those of a doc_id and text: rows that share an id, or have none, lose only what their own text repeats.
     """
-    found = line_places(docs, k, min_chars, False)
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    lost = found.where("not kept").select(doc.alias("__doc"), F.col("key").alias("__key"), "line_no").distinct()
-    lost = lost.groupBy("__doc", "__key").agg(F.collect_set("line_no").alias("__lost"))
-    lost = stash(lost)
+    found = line_places(docs, k, min_chars, False, True)
+    lost = found.select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), "line_no").distinct()
+    lost = stash(lost.groupBy("__doc", "__key").agg(F.collect_set("line_no").alias("__lost")))
     few = (lost.agg(F.sum(F.size("__lost"))).first()[0] or 0) <= BROADCAST_LINES
-    joined = docs.withColumns({"__doc": doc, "__key": F.xxhash64("text")})
-    joined = joined.join(F.broadcast(lost) if few else lost, ["__doc", "__key"], "left").drop("__doc", "__key")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__key"))
+    joined = docs.join(F.broadcast(lost) if few else lost, same, "left")
     parts = F.split("text", "\n", -1)
     places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__lost")
     rest = F.transform(places, lambda i: F.get("__parts", i))

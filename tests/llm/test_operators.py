@@ -389,20 +389,22 @@ def test_html(spark):
 # 7
 
 
-def test_line_links(spark):
+@pytest.mark.parametrize("letters,least,most", [("abcd", 9, 16), ("aé日🎉", 35, 80)])
+def test_line_links(spark, letters, least, most):
     rng = random.Random(9)
-    base = ["".join(rng.choice("abcd") for _ in range(rng.randint(9, 16))) for _ in range(60)]
-    texts = set(base)
-    for t in base:
+    base = ["".join(rng.choice(letters) for _ in range(rng.randint(least, most))) for _ in range(60)]
+    family = {t: n for n, t in enumerate(base)}
+    for n, t in enumerate(base):
         for _ in range(6):
             x = list(t)
             for _ in range(rng.randint(1, 3)):
                 k = rng.randrange(len(x))
-                x[k : k + 1] = rng.choice([[], [rng.choice("abcd")], [x[k], rng.choice("abcd")]])
-            texts.add("".join(x))
-    texts = sorted(t for t in texts if len(t) >= 6)
+                x[k : k + 1] = rng.choice([[], [rng.choice(letters)], [x[k], rng.choice(letters)]])
+            family["".join(x)] = n if least > 20 else 0  # long texts of two families are far apart
+        family[t] = n if least > 20 else 0
+    texts = sorted(t for t in family if len(t) >= 6)
     nodes = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "id long, line string, n int")
-    expect = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if abs(len(texts[i]) - len(texts[j])) <= 2 and brute_distance(texts[i], texts[j]) <= 2}
+    expect = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if abs(len(texts[i]) - len(texts[j])) <= 2 and family[texts[i]] == family[texts[j]] and brute_distance(texts[i], texts[j]) <= 2}
     for hot in (0, 3, 1000):
         assert {(r["a"], r["b"]) for r in lines.links(nodes, 2, hot).collect()} == expect
 
