@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import components, stash
 
-#: Up to so many candidate pairs, lines are filtered by a broadcast of their ids before they are shuffled.
-BROADCAST_IDS = 500_000
+#: Up to so many ids of lines are broadcast to the lines, whose texts are then not shuffled.
+BROADCAST_IDS = 1_000_000
 #: Up to so many lost line numbers are broadcast to the documents, whose texts are then not shuffled.
 BROADCAST_LINES = 2_000_000
 #: Texts that make up more than this share of all lines, of which there can't be more than 4096, are looked up by broadcast.
@@ -190,70 +190,57 @@ def within_edits(left: str, right: str, k: int) -> Column:
     return F.expr(f"abs(length({left}) - length({right})) <= {k} and {found}")
 
 
-def busy_keys(entered: DataFrame, hot: int) -> DataFrame:
-    """(key, parts) of the keys with over `hot` entries, and into how many parts to deal those who ask for them."""
-    found = entered.groupBy("key").agg(F.count("*").alias("entries")).where(F.col("entries") > hot)
-    return stash(found.select("key", F.ceil(F.col("entries") / 1024).cast("int").alias("parts")))
-
-
-def met_calmly(entered: DataFrame, asked: DataFrame, busy: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of those who enter and ask for a key that is not busy."""
-    x, y = entered.join(busy, "key", "left_anti").alias("x"), asked.alias("y")
-    # no key has more than `hot` entries here, so that the side of the entries fits a hash table
-    met = y.join(x.hint("shuffle_hash"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")))
-    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+def some_of(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of a table whose id is listed; a short list is broadcast, so that the texts stay where they are."""
+    return table.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
 def verified(met: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """Those of the pairs (a, b), each once, whose lines are within k edits."""
     met = stash(met.distinct())
-    texts = nodes.select("id", "line")
-    needed = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if met.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(needed), "id", "left_semi")
+    needed = stash(met.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = some_of(nodes.select("id", "line"), needed)
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("left"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("right"))
     return met.join(left, "a").join(right, "b").where(within_edits("left", "right", k)).select("a", "b")
 
 
-def links(nodes: DataFrame, k: int, hot: int = 32, blocks: int = 6) -> DataFrame:
+def links(nodes: DataFrame, k: int, hot: int = 8, blocks: int = 6, part_rows: int = 1024) -> DataFrame:
     """(a, b), a < b by id, for all pairs of nodes (id, line, n) within k edits, each pair once.
 
     A segment that over `hot` lines enter would pair them all. Lines that meet there meet again under compound keys, which
-    hold all of a line but k of its blocks. Where those are busy too, lines differ in little: they are compared as they
-    meet, dealt over parts of the key, and only links leave the join.
+    hold all of a line but k of its blocks; they are paired where the counts of their letters, and of their pairs of
+    neighbouring letters, differ by no more than k edits can change. A key with many entries is dealt over parts.
     """
     nodes = nodes.select("id", "line", "n")
     keyed = stash(nodes.select("id", segment_keys(k).alias("keys")))
     still = [i for i, way in enumerate(segment_ways(k)) if way["less"] == way["shift"] == 0]
     entered = keyed.select("id", F.explode(F.array(*(F.get("keys", F.lit(i)) for i in still))).alias("key"))
     asked = keyed.select("id", F.explode("keys").alias("key"))
-    busy = busy_keys(entered, hot)
-    met = met_calmly(entered, asked, busy)
+    busy = stash(entered.groupBy("key").agg(F.count("*").alias("entries")).where(F.col("entries") > hot).select("key"))
+    x, y = entered.join(busy, "key", "left_anti").alias("x"), asked.alias("y")
+    # no key has more than `hot` entries here, so that the side of the entries fits a hash table
+    met = y.join(x.hint("shuffle_hash"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")))
+    met = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     if busy.isEmpty():
         return verified(met, nodes, k)
-    held = asked.join(busy, "key", "left_semi").select("id").distinct()
-    some = stash(nodes.join(held, "id", "left_semi"))
-    entered = some.select("id", F.explode(compound_keys(k, blocks, False)).alias("key"))
-    asked = some.select("id", F.explode(compound_keys(k, blocks, True)).alias("key"))
-    dense = busy_keys(entered, hot)
-    found = verified(met.union(met_calmly(entered, asked, dense)), nodes, k)
-    if dense.isEmpty():
-        return found
+    held = stash(asked.join(busy, "key", "left_semi").select("id").distinct())
     letters, pairs = parity("split(line, '')"), parity("transform(sequence(1, n), i -> substr(line, i, 2))")
-    texts = stash(some.withColumns({"letters": letters, "pairs": pairs}))
-    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    x = entered.join(dense, "key").select("id", "key", part.alias("part")).join(texts, "id").alias("x")
-    part = F.pmod(F.xxhash64("id"), F.col("parts").cast("bigint")).cast("int")
-    y = asked.join(dense, "key").select("id", "key", part.alias("part")).join(texts, "id").alias("y")
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part"))
+    keys = {"entered": compound_keys(k, blocks, False), "asked": compound_keys(k, blocks, True)}
+    some = stash(some_of(nodes, held).select("id", "n", letters.alias("letters"), pairs.alias("pairs"), *(v.alias(c) for c, v in keys.items())))
+    traits = ("id", "n", "letters", "pairs")
+    entered, asked = (some.select(*traits, F.explode(c).alias("key")) for c in ("entered", "asked"))
+    parts = entered.groupBy("key").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
+    parts = stash(parts.where("parts > 1"))
+    number = F.coalesce("parts", F.lit(1))
+    x = entered.join(parts, "key", "left").select(*traits, "key", F.explode(F.sequence(F.lit(1), number)).alias("part")).alias("x")
+    y = asked.join(parts, "key", "left").select(*traits, "key", (F.pmod(F.xxhash64("id"), number.cast("bigint")).cast("int") + 1).alias("part")).alias("y")
     once = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
     # an edit changes how often two letters occur at most, and four pairs of neighbours
-    close = (F.bit_count(F.col("x.letters").bitwiseXOR(F.col("y.letters"))) <= 2 * k) & (
-        F.bit_count(F.col("x.pairs").bitwiseXOR(F.col("y.pairs"))) <= 4 * k
-    )
-    held = x.join(y, same & once & close & within_edits("x.line", "y.line", k))
-    return found.union(held.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))).distinct()
+    changed = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
+    close = (changed("letters") <= 2 * k) & (changed("pairs") <= 4 * k)
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & once & close)
+    return verified(met.union(more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))), nodes, k)
 
 
 def line_classes(docs: DataFrame, k: int = 2, min_chars: int = 32) -> DataFrame:
@@ -283,14 +270,18 @@ def line_places(docs: DataFrame, k: int, min_chars: int, short: bool, lost: bool
     nodes = distinct_lines(lines)
     found = stash(links(nodes.where(F.col("n") >= min_chars), k))
     ends = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    heads = components(found).withColumnRenamed("node", "id").join(ends, "id")
-    linked = stash(nodes.select("id", "h1", "h2", "place").join(heads, "id"))
-    first = linked.groupBy("component").agg(F.min(F.struct("place", name_of("h1", "h2").alias("class_id"))).alias("of"))
-    linked = linked.select("id", "component", "n_links").join(first, "component").select("id", "of.class_id", F.col("of.place").alias("first"), "n_links")
+    heads = stash(components(found).withColumnRenamed("node", "id").join(ends, "id"))
     # a text that stands once and has no link is its own class, and needs no look-up
-    told = nodes.drop("line").join(stash(linked), "id", "left").where("copies > 1 or first is not null")
-    told = stash(told.select(
-        "h1", "h2", "copies", F.coalesce("class_id", name_of("h1", "h2")).alias("class_id"), F.coalesce("first", "place").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    told = nodes.select("id", "h1", "h2", "place", "copies").join(heads, "id", "left")
+    told = stash(told.where("copies > 1 or component is not null"))
+    first = told.where("component is not null").groupBy("component").agg(F.min(F.struct("place", name_of("h1", "h2").alias("class_id"))).alias("of"))
+    told = stash(told.join(first, "component", "left").select(
+        "h1",
+        "h2",
+        "copies",
+        F.coalesce("of.class_id", name_of("h1", "h2")).alias("class_id"),
+        F.coalesce("of.place", "place").alias("first"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
     ))
     every = nodes.agg(F.sum("copies")).first()[0] or 0
     common = told.where(F.col("copies") > every * COMMON_SHARE)
@@ -300,7 +291,7 @@ def line_places(docs: DataFrame, k: int, min_chars: int, short: bool, lost: bool
     # what the broadcast told is spread over the tasks of the next join, where nothing meets it
     asks = F.when(F.col("copies").isNull(), F.col("h1")).otherwise(F.xxhash64("doc_id", "key", "line_no"))
     other = other.select(F.col("h1").alias("asks"), F.col("h2").alias("asks2"), *(F.col(c).alias(f"o_{c}") for c in ("class_id", "first", "n_links")))
-    named = names.withColumns({"asks": asks, "asks2": F.when(F.col("copies").isNull(), F.col("h2"))}).join(other, ["asks", "asks2"], "left")
+    named = names.withColumns({"asks": asks, "asks2": F.when(F.col("copies").isNull(), F.col("h2"))}).join(other.hint("merge"), ["asks", "asks2"], "left")
     own = place()
     told_first = F.coalesce("first", "o_first")
     placed = named.select(
