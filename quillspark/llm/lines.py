@@ -205,7 +205,7 @@ def verified(met: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return met.join(left, "a").join(right, "b").where(within_edits("left", "right", k)).select("a", "b")
 
 
-def links(nodes: DataFrame, k: int, hot: int = 8, blocks: int = 6, part_rows: int = 1024) -> DataFrame:
+def links(nodes: DataFrame, k: int, hot: int = 8, blocks: int = 5, part_rows: int = 1024) -> DataFrame:
     """(a, b), a < b by id, for all pairs of nodes (id, line, n) within k edits, each pair once.
 
     A segment that over `hot` lines enter would pair them all. Lines that meet there meet again under compound keys, which
@@ -275,6 +275,7 @@ def line_places(docs: DataFrame, k: int, min_chars: int, short: bool, lost: bool
     told = nodes.select("id", "h1", "h2", "place", "copies").join(heads, "id", "left")
     told = stash(told.where("copies > 1 or component is not null"))
     first = told.where("component is not null").groupBy("component").agg(F.min(F.struct("place", name_of("h1", "h2").alias("class_id"))).alias("of"))
+    told = told.withColumn("component", F.coalesce("component", "id"))  # no null that all rows without links would share
     told = stash(told.join(first, "component", "left").select(
         "h1",
         "h2",
