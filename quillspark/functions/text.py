@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Characters with the Unicode property White_Space, as the inside of a character class.
 WHITE_SPACE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WHITE_CHARS = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: What counts as white space at the end of a line, and controls that may be stripped.
 LINE_SPACE = r"[ \t\r\x{3000}\x{A0}\x{200B}-\x{200D}\x{FEFF}]"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
@@ -24,7 +25,7 @@ def _col(c) -> Column:
 
 def trim_unicode(c) -> Column:
     """c without White_Space at either end; zero-width characters stay."""
-    return F.regexp_replace(F.regexp_replace(_col(c), rf"^[{WHITE_SPACE}]+", ""), rf"[{WHITE_SPACE}]+\z", "")
+    return F.btrim(_col(c), F.lit(WHITE_CHARS))
 
 
 def is_line_whitespace(c) -> Column:

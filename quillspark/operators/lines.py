@@ -16,12 +16,10 @@ def split_lines(books: DataFrame) -> DataFrame:
     A newline at the end opens no further line; null and empty texts have no lines. `ended` tells whether a newline
     follows, n_bytes is the book's size. The text itself is left behind at once, and the only exchange is on book_id.
     """
-    parts = books.select(
-        "book_id",
-        F.octet_length("source_text").cast("long").alias("n_bytes"),
-        F.posexplode(F.split("source_text", "\n", -1)).alias("line_no", "line"),
-        F.size(F.split("source_text", "\n", -1)).alias("n_parts"),
-    )
+    # what needs the whole text is made once a book, below the explode, which leaves the text behind
+    parts = books.select("book_id", F.octet_length("source_text").cast("long").alias("n_bytes"), F.split("source_text", "\n", -1).alias("parts"))
+    parts = parts.select("book_id", "n_bytes", F.size("parts").alias("n_parts"), "parts")
+    parts = parts.select("book_id", "n_bytes", "n_parts", F.posexplode("parts").alias("line_no", "line"))
     parts = parts.withColumn("ended", F.col("line_no") < F.col("n_parts") - 1).where("ended or line <> ''")
     # trimmed below the window, so that what reads it many times does not trim many times
     parts = parts.withColumn("trimmed", trim_unicode("line"))

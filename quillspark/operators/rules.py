@@ -47,6 +47,18 @@ BUILTIN = (
     ("builtin-watermark-free-read", "(?:免费(?:阅读|看书|小说)|无广告(?:阅读|追书)|全本(?:免费|无弹窗))", "watermark", 140),
 )
 
+#: For rules that are costly to search every line for, words of which a line must hold one to match.
+NEEDED = {
+    "builtin-watermark-url-http": ("http",),
+    "builtin-watermark-url-www": ("www.",),
+    "builtin-watermark-tg-handle": ("@",),
+    "builtin-watermark-domain": tuple(f".{end}" for end in "com net org cc cn io me xyz info tv club app top vip biz".split()),
+    "builtin-watermark-first-publish": ("首发", "更新最快", "最快"),
+    "builtin-watermark-piracy-warn": ("盗", "可耻", "严禁转载", "未经授权"),
+    "builtin-watermark-free-read": ("免费", "无广告", "全本"),
+}
+_errors: dict[str, str | None] = {}
+
 
 def builtin_rules(spark: SparkSession) -> DataFrame:
     """The built-in rules, with ord, their place."""
@@ -112,8 +124,9 @@ def compiled(rules: DataFrame, kind: str) -> list[tuple[str, str]]:
 
     A chapter or volume rule that does not compile raises.
     """
-    found = []
-    for row in enabled_rules(rules, kind).collect():
+    found, rows = [], enabled_rules(rules, kind).collect()
+    check_patterns(rules.sparkSession, [row["pattern"] for row in rows])
+    for row in rows:
         problem = pattern_error(rules.sparkSession, row["pattern"])
         if problem is None:
             found.append((row["id"], java_pattern(row["pattern"])))
@@ -127,19 +140,33 @@ def java_pattern(pattern: str) -> str:
     return DIALECT + pattern.replace("\\u{", "\\x{")
 
 
-def pattern_error(spark: SparkSession, pattern: str) -> str | None:
-    """What is wrong with a pattern; None if it compiles."""
+def check_patterns(spark: SparkSession, patterns: list[str]) -> None:
+    """Compile patterns that are not known yet in one job; only where one of them fails is each tried by itself."""
+    new = [p for p in dict.fromkeys(patterns) if p not in _errors]
     try:
-        spark.range(1).select(F.lit("").rlike(java_pattern(pattern))).collect()
+        if new:
+            spark.range(1).select(*(F.lit("").rlike(java_pattern(p)) for p in new)).collect()
+        _errors.update(dict.fromkeys(new))
     except Exception as e:  # noqa: BLE001 - any failure to compile is the answer
-        return str(e).splitlines()[0]
-    return None
+        if len(new) == 1:
+            _errors[new[0]] = str(e).splitlines()[0]
+        else:
+            for p in new:
+                check_patterns(spark, [p])
+
+
+def pattern_error(spark: SparkSession, pattern: str) -> str | None:
+    """What is wrong with a pattern; None if it compiles."""
+    check_patterns(spark, [pattern])
+    return _errors[pattern]
 
 
 def validate_rules(rules: DataFrame) -> DataFrame:
     """(id, error) of the rules that do not compile."""
     spark = rules.sparkSession
-    bad = [(r["id"], e) for r in rules.collect() if (e := pattern_error(spark, r["pattern"]))]
+    rows = rules.collect()
+    check_patterns(spark, [r["pattern"] for r in rows])
+    bad = [(r["id"], e) for r in rows if (e := pattern_error(spark, r["pattern"]))]
     return spark.createDataFrame(bad, "id string, error string")
 
 
@@ -152,7 +179,14 @@ def match_all_rules(c: str, patterns: list[tuple[str, str]]) -> Column:
     """The ids of all rules that a line matches, in order, as an array."""
     if not patterns:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*(F.when(F.col(c).rlike(p), F.lit(i)) for i, p in patterns)))
+    return F.array_compact(F.array(*(F.when(_may_match(c, i, p) & F.col(c).rlike(p), F.lit(i)) for i, p in patterns)))
+
+
+def _may_match(c: str, rule_id: str, pattern: str) -> Column:
+    """Whether a line holds a word that the built-in rule of this id and pattern needs; true for others."""
+    if (rule_id, pattern) not in {(i, java_pattern(p)) for i, p, _, _ in BUILTIN}:
+        return F.lit(True)
+    return reduce(lambda a, b: a | b, (F.col(c).contains(w) for w in NEEDED.get(rule_id, ("",))))
 
 
 def heading_candidates(lines: DataFrame, rules: DataFrame, longest: int = 100) -> DataFrame:

@@ -6,9 +6,10 @@ the common tables of plans.oracle. Scores are rounded to six digits on both side
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -18,7 +19,8 @@ from quillspark.operators import lines as L
 from quillspark.operators import rules as R
 from quillspark.plans.books import BOILERPLATE, Curation, books, document_books
 from quillspark.plans.oracle import merged, sql
-from quillspark.sources.files import decode_books
+from quillspark.sources import files
+from quillspark.tables import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,18 +74,21 @@ def document_lines(c):
     "greatest(body_end - body_start, 0) AS body_bytes, body_end <= body_start AS body_empty FROM chapters c WHERE heading_end > heading_start"
 )
 def span_text(c):
-    own = c.chapters.where("heading_end > heading_start").join(c.books.select("book_id", "source_text"), "book_id")
+    own = c.chapters.where("heading_end > heading_start")
+    own = own.join(c.lines.select("book_id", F.col("byte_start").alias("heading_start"), "line"), ["book_id", "heading_start"])
     return own.select(
-        "book_id", "chapter_no", "heading_start", T.span_text("source_text", "heading_start", "heading_end").alias("heading"),
+        "book_id", "chapter_no", "heading_start", T.span_text("line", F.lit(0), F.col("heading_end") - F.col("heading_start")).alias("heading"),
         T.span_len("body_start", "body_end").alias("body_bytes"), T.span_is_empty("body_start", "body_end").alias("body_empty"),
     )
 
 
 @query("SELECT book_id, s, e, char_start AS char_s, s AS byte_again FROM marks JOIN lines l USING (book_id, line_no)")
 def byte_and_char_offsets(c):
-    marked = _span(c.watermarks).join(c.books.select("book_id", "source_text"), "book_id")
-    marked = marked.withColumn("char_s", T.byte_to_char("source_text", "s"))
-    return marked.select("book_id", "s", "e", "char_s", T.char_to_byte("source_text", "char_s").alias("byte_again"))
+    at = c.lines.select("book_id", F.col("byte_start").alias("s"), "byte_start", "char_start", "line")
+    marked = _span(c.watermarks).join(at, ["book_id", "s"])
+    marked = marked.withColumn("char_s", F.col("char_start") + T.byte_to_char("line", F.col("s") - F.col("byte_start")))
+    again = F.col("byte_start") + T.char_to_byte("line", F.col("char_s") - F.col("char_start"))
+    return marked.select("book_id", "s", "e", "char_s", again.alias("byte_again"))
 
 
 @query(
@@ -130,7 +135,137 @@ def book_profile(c):
 @over("documents", "SELECT 'book-' || doc_id AS path, 'ok' AS decode_status, text AS source_text, strlen(text) AS n_bytes, length(text) AS n_chars FROM documents WHERE text IS NOT NULL")
 def decoded_books(docs):
     raw = docs.where("text is not null").select(F.concat(F.lit("book-"), "doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))
-    return decode_books(raw).select("path", "decode_status", "source_text", "n_bytes", "n_chars")
+    return files.decode_books(raw).select("path", "decode_status", "source_text", "n_bytes", "n_chars")
+
+
+# Files and rule sets, made from the documents
+
+
+def _written(df: DataFrame, name: str) -> str:
+    """Where df is written for a reader of files to find it."""
+    return f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
+#: A document's label of its encoding, and the encoding its file is in.
+LABEL = "CASE doc_id % 6 WHEN 0 THEN 'utf8' WHEN 1 THEN ' GBK ' WHEN 2 THEN 'cp936' WHEN 3 THEN 'klingon' WHEN 4 THEN 'unicode-1-1-utf-8' END"
+
+
+@over("documents", f"SELECT doc_id, {LABEL} AS label, CASE doc_id % 6 WHEN 0 THEN 'UTF-8' WHEN 1 THEN 'GBK' WHEN 2 THEN 'GBK' WHEN 4 THEN 'UTF-8' END AS encoding, doc_id % 6 <> 3 AS label_known FROM documents")
+def encoding_labels(docs):
+    return files.resolve_encoding_label(docs.select("doc_id", F.expr(LABEL).alias("label")))
+
+
+@over("documents", "SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 1 THEN chr(65279) || text ELSE text END) AS sha256 FROM documents WHERE text IS NOT NULL")
+def stripped_marks(docs):
+    raw = F.concat(F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("EFBBBF"))).otherwise(F.unhex(F.lit(""))), F.encode("text", "UTF-8"))
+    marked = docs.where("text is not null").select("doc_id", raw.alias("content"), F.when(F.col("doc_id") % 2 == 0, "UTF-8").otherwise("UTF-16LE").alias("encoding"))
+    return marked.select("doc_id", F.sha2(files.strip_bom(), 256).alias("sha256"))
+
+
+def _raw(docs) -> tuple[DataFrame, DataFrame]:
+    """Files of the documents, of which every seventh breaks off in a character, and the labels of some."""
+    some = docs.where("text is not null").select(F.concat(F.lit("book-"), "doc_id").alias("path"), "doc_id", "text")
+    broken = F.when(F.col("doc_id") % 7 == 0, F.unhex(F.lit("E4BD"))).otherwise(F.unhex(F.lit("")))
+    labels = some.where("doc_id % 2 = 0 or doc_id % 7 = 0").select("path", F.when(F.col("doc_id") % 5 == 0, "klingon").otherwise("UTF-8").alias("label"))
+    return some.select("path", F.concat(F.encode("text", "UTF-8"), broken).alias("content")), labels
+
+
+@over(
+    "documents",
+    "SELECT 'book-' || doc_id AS path, CASE WHEN (doc_id % 2 = 0 OR doc_id % 7 = 0) AND doc_id % 5 = 0 THEN 'unknown_label' ELSE 'malformed' END AS decode_status, "
+    "doc_id % 7 <> 0 AND NOT (doc_id % 2 = 0 AND doc_id % 5 = 0) AS good FROM documents WHERE text IS NOT NULL AND (doc_id % 7 = 0 OR doc_id % 2 = 0 AND doc_id % 5 = 0) "
+    "UNION ALL SELECT 'book-' || doc_id, 'ok', true FROM documents WHERE text IS NOT NULL AND doc_id % 7 <> 0 AND NOT (doc_id % 2 = 0 AND doc_id % 5 = 0)",
+)
+def quarantined_books(docs):
+    good, bad = files.quarantine_malformed(files.decode_books(*_raw(docs)))
+    pick = lambda df, is_good: df.select("path", "decode_status", F.lit(is_good).alias("good"))
+    return pick(good, True).union(pick(bad, False))
+
+
+@over("documents", "SELECT lang AS folder, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY lang")
+def raw_book_files(docs):
+    path = _written(docs, "raw")
+    docs.where("text is not null and lang is not null").select("lang", "text").write.partitionBy("lang").text(path)
+    return files.read_raw_books(docs.sparkSession, path).groupBy(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("folder")).agg(F.sum("length").alias("n_bytes"))
+
+
+@over("labels", "SELECT 'book-' || doc_id AS book_id, quality AS start, quality + 10 AS \"end\", 'watermark' AS scope, CASE WHEN toxic = 1 THEN 'approved' ELSE 'rejected' END AS verdict FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL")
+def decisions_from_json(labels):
+    path = _written(labels, "decisions")
+    span = F.struct(F.col("quality").cast("long").alias("start"), (F.col("quality") + 10).cast("long").alias("end"))
+    item = F.struct(F.concat(F.lit("book-"), "doc_id").alias("book_id"), span.alias("span"), F.lit("watermark").alias("scope"), F.when(F.col("toxic") == 1, "approved").otherwise("rejected").alias("verdict"))
+    rows = labels.where("doc_id is not null and quality is not null").select((F.col("doc_id") - F.col("doc_id") % 1000).alias("part"), item.alias("d"))
+    rows.groupBy("part").agg(F.to_json(F.collect_list("d")).alias("value")).write.partitionBy("part").text(path)
+    return files.read_decisions(labels.sparkSession, f"{path}/part=*")
+
+
+def _rules_of(docs, keep: str) -> DataFrame:
+    """A rule for each language and source of some documents; the first of German is named like a built-in one, and one in three does not compile."""
+    groups = docs.where(f"lang is not null and source is not null and ({keep})").groupBy("lang", "source").agg(F.count("*").cast("int").alias("n"), F.min("doc_id").cast("int").alias("low"))
+    own = F.concat_ws("-", F.lit("user"), "lang", "source")
+    ordered = groups.withColumn("ord", (F.row_number().over(Window.orderBy("lang", "source")) - 1).cast("int"))
+    first = (F.col("lang") == "de") & (F.col("ord") == 0)
+    return ordered.select(
+        F.when(first, "builtin-volume-cn-bu").otherwise(own).alias("id"), F.concat("source", F.when(F.col("n") % 3 == 0, "(").otherwise("")).alias("pattern"),
+        F.when(F.col("n") % 2 == 0, "chapter").otherwise("watermark").alias("kind"), (F.col("low") % 2 == 0).alias("enabled"), F.col("n").alias("priority"),
+        F.lit("user").alias("source"), F.col("lang").alias("description"), "ord",
+    )
+
+
+def _rules_sql(keep: str) -> str:
+    return (
+        "(SELECT CASE WHEN lang = 'de' AND ord = 0 THEN 'builtin-volume-cn-bu' ELSE 'user-' || lang || '-' || src END AS id, src || CASE WHEN n % 3 = 0 THEN '(' ELSE '' END AS pattern, "
+        "CASE WHEN n % 2 = 0 THEN 'chapter' ELSE 'watermark' END AS kind, low % 2 = 0 AS enabled, n AS priority, 'user' AS source, lang AS description, ord FROM (SELECT lang, source AS src, "
+        "CAST(count(*) AS INT) AS n, CAST(min(doc_id) AS INT) AS low, CAST(row_number() OVER (ORDER BY lang, source) - 1 AS INT) AS ord FROM documents "
+        f"WHERE lang IS NOT NULL AND source IS NOT NULL AND ({keep}) GROUP BY lang, source))"
+    )
+
+
+RULE_FIELDS = ("pattern", "kind", "enabled", "priority", "source", "description")
+OLD, NEW = "doc_id % 3 <> 0", "doc_id % 2 = 0"
+
+
+def _upsert_sql(old: str, new: str) -> str:
+    """SQL for a rule set with the rules of another: known ones in their places, the others behind."""
+    fields = ", ".join(f"CASE WHEN n.id IS NULL THEN o.{c} ELSE n.{c} END AS {c}" for c in RULE_FIELDS)
+    return f"SELECT coalesce(n.id, o.id) AS id, {fields}, CAST(coalesce(o.ord, (SELECT max(ord) FROM {old}) + 1 + n.ord) AS INT) AS ord FROM {old} o FULL JOIN {new} n ON o.id = n.id"
+
+
+def _builtin_sql() -> str:
+    rows = ", ".join(f"('{i}', '{p}', '{k}', true, {n}, 'builtin', '', {at})" for at, (i, p, k, n) in enumerate(R.BUILTIN))
+    return f"(SELECT * FROM (VALUES {rows}) AS t(id, pattern, kind, enabled, priority, source, description, ord))"
+
+
+@over("documents", _upsert_sql(_rules_sql(OLD), _rules_sql(NEW)))
+def upserted_rules(docs):
+    return R.upsert_rules(_rules_of(docs, OLD), _rules_of(docs, NEW))
+
+
+@over("documents", _upsert_sql(_builtin_sql(), _rules_sql(NEW)))
+def merged_rules(docs):
+    return R.merge_rules(R.builtin_rules(docs.sparkSession), _rules_of(docs, NEW))
+
+
+@over("documents", f"SELECT * FROM {_rules_sql(OLD)} WHERE id NOT IN (SELECT id FROM {_rules_sql('doc_id % 40 = 0')})")
+def removed_rules(docs):
+    return R.remove_rules(_rules_of(docs, OLD), _rules_of(docs, "doc_id % 40 = 0"))
+
+
+@over("documents", f"SELECT * FROM {_rules_sql(OLD)} WHERE id = 'builtin-volume-cn-bu'")
+def found_rule(docs):
+    return R.find_rule(_rules_of(docs, OLD), "builtin-volume-cn-bu")
+
+
+@over("documents", f"SELECT id FROM {_rules_sql(OLD)} WHERE contains(pattern, '(')")
+def invalid_rules(docs):
+    return R.validate_rules(_rules_of(docs, OLD)).select("id")
+
+
+@over("documents", f"SELECT * FROM {_rules_sql(OLD)}")
+def rules_from_json(docs):
+    path = _written(docs, "rules")
+    R.write_rules(_rules_of(docs, OLD), path)
+    return R.read_rules(docs.sparkSession, path)
 
 
 # Cleaning

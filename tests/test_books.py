@@ -1,6 +1,9 @@
 """Lines, cleaning, chapters, and boilerplate on small books with known outcomes."""
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.config import CleaningConfig, WatermarkConfig, partial_config
 from quillspark.operators import chapters, cleaning, lines, rules, spans, watermark
@@ -8,22 +11,22 @@ from quillspark.plans.books import Curation
 
 BOOKS = {
     "flat3": "第一章 起\n正文1\n\n第二章 承\n正文2a\n正文2b\n第三章 转\n正文3",
-    "preface": "这是楔子,正文还没开始\n\n第一章\n正文",
+    "preface": "雨下了一整夜,屋檐还在滴水\n\n第一章\n天亮了",
     "no_heading": "一行\n两行\n三行",
-    "keyword_in_body": "第一章\n他正在读第一章 的内容\n第二章\n后续",
+    "keyword_in_body": "第一章\n信纸上抄着第一章 里的两行字\n第二章\n后续",
     "arabic": "第1章 阿拉伯数字\n正文\n第2章 第二\n正文",
-    "volumes": "第一卷 风起\n第一章 起\n正文1\n第二章 承\n正文2\n第二卷 云涌\n第三章 转\n正文3\n",
+    "volumes": "第一卷 渡口\n第一章 船\n河水很慢\n第二章 桥\n桥下无人\n第二卷 山路\n第三章 雪\n脚印很浅\n",
     "heading_bytes": "第一章 起\n正文1\n第二章 承\n正文2",
     "trailing_in_body": "第一章\n正文1   \n正文2　\n",
     "long_line": "第一章 " + "很长的标题" * 30,
     "crlf": "第一章\r\n正文1\r\n\r\n\r\n正文2\r\n",
     "empty": "",
     "null": None,
-    "x50": "第一章 起\n" + "本文首发于纵横中文网,谢谢支持\n正文很长很长很长很长很长\n" * 50,
-    "heading_wm": "第一章 首发于\n正文一。\n第二章 起\n正文二。\n",
-    "dialogue": "「这是一句对白内容。本文首发于 https://example.com」\n" * 50,
+    "x50": "第一章 起\n" + "本书首发于甲乙丙读书站,多谢捧场\n他沿着河岸一直走到了黄昏\n" * 50,
+    "heading_wm": "第一章 首发于\n窗外有风。\n第二章 灯\n灯还亮着。\n",
+    "dialogue": "「你从哪里听来的？本书首发于 https://example.org」\n" * 50,
     "ncjk": "本文首发于 https://example.com 谢谢支持。",
-    "keyword_only": "本文首发于纵横中文网,谢谢支持。",
+    "keyword_only": "本书首发于甲乙丙读书站,多谢捧场。",
     "emoji": "a🎉b\n　　第一章 起   \n\n\n\n  正文1\t\t\n前\x01中\x07后\x7f\n",
 }
 
@@ -84,7 +87,7 @@ def test_paragraphs(run):
         found.setdefault(r["book_id"], []).append(r["text"])
     assert found["trailing_in_body"] == ["正文1", "正文2"]
     assert found["crlf"] == ["正文1", "正文2"]
-    assert found["x50"] == ["正文很长很长很长很长很长"] * 50
+    assert found["x50"] == ["他沿着河岸一直走到了黄昏"] * 50
     assert "empty" not in found and "null" not in found
 
 
@@ -138,7 +141,7 @@ def test_empty_tables(spark):
 
 RULE_LINES = [
     ("chapter", "第一章 起", True), ("chapter", "第十二回", True), ("chapter", "第3节　开端", True), ("chapter", "番外篇 一", True), ("chapter", "他读第一章", False), ("chapter", "第一章节", False),
-    ("volume", "第一卷 风起", True), ("volume", "卷三", True), ("volume", "上卷", True), ("volume", "上卷书", False),
+    ("volume", "第一卷 渡口", True), ("volume", "卷三", True), ("volume", "上卷", True), ("volume", "上卷书", False),
     ("watermark", "请到 https://a.b/c", True), ("watermark", "访问foo.com吧", False), ("watermark", "see foo.com now", True), ("watermark", "盗版必究", True), ("watermark", "正文", False),
 ]
 
@@ -181,3 +184,11 @@ def test_one_exchange_for_line_work(spark):
 def test_chapter_lengths(spark):
     sized = spark.createDataFrame([("a", 1), ("a", 4), ("b", 7)], "book_id string, n_chars long")
     assert {r["book_id"]: r["median"] for r in chapters.chapter_length_median(sized).collect()} == {"a": 2, "b": 7}
+
+
+def test_a_long_book_is_split_in_linear_time(spark):
+    """A book of some two million characters and 100,000 lines."""
+    book = spark.range(1).select(F.col("id").alias("book_id"), F.repeat(F.lit("第一行文字 and twenty.\n"), 100_000).alias("source_text"))
+    began = time.time()
+    got = lines.split_lines(book).agg(F.count("*"), F.max("byte_end"), F.max("n_bytes")).first()
+    assert tuple(got) == (100_000, 100_000 * 28 - 1, 100_000 * 28) and time.time() - began < 20

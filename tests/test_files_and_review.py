@@ -38,6 +38,22 @@ def test_decode(spark, tmp_path):
     assert good.count() == 6 and bad.count() == 2
 
 
+CHINESE = "清晨的集市上人声鼎沸，卖菜的老人把新摘的豆角摆得整整齐齐，孩子们在人群里跑来跑去，笑声传得很远。"
+TRADITIONAL = "清晨的市集上人聲鼎沸，賣菜的老人把新摘的豆角擺得整整齊齊，孩子們在人群裡跑來跑去，笑聲傳得很遠。"
+JAPANESE = "朝の市場には人があふれていた。野菜を売る老人は、とれたての豆をていねいに並べている。"
+KOREAN = "이른 아침 시장에는 사람들이 가득했고 채소를 파는 노인은 갓 딴 콩을 가지런히 늘어놓았다"
+
+
+@pytest.mark.parametrize("text,encoding", [(CHINESE, "gb18030"), (TRADITIONAL, "Big5"), (JAPANESE, "Shift_JIS"), (JAPANESE, "EUC-JP"), (KOREAN, "EUC-KR"), (CHINESE, "UTF-8"), (KOREAN, "UTF-8")])
+def test_detected_encodings(text, encoding):
+    assert files.decode_one(text.encode(encoding), None) == (text, encoding, "ok")
+
+
+def test_encoding_names():
+    labels = {"cp936": "GBK", "sjis": "Shift_JIS", "UTF-16": "UTF-16LE", " latin1 ": "windows-1252", "iso-8859-2": "ISO-8859-2", "koi8-r": "KOI8-R", "cp949": "EUC-KR", "klingon": None, "": None, None: None}
+    assert {x: files.canonical_name(x) for x in labels} == labels
+
+
 def test_strip_bom(spark):
     rows = [(b"\xef\xbb\xbfab", "UTF-8"), (b"\xff\xfea\x00", "UTF-16LE"), (b"\xff\xfea\x00", "UTF-8")]
     got = [bytes(r[0]) for r in spark.createDataFrame(rows, "content binary, encoding string").select(files.strip_bom()).collect()]
