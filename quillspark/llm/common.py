@@ -2,32 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own_dir: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if "dir" not in _own_dir:
-        _own_dir["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return _own_dir["dir"]
-
+from quillspark.tables import materialize, shared_dir  # noqa: F401 - the operators take shared_dir from here
 
-def stash(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: the lineage is cut, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+stash = materialize
 
 
 def merge_links(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:

@@ -119,11 +119,11 @@ def near_duplicates(
     vec_id reached, itself included; a null vec_id never names a component that has others. Other columns are not read.
     """
     rows = vectors.select("vec_id", "embedding")
-    units = usable(rows).select("vec_id", "u", F.xxhash64("u").alias("h1"), F.xxhash64("u", F.lit(1)).alias("h2"))
+    units = usable(rows).select("vec_id", "u", F.xxhash64(F.lit(1), "u").alias("h1"), F.xxhash64(F.lit(2), "u").alias("h2"))
     units = stash(units)
-    # equal vectors are one node, named by a hash of 128 bits of which the first 64 identify it in what follows
+    # equal vectors are one node, named by two independent hashes of 64 bits, and numbered as it is written out
     nodes = units.groupBy("h1", "h2").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
-    nodes = stash(nodes.withColumn("id", F.xxhash64("h1", "h2")))
+    nodes = stash(nodes.withColumn("id", F.monotonically_increasing_id()))
     n = nodes.count()
     width, planned = plan(n, least, QUANTUM)
     tables = tables or planned

@@ -1,9 +1,10 @@
 """Main-text extraction by consensus host paths.
 
 Every page's containers are scored by the text that they hold; a container is named by its generalised path of
-tags and classes (digits and hashes removed, positions ignored). Pages vote for paths, Spark sums the votes by
-host, and every page is then extracted again by the best path of its host that it has. A page that has none of
-its host's winning paths falls back on its own best container.
+tags and classes (digits and hashes removed, positions ignored). Pages vote for paths, and Spark sums the votes by
+host, with how many different texts a path holds on how many different pages. Paths whose text stays the same from
+page to page are boilerplate of the host: they win nothing and are left out. Every page is then extracted again by
+the best path of its host that it has. A page that has no path of its host's consensus falls back on its own best container.
 """
 
 from __future__ import annotations
@@ -13,14 +14,16 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from quillspark.llm.common import stash
 
-#: Of a page, so many of its best paths are voted for; of a host, so many of the best paths are carried to its pages.
-VOTES = 3
-WINNERS = 8
+#: A host's consensus are the paths with this share of its votes; there cannot be more than its inverse.
+LEAST_SHARE = 1 / 64
+#: A path is boilerplate where it holds at most this share as many texts as there are different pages, of which there are enough.
+SAME_TEXT, ENOUGH_PAGES = 0.34, 6
 
 #: HTML elements without content, raw text, blocks, and parts that are never main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -117,7 +120,7 @@ class Page:
             tag = (m[2] or m[5] or "").lower()
             if not tag:
                 if not drop and m[0].startswith("<![CDATA["):
-                    self.text.append(m[0][9:-3])
+                    self.text.append(m[0][9:].removesuffix("]]>"))
                 continue
             if m[1] or m[4]:
                 if tag == "br":
@@ -158,8 +161,6 @@ class Page:
             if rest.endswith("/") and tag not in BLOCK:
                 continue
             step, bad, good = traits(tag, rest)
-            if tag == "header" and not any(x[0] in ("article", "main") for x in open_):
-                bad = True
             open_.append((tag, step, box, drop, link, head))
             if bad:
                 if not drop:
@@ -201,21 +202,30 @@ class Page:
         return self._children[k]
 
     def votes(self) -> dict[str, float]:
-        """The shares of the best paths in the page's score."""
+        """The shares of the paths in the page's score, best first."""
         by: dict[str, float] = {}
         for path, score in zip(self.paths, self.scores()):
             if score > 0:
                 by[path] = by.get(path, 0.0) + score
-        best = sorted(by.items(), key=lambda x: (-x[1], x[0]))[:VOTES]
-        whole = sum(x[1] for x in best)
-        return {p: s / whole for p, s in best}
+        whole = sum(by.values())
+        return {p: s / whole for p, s in sorted(by.items(), key=lambda x: (-x[1], x[0]))}
 
-    def extract(self, winners: list[str]) -> str:
-        """The text of the first of the winning paths that the page has with text, else of its own best container."""
+    def texts(self) -> dict[str, str]:
+        """What each path holds itself, without the containers in it."""
+        by: dict[str, list[str]] = {}
+        for box, text, _, _ in self.blocks:
+            by.setdefault(self.paths[box], []).append(text)
+        return {path: "\n".join(found) for path, found in by.items()}
+
+    def extract(self, winners: list[str], same: frozenset[str] = frozenset()) -> str:
+        """The text of the first of the winning paths that the page has with text, else of its own best container.
+
+        Containers in it with a path of `same` are left out.
+        """
         for path in [*winners, *self.votes()]:
             inside = [False] * len(self.paths)
             for k in range(len(self.paths)):
-                inside[k] = self.paths[k] == path or (k > 0 and inside[self.parents[k]])
+                inside[k] = self.paths[k] == path or (k > 0 and inside[self.parents[k]] and self.paths[k] not in same)
             text = "\n".join(b[1] for b in self.blocks if inside[b[0]])
             if text:
                 return text
@@ -228,41 +238,55 @@ def with_host(pages: DataFrame) -> DataFrame:
     return pages.withColumn("__host", F.when(host != "", host))
 
 
-def host_paths(pages: DataFrame, winners: int = WINNERS) -> DataFrame:
-    """(host, paths): of every host the paths with the most votes, best first; ties go to the first path by name."""
+def host_paths(pages: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
+    """(host, paths, same): of every host the paths of its consensus, best first, ties by name, and its boilerplate paths."""
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            sums: dict[tuple[str, str], float] = {}
+            found = []
             for host, source in zip(rows["__host"], rows["html"]):
-                for path, share in Page(source).votes().items() if source else ():
-                    sums[host, path] = sums.get((host, path), 0.0) + share
-            yield pd.DataFrame([(*k, v) for k, v in sums.items()], columns=["host", "path", "votes"])
+                if source:
+                    page = Page(source)
+                    texts, whole = page.texts(), xxh64_intdigest(source.encode("utf-8", "replace")) >> 1
+                    held = {p: xxh64_intdigest(t.encode("utf-8", "replace")) >> 1 for p, t in texts.items()}
+                    votes = page.votes()
+                    found += [(host, p, votes.get(p, 0.0), held.get(p), whole) for p in votes.keys() | held.keys()]
+            yield pd.DataFrame(found, columns=["host", "path", "share", "held", "page"]).astype({"held": "Int64"})
 
     some = pages.where("__host is not null and html is not null").select("__host", "html")
-    votes = some.mapInPandas(vote, "host string, path string, votes double")
-    votes = votes.groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"))
-    order = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
-    best = votes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= winners)
-    best = best.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "path"))).alias("best"))
-    return best.select("host", F.col("best.path").alias("paths"))
+    votes = some.mapInPandas(vote, "host string, path string, share double, held long, page long")
+    votes = votes.groupBy("host", "path").agg(
+        F.round(F.sum("share"), 6).alias("votes"),
+        F.approx_count_distinct("held", 0.02).alias("texts"),
+        F.approx_count_distinct(F.when(F.col("held").isNotNull(), F.col("page")), 0.02).alias("pages"),
+    )
+    votes = stash(votes.withColumn("same", (F.col("pages") >= ENOUGH_PAGES) & (F.col("texts") <= F.col("pages") * SAME_TEXT)))
+    cast = votes.groupBy("host").agg(F.sum("votes").alias("cast"), F.max("pages").alias("most"))
+    votes = votes.join(cast, "host")
+    wins = ~F.col("same") & (F.col("votes") >= F.col("cast") * least_share)
+    common = F.col("same") & (F.col("pages") >= F.col("most") * least_share)
+    ranked = F.struct((-F.col("votes")).alias("v"), "path")
+    best = votes.where(wins | common).groupBy("host").agg(
+        F.array_sort(F.collect_list(F.when(wins, ranked))).alias("best"), F.array_sort(F.collect_list(F.when(common, F.col("path")))).alias("same")
+    )
+    return best.select("host", F.col("best.path").alias("paths"), "same")
 
 
-def extract_pages(pages: DataFrame, winners: int = WINNERS) -> DataFrame:
+def extract_pages(pages: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) of every page, by the consensus paths of its host.
 
     A null or empty html gives an empty text; a page without a host stands for itself. Repeated rows vote and
-    are extracted each; columns other than page_id, url and html are not read.
+    are extracted each, but count as one page where it is told which texts stay the same; columns other than page_id, url
+    and html are not read.
     """
     hosted = with_host(pages.select("page_id", "url", "html"))
-    paths = stash(host_paths(hosted, winners))
-    joined = hosted.join(paths, hosted["__host"] == paths["host"], "left").select("page_id", "url", "html", "paths")
+    paths = stash(host_paths(hosted, least_share))
+    joined = hosted.join(paths, hosted["__host"] == paths["host"], "left").select("page_id", "url", "html", "paths", "same")
 
     @F.pandas_udf("string")
-    def text(sources: pd.Series, best: pd.Series) -> pd.Series:
-        return pd.Series(
-            [Page(s).extract(list(p) if p is not None else []) if s else "" for s, p in zip(sources, best)], dtype=object
-        )
+    def text(sources: pd.Series, best: pd.Series, same: pd.Series) -> pd.Series:
+        listed = lambda p: list(p) if p is not None else []
+        return pd.Series([Page(s).extract(listed(p), frozenset(listed(d))) if s else "" for s, p, d in zip(sources, best, same)], dtype=object)
 
-    found = joined.select("page_id", "url", text("html", "paths").alias("text"))
+    found = joined.select("page_id", "url", text("html", "paths", "same").alias("text"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -245,10 +245,26 @@ def test_decontamination(spark):
     whole = {(r["doc_id"], r["item_id"]): r["score"] for r in got}
     for (d, i), score in whole.items():
         assert abs(score - brute_align(items[i].split(), dict(docs)[d].lower().split()) / 60) < 1e-9
-    assert decontaminate.drop_contaminated(df, bench).count() == len(docs) - len(expect)
+    assert decontaminate.drop_contaminated(df, bench).count() == len(docs) - len(expect) - 1  # and the copy without an id
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench, bound=60).collect()} == expect
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_edited_copies(spark):
+    """Recall against alignment by brute force, with up to a quarter of the words exchanged at random places."""
+    rng = random.Random(11)
+    items = [words(rng, 30) for _ in range(30)]
+    docs, expect = [], set()
+    for d in range(240):
+        copy = [w if rng.random() >= (0.1, 0.15, 0.2, 0.25)[d % 4] else rng.choice(WORDS) for w in items[d % 30].split()]
+        docs.append((d, " ".join([words(rng, 50), *copy, words(rng, 50)])))
+        if brute_align(items[d % 30].split(), copy) / 60 >= decontaminate.LEAST:
+            expect.add((d, d % 30))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()}
+    assert len(got & expect) >= 0.97 * len(expect)
+
+
 def test_decontamination_finds_regular_edits(spark):
     rng = random.Random(8)
     items = [words(rng, 40) for _ in range(8)]
@@ -386,6 +402,17 @@ def test_html(spark):
     assert html.extract_pages(df.limit(0)).count() == 0
 
 
+def test_html_by_consensus_of_the_host(spark):
+    """A page's own longest container is a text that all pages of the host hold; only the host's other pages tell that."""
+    same = "We are a small reading circle that meets by the river on every second evening of the month. " * 6
+    aside = "<section class=reader>Printed by the circle, and free to copy.</section>"
+    rows = [(n, f"https://circle.org/{n}", f"<body><div class=intro>{same}</div><div class=c{n}>Page {n} says something of its own.{aside}</div></body>") for n in range(12)]
+    alone = [(100, "https://other.org/1", rows[0][2])]
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(rows + alone, "page_id long, url string, html string")).collect()}
+    assert all(got[n] == f"Page {n} says something of its own." for n in range(12))
+    assert got[100].startswith(same.strip())
+
+
 # 7
 
 
