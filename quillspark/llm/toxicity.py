@@ -18,13 +18,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import hash_bound, is_training
+from quillspark.llm.common import hash_bound, is_training, stash
 
-#: About so many labelled documents are learned from at most, and so many terms are kept.
+#: About so many documents of each label are learned from at most.
 TRAINING_BOUND = 8000
-LEXICON_TERMS = 4096
-#: A term must be this unlikely (bound on the binomial tail, times the terms tried) to occur by chance, and this precise.
-CHANCE = 0.5
+#: Of the terms kept, this share may stand in toxic documents by chance (by bounds on binomial tails); each must be this precise.
+CHANCE = 0.05
 PRECISION = 0.8
 STEMS = (5, 6)
 FUZZY_CHARS = 5
@@ -172,13 +171,17 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40
     return w
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """(text, toxic) of about `bound` labelled documents whose labels may be learned, drawn by a hash of the id."""
+def training_rows(docs: DataFrame, labels: DataFrame, bound: int) -> tuple[DataFrame, float]:
+    """(text, toxic) of about `bound` documents of each label that may be learned, drawn by a hash of the id, and written out;
+    and the log of how much more of the toxic ones than of the others were drawn."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & is_training("doc_id"))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = hash_bound(usable.count(), bound)
-    drawn = usable.where(F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where("text is not null").select("text", "toxic")
+    bad, good = usable.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") != 1)).first()
+    shares = hash_bound(bad, bound), hash_bound(good, bound)
+    share = F.when(F.col("toxic") == 1, math.ceil(shares[0] * 1_000_000)).otherwise(math.ceil(shares[1] * 1_000_000))
+    drawn = usable.where(F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(1_000_000)) < share)
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where("text is not null")
+    return stash(rows.select("text", "toxic")), math.log(shares[0] / shares[1])
 
 
 def _stems(size: int) -> Column:
@@ -200,13 +203,14 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     counts = terms.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count_if(F.col("toxic") != 1).alias("q"))
     base = bad / (good + bad)
     counts = counts.where("p >= 3").withColumn("rate", (F.col("p") - 0.5) / (F.col("p") + F.col("q")))
-    tried = math.log(max(1, terms.agg(F.approx_count_distinct("term")).first()[0]))
+    tried = max(1, terms.agg(F.approx_count_distinct("term")).first()[0])
     rest = 1 - F.col("rate")
     gap = F.col("rate") * F.log(F.col("rate") / base) + rest * F.log(rest / (1 - base))
-    chance = -(F.col("p") + F.col("q")) * gap + tried
-    rare = counts.where((F.col("rate") > base) & (chance <= math.log(CHANCE)))
-    rare = rare.where(F.col("p") >= PRECISION * (F.col("p") + F.col("q"))).withColumn("chance", chance)
-    found = rare.orderBy("chance", "term").limit(LEXICON_TERMS).select("term", "p", "q").collect()
+    rare = counts.where((F.col("rate") > base) & (F.col("p") >= PRECISION * (F.col("p") + F.col("q"))))
+    # the sample bounds the terms of three toxic documents
+    found = rare.select("term", "p", "q", (-(F.col("p") + F.col("q")) * gap).alias("chance")).orderBy("chance", "term").collect()
+    kept = max((k for k, r in enumerate(found, 1) if r["chance"] <= math.log(CHANCE * k / tried)), default=0)
+    found = [(r["term"], r["p"], r["q"]) for r in found[:kept]]
     weight = {t: math.log((p + 0.5) / (bad + 1)) - math.log((q + 0.5) / (good + 1)) for t, p, q in found}
     seen = {t: p for t, p, _ in found}
     for stem in [t for t in weight if t.endswith("*")]:
@@ -218,7 +222,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_BOUND) -> tuple[dict[str, float], list[float]]:
     """The lexicon and the logistic weights. The driver gets the terms kept and six sums per training document."""
-    rows = training_rows(docs, labels, bound)
+    rows, more = training_rows(docs, labels, bound)
     terms = learn_lexicon(rows)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,8 +233,10 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_BOUND) -> tu
     got = rows.mapInPandas(sums, "x array<double>, toxic int").toPandas()
     if not terms or got["toxic"].nunique() < 2:
         rate = float(got["toxic"].mean()) if len(got) else 0.0
-        return terms, [0.0] * FEATURES + [math.log((rate + 0.01) / (1.01 - rate))]
-    return terms, logistic(np.stack(got["x"].to_numpy()), (got["toxic"] == 1).to_numpy(float)).tolist()
+        return terms, [0.0] * FEATURES + [math.log((rate + 0.01) / (1.01 - rate)) - more]
+    weights = logistic(np.stack(got["x"].to_numpy()), (got["toxic"] == 1).to_numpy(float)).tolist()
+    weights[-1] -= more  # as if all labels had been learned from alike
+    return terms, weights
 
 
 def score(docs: DataFrame, terms: dict[str, float], weights: list[float]) -> DataFrame:
