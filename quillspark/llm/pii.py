@@ -48,7 +48,15 @@ CONTEXT = 32
 #: About so many candidates are learned from at most; each kind and label has an equal share.
 SAMPLE_BOUND = 20_000
 PRECISION = 0.95
-LEAST_ROWS = 40
+#: What tells a kind's weak labels is hidden from the trees in half of the rows of that kind that they learn from, so that
+#: they learn what else goes with it: a string of the format of secrets is likely one without the word before it, too.
+HIDDEN = {
+    "opaque": ("cue_secret", "cue_assigned"),
+    "masked_email": ("cue_mail", "dots"),
+    "local_phone": ("cue_phone",),
+    "number": ("luhn", "cue_card", "cue_account"),
+    "card": ("luhn",),
+}
 CUES = {
     "cue_mail": r"(?i)(?:e-?mail|contact|write)\W*\w*\W*$",
     "cue_phone": r"(?i)(?:tel|phone|call|fax|mobile)\W*\w*\W*$",
@@ -116,8 +124,8 @@ def checked(found: DataFrame) -> DataFrame:
     return found.withColumn("digits", digits).withColumn("valid", valid)
 
 
-def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
-    """found with numbers that describe a candidate's format and context, and their names."""
+def features(found: DataFrame, veiled: Column | None = None) -> tuple[DataFrame, list[str]]:
+    """found with numbers that describe a candidate's format and context, and their names; veiled: where HIDDEN applies."""
     size = F.length("value").cast("double")
     share = lambda p: F.length(F.regexp_replace("value", f"[^{p}]", "")) / size
     made = {
@@ -128,6 +136,7 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
         "lower_share": share("a-z"),
         "hex_share": share("0-9a-f"),
         "vowel_share": share("aeiouAEIOU"),
+        "distinct_share": F.size(F.array_distinct(F.split("value", ""))) / size,
         "separator_share": share(r"\x20().-"),
         "dots": F.least(F.length(F.regexp_replace("value", r"[^.]", "")), F.lit(8)).cast("double"),
         "groups": F.least(F.size(F.split("value", r"[\x20().-]+")), F.lit(8)).cast("double"),
@@ -141,6 +150,9 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
         **{f"is_{k}": (F.col("kind") == k).cast("double") for k in KINDS},
         **{name: F.col("left").rlike(cue).cast("double") for name, cue in CUES.items()},
     }
+    if veiled is not None:
+        hidden = {c: [k for k, own in HIDDEN.items() if c in own] for c in made}
+        made |= {c: F.when(veiled & F.col("kind").isin(kinds), 0.0).otherwise(made[c]) for c, kinds in hidden.items() if kinds}
     return found.withColumns(made), list(made)
 
 
@@ -161,27 +173,28 @@ def weak_label(kind: str = "kind") -> Column:
 def likely(found: DataFrame, bound: int = SAMPLE_BOUND) -> DataFrame:
     """(doc_id, key, kind, start, end, p): the candidates of the added kinds that the boosted trees select, p their probability.
 
-    None where the sample has too few rows, or rows of one class only.
+    None where what is learned from is of one class only, or where no threshold of a kind is precise enough.
     """
-    described, names = features(found.withColumn("label", weak_label()))
+    place = ["doc_id", "key", "kind", "start", "end"]
     spot = F.pmod(F.xxhash64(F.lit(3), "doc_id", "key", "kind", "start"), F.lit(1_000_000))
     every = found.select("kind", weak_label().alias("label")).groupBy("kind", "label").count().collect()  # at most two rows a kind
     limits = [
         F.when((F.col("kind") == r["kind"]) & (F.col("label") == r["label"]), math.ceil(hash_bound(r["count"], bound // (2 * len(KINDS))) * 1_000_000))
         for r in every
     ]
-    described = described.withColumn("fold", F.pmod(F.xxhash64("value", "left"), F.lit(3)))
-    described = described.withColumn("drawn", spot < F.coalesce(*limits, F.lit(0)))
-    sample = stash(described.where("drawn").select("fold", "label", *names))
-    kinds = sample.groupBy((F.col("fold") == 0).alias("held"), "label").count().collect()
-    place = ["doc_id", "key", "kind", "start", "end"]
+    dealt = found.withColumns({"label": weak_label(), "fold": F.pmod(F.xxhash64("value", "left"), F.lit(3)), "drawn": spot < F.coalesce(*limits, F.lit(0))})
+    half = F.pmod(F.xxhash64(F.lit(4), "doc_id", "key", "kind", "start"), F.lit(2)) == 0
+    sample, names = features(dealt.where("drawn and fold <> 0"), half)
+    sample = stash(sample.select("label", *names))
+    described, _ = features(dealt.where(F.col("kind").isin(*MORE)))
+    classes = sample.select("label").distinct().count()
     none = found.select(*place).limit(0).withColumn("p", F.lit(0.0))
-    if len(kinds) < 4 or min(r["count"] for r in kinds) * 3 < LEAST_ROWS:
+    if classes < 2:
         return none
     pack = VectorAssembler(inputCols=names, outputCol="__x")
     trees = GBTClassifier(featuresCol="__x", labelCol="label", maxIter=12, maxDepth=3, stepSize=0.3, seed=1)
-    model = trees.fit(pack.transform(sample.where("fold <> 0").select(*names, "label")))
-    scored = model.transform(pack.transform(described.where(F.col("kind").isin(*MORE))))
+    model = trees.fit(pack.transform(sample))
+    scored = model.transform(pack.transform(described))
     fitted = (F.col("drawn") & (F.col("fold") != 0)).alias("fitted")
     scored = stash(scored.select(*place, "label", fitted, vector_to_array("probability")[1].alias("p")))
     held = scored.where("not fitted").withColumn("bin", F.floor(F.col("p") * 20) / 20)

@@ -203,6 +203,18 @@ def test_pii_finds_every_added_kind(spark):
     assert sum(bool(got[d]["spans"]) for d in range(plain, len(docs))) <= 0.1 * (len(docs) - plain)
 
 
+def test_pii_learns_formats_beside_cues(spark):
+    """Where only secrets have a format, one without the word that tells the weak label is found, and long plain words are not."""
+    rng = random.Random(17)
+    plain = ["".join(rng.choice("aeioulnrst") for _ in range(24)) for _ in range(200)]
+    docs = [(i, f"it says token = {hashlib.sha1(str(i).encode()).hexdigest()} here") for i in range(400)]
+    docs += [(1000 + i, f"some part {w} of it") for i, w in enumerate(plain)]
+    docs += [(2000 + i, f"some part {hashlib.sha1(str(-i - 1).encode()).hexdigest()} of it") for i in range(12)]
+    got = table(pii.find_spans(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert all(got[2000 + i]["spans"] == "opaque:10:50" for i in range(12))
+    assert not any(got[1000 + i]["spans"] for i in range(200))
+
+
 # 3
 
 
