@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.tables import materialize, shared_dir  # noqa: F401 - the operators take shared_dir from here
+from quillspark.tables import materialize, release, shared_dir  # noqa: F401 - the operators take these from here
 
 stash = materialize
 
@@ -45,11 +45,13 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        old = now
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stash(large.where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stash(small.union(low).distinct())
+        release(old, large)
     heads = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(heads)
 

@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import components, stash
+from quillspark.llm.common import components, release, stash
 
 #: Up to so many ids of lines are broadcast to the lines, whose texts are then not shuffled.
 BROADCAST_IDS = 1_000_000
@@ -196,13 +196,15 @@ def some_of(table: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def verified(met: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Those of the pairs (a, b), each once, whose lines are within k edits."""
+    """Those of the pairs (a, b), each once, whose lines are within k edits, written out."""
     met = stash(met.distinct())
     needed = stash(met.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = some_of(nodes.select("id", "line"), needed)
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("left"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("right"))
-    return met.join(left, "a").join(right, "b").where(within_edits("left", "right", k)).select("a", "b")
+    found = stash(met.join(left, "a").join(right, "b").where(within_edits("left", "right", k)).select("a", "b"))
+    release(met, needed)
+    return found
 
 
 def links(nodes: DataFrame, k: int, hot: int = 8, blocks: int = 5, part_rows: int = 1024) -> DataFrame:
@@ -223,7 +225,9 @@ def links(nodes: DataFrame, k: int, hot: int = 8, blocks: int = 5, part_rows: in
     met = y.join(x.hint("shuffle_hash"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")))
     met = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     if busy.isEmpty():
-        return verified(met, nodes, k)
+        found = verified(met, nodes, k)
+        release(keyed, busy)
+        return found
     held = stash(asked.join(busy, "key", "left_semi").select("id").distinct())
     letters, pairs = parity("split(line, '')"), parity("transform(sequence(1, n), i -> substr(line, i, 2))")
     keys = {"entered": compound_keys(k, blocks, False), "asked": compound_keys(k, blocks, True)}
@@ -240,7 +244,9 @@ def links(nodes: DataFrame, k: int, hot: int = 8, blocks: int = 5, part_rows: in
     changed = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
     close = (changed("letters") <= 2 * k) & (changed("pairs") <= 4 * k)
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & once & close)
-    return verified(met.union(more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))), nodes, k)
+    found = verified(met.union(more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))), nodes, k)
+    release(keyed, busy, held, some, parts)
+    return found
 
 
 def line_classes(docs: DataFrame, k: int = 2, min_chars: int = 32) -> DataFrame:
@@ -268,12 +274,12 @@ def line_places(docs: DataFrame, k: int, min_chars: int, short: bool, lost: bool
     rows = explode_lines(docs.select("doc_id", "text"))
     lines = name_lines(rows.where(F.length(F.btrim("line", F.lit(BLANK))) > 0 if short else F.length("line") >= min_chars))
     nodes = distinct_lines(lines)
-    found = stash(links(nodes.where(F.col("n") >= min_chars), k))
+    found = links(nodes.where(F.col("n") >= min_chars), k)
     ends = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     heads = stash(components(found).withColumnRenamed("node", "id").join(ends, "id"))
     # a text that stands once and has no link is its own class, and needs no look-up
     told = nodes.select("id", "h1", "h2", "place", "copies").join(heads, "id", "left")
-    told = stash(told.where("copies > 1 or component is not null"))
+    told = marked = stash(told.where("copies > 1 or component is not null"))
     first = told.where("component is not null").groupBy("component").agg(F.min(F.struct("place", name_of("h1", "h2").alias("class_id"))).alias("of"))
     told = told.withColumn("component", F.coalesce("component", "id"))  # no null that all rows without links would share
     told = stash(told.join(first, "component", "left").select(
@@ -285,6 +291,7 @@ def line_places(docs: DataFrame, k: int, min_chars: int, short: bool, lost: bool
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     ))
     every = nodes.agg(F.sum("copies")).first()[0] or 0
+    release(nodes, found, heads, marked)
     common = told.where(F.col("copies") > every * COMMON_SHARE)
     other = told.where(F.col("copies") <= every * COMMON_SHARE)
     names = lines.select("doc_id", "key", "line_no", "h1", "h2")

@@ -15,16 +15,18 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from quillspark.llm.common import components, merge_links, spread_buckets, stash
+from quillspark.llm.common import components, merge_links, release, spread_buckets, stash
 
 WORDS_AT_ONCE = 1 << 16
 TILE = 512
 #: Minimum hashes: a pair at similarity 0.8 shares none of 24 bands of 4 with chance 0.000003.
 BANDS, BAND_ROWS = 24, 4
+#: Up to so many ids are broadcast to the documents, whose texts are then not shuffled.
+BROADCAST_IDS = 2_000_000
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -179,10 +181,10 @@ def near_pairs(rows: pd.DataFrame, radius: int, across: bool, star: bool) -> pd.
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
-def similar_links(texts: DataFrame, width: int, radius: int, least: float, split_rows: int = 8192) -> DataFrame:
-    """Links (a, b) among texts (id, text) whose components are those of all candidate pairs of a similarity of `least` or more.
+def described_texts(docs: DataFrame, width: int) -> DataFrame:
+    """(id, h1, h2, low, fp, bands) of the different texts of docs (doc_id, text), written out: low is the smallest doc_id.
 
-    First each candidate is verified against one other of its group, then every candidate pair that those links leave apart.
+    Null texts are like empty ones. Texts stay where they are: what is shuffled is of a fixed size for each.
     """
 
     @F.pandas_udf("fp long, bands array<long>")
@@ -190,6 +192,23 @@ def similar_links(texts: DataFrame, width: int, radius: int, least: float, split
         bands = [band_keys(shingle_hashes(t, width)).view(np.int64) for t in texts]
         return pd.DataFrame({"fp": pd.Series([fingerprint(t, width) for t in texts], dtype="int64"), "bands": bands})
 
+    seen = docs.select("doc_id", *text_name(), described("text").alias("d")).select("doc_id", "h1", "h2", "d.fp", "d.bands")
+    texts = seen.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    return stash(texts.select(F.monotonically_increasing_id().alias("id"), "*"))
+
+
+def text_name() -> list[Column]:
+    """A name of a text: two independent hashes, h1 and h2."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2")]
+
+
+def similar_links(docs: DataFrame, texts: DataFrame, width: int, radius: int, least: float, split_rows: int = 8192) -> DataFrame:
+    """Links (a, b) among described texts whose components are those of all candidate pairs of a similarity of `least` or more.
+
+    First each candidate is verified against one other of its group, then every candidate pair that those links leave apart.
+    """
+
     @F.pandas_udf("array<long>")
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_hashes(t, width).view(np.int64) for t in texts])
@@ -199,13 +218,13 @@ def similar_links(texts: DataFrame, width: int, radius: int, least: float, split
         pairs = zip(left, right)
         return pd.Series([similarity(np.asarray(x).view(np.uint64), np.asarray(y).view(np.uint64)) >= least for x, y in pairs], dtype=bool)
 
-    nodes = stash(texts.select("id", described("text").alias("d")).select("id", "d.fp", "d.bands"))
-    entered = nodes.select("id", "fp", F.explode("bands").alias("key"))
+    entered = texts.select("id", "fp", F.explode("bands").alias("key"))
     shared = entered.groupBy("key").count().where("count > 1").select("key")
     entered = stash(entered.join(shared, "key"))
     buckets = max(1, entered.count() // 2048)
-    few = texts.join(entered.select("id").distinct(), "id", "left_semi")
-    sets = stash(few.select("id", shingles("text").alias("set")))
+    few = stash(texts.select("id", "h1", "h2").join(entered.select("id").distinct(), "id", "left_semi"))
+    named = docs.select(*text_name(), "text").join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, ["h1", "h2"])
+    sets = stash(named.select("id", shingles("text").alias("set")).dropDuplicates(["id"]))
 
     def round_of(labelled: DataFrame, star: bool) -> DataFrame:
         def pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -229,15 +248,15 @@ def similar_documents(docs: DataFrame, width: int = 5, radius: int = 20, least:
 
     Texts of equal words are one; null, empty and blank texts are alike. component_id is as in near_duplicates.
     """
-    named = stash(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"), "text"))
-    texts = named.groupBy("id").agg(F.min("doc_id").alias("low"), F.first("text", ignorenulls=True).alias("text"))
-    texts = stash(texts)
-    found = stash(components(similar_links(texts.select("id", "text"), width, radius, least)))
-    heads = texts.select("id", "low").join(found.withColumnRenamed("node", "id"), "id", "left")
-    heads = stash(heads.select("id", "low", F.coalesce("component", "id").alias("head")))
+    rows = docs.select("doc_id", "text")
+    texts = described_texts(rows, width)
+    found = stash(components(similar_links(rows, texts, width, radius, least)))
+    heads = texts.select("id", "h1", "h2", "low").join(found.withColumnRenamed("node", "id"), "id", "left")
+    heads = stash(heads.select("h1", "h2", "low", F.coalesce("component", "id").alias("head")))
+    release(texts, found)
     lowest = heads.groupBy("head").agg(F.min("low").alias("component_id"))
-    heads = heads.join(lowest, "head").select("id", "component_id")
-    return named.select("doc_id", "id").join(heads, "id").select("doc_id", "component_id")
+    heads = heads.join(lowest, "head").select("h1", "h2", "component_id")
+    return rows.select("doc_id", *text_name()).join(heads, ["h1", "h2"]).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, least: float | None = None) -> DataFrame:
@@ -245,9 +264,16 @@ def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, least: float | No
 
     Components are those of fingerprints within the radius, or, with `least`, of verified similarities.
     Rows with a null doc_id have no identity to compare and stay. Of rows that repeat a doc_id, all stay or
-    go together, but for exact repeats of the kept row, which go.
+    go together, but for rows that repeat its text too, of which one stays.
     """
     found = near_duplicates(docs, width, radius) if least is None else similar_documents(docs, width, radius, least)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    whole = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return whole.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count("*").alias("rows"))
+    ids = stash(ids.where("not kept or rows > 1"))
+    few = ids.count() <= BROADCAST_IDS
+    side = lambda df: F.broadcast(df.select("doc_id")) if few else df.select("doc_id")
+    kept = docs.join(side(ids.where("not kept")), "doc_id", "left_anti")
+    again = ids.where("kept and rows > 1")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(side(again), "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(kept.join(side(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
