@@ -26,4 +26,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """df written as Parquet and read back, which cuts its lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    read.written_to = path
+    return read
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote, once all that reads them has been written out itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
