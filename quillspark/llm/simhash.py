@@ -11,6 +11,7 @@ texts that share a band of minimum hashes, and pairs within the radius are verif
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -128,12 +129,6 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(map(xxh64_digest, shingles, repeat(42))), np.uint64))
 
 
-def similarity(x: np.ndarray, y: np.ndarray) -> float:
-    """The Jaccard similarity of two sorted sets of hashes; two empty ones are alike."""
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
-
-
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """A key for each band of a set's minimum hashes."""
     factors = np.random.default_rng(5).integers(0, 1 << 63, (BANDS * BAND_ROWS, 2)).astype(np.uint64)
@@ -209,14 +204,16 @@ def similar_links(docs: DataFrame, texts: DataFrame, width: int, radius: int, le
     First each candidate is verified against one other of its group, then every candidate pair that those links leave apart.
     """
 
-    @F.pandas_udf("array<long>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_hashes(t, width).view(np.int64) for t in texts])
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for start in range(0, len(rows), 256):  # sets are longer than texts: few of them at a time
+                part = rows.iloc[start : start + 256]
+                yield pd.DataFrame({"id": part["id"], "set": [shingle_hashes(t, width).view(np.int64) for t in part["text"]]})
 
-    @F.pandas_udf("boolean")
-    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
-        pairs = zip(left, right)
-        return pd.Series([similarity(np.asarray(x).view(np.uint64), np.asarray(y).view(np.uint64)) >= least for x, y in pairs], dtype=bool)
+    def alike(left: str, right: str) -> Column:
+        both = F.size(F.array_intersect(left, right))
+        every = F.size(left) + F.size(right) - both
+        return (every == 0) | (both >= F.lit(least) * every)
 
     entered = texts.select("id", "fp", F.explode("bands").alias("key"))
     shared = entered.groupBy("key").count().where("count > 1").select("key")
@@ -224,7 +221,7 @@ def similar_links(docs: DataFrame, texts: DataFrame, width: int, radius: int, le
     buckets = max(1, entered.count() // 2048)
     few = stash(texts.select("id", "h1", "h2").join(entered.select("id").distinct(), "id", "left_semi"))
     named = docs.select(*text_name(), "text").join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, ["h1", "h2"])
-    sets = stash(named.select("id", shingles("text").alias("set")).dropDuplicates(["id"]))
+    sets = stash(named.select("id", "text").mapInPandas(shingles, "id long, set array<long>").dropDuplicates(["id"]))
 
     def round_of(labelled: DataFrame, star: bool) -> DataFrame:
         def pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
