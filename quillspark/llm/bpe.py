@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 SPLIT_BITS = 10
 MASK = (1 << SPLIT_BITS) - 1
-CACHE_ROWS = 400_000
+CACHE_ROWS = 200_000
 CACHE_KEY_CHARS = 64
 
 
