@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,6 +15,11 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import xml_escape
 
+#: The classes that style sheets of such books address, and the media types of covers.
+CHAPTER_CLASS = "titlel2std"
+VOLUME_CLASS = "volume-title titlel2single"
+COVER_TYPES = {"jpg": "image/jpeg", "png": "image/png"}
+#: The markup below is fixed by the package format.
 HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE html>\n'
 RIGHTS = "All rights remain with the author."
 
@@ -49,17 +55,24 @@ def chapter_pages(sections_: DataFrame, paragraphs: DataFrame) -> DataFrame:
     held = paragraphs.groupBy("book_id", "chapter_no").agg(F.array_sort(F.collect_list(F.struct("para_no", p.alias("p")))).alias("ps"))
     pages = sections_.where("kind = 'chapter'").join(held, ["book_id", "chapter_no"], "left")
     title = xml_escape("title")
-    body = F.concat(F.lit("<h1>"), title, F.lit("</h1>\n"), F.coalesce(F.array_join("ps.p", ""), F.lit("")))
+    body = F.concat(F.lit(f'<h1 class="{CHAPTER_CLASS}">'), title, F.lit("</h1>\n"), F.coalesce(F.array_join("ps.p", ""), F.lit("")))
     return pages.select("book_id", "href", _page(title, body).alias("content"))
 
 
 def volume_pages(sections_: DataFrame) -> DataFrame:
     """A title page per volume."""
     title = xml_escape("title")
-    body = F.concat(F.lit('<h1 class="volume">'), title, F.lit("</h1>\n"))
+    body = F.concat(F.lit(f'<h1 class="{VOLUME_CLASS}">'), title, F.lit("</h1>\n"))
     return sections_.where("kind = 'volume'").select("book_id", "href", _page(title, body).alias("content"))
 
 
+def cover_pages(books: DataFrame, kind: str = "jpg") -> DataFrame:
+    """The page that shows a book's cover image."""
+    body = F.lit(f'<section epub:type="cover"><img src="cover.{kind}" alt="cover"/></section>\n')
+    page = _page(xml_escape("title"), body, ' xmlns:epub="http://www.idpf.org/2007/ops"')
+    return books.select("book_id", F.lit("cover.xhtml").alias("href"), page.alias("content"))
+
+
 def _entries(sections_: DataFrame) -> DataFrame:
     """Sections by the entry at the top of the table of contents that they belong to."""
     return sections_.withColumn("top", F.when(F.col("volume_no").isNotNull(), F.col("volume_no")).cast("long")).withColumn("top", F.coalesce("top", -F.col("seq")))
@@ -101,8 +114,10 @@ def book_uid():
     return F.concat(F.lit("urn:sha256:"), F.substring(F.sha2(F.col("book_id").cast("string"), 256), 1, 32))
 
 
-def opf_manifest(sections_: DataFrame, metadata: DataFrame, modified: str, has_cover: bool = False, font: str | None = None) -> DataFrame:
-    """The package document: metadata, manifest, and spine. metadata has the fields of an overlaid book."""
+def opf_manifest(
+    sections_: DataFrame, metadata: DataFrame, modified: str, has_cover: bool = False, font: str | None = None, cover_kind: str = "jpg"
+) -> DataFrame:
+    """The package document: metadata, manifest, and spine, which a cover page begins. metadata has the fields of an overlaid book."""
     items = F.concat(F.lit('<item id="'), "id", F.lit('" href="'), "href", F.lit('" media-type="application/xhtml+xml"/>\n'))
     spine = F.concat(F.lit('<itemref idref="'), "id", F.lit('"/>\n'))
     lists = sections_.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("seq", items.alias("i"), spine.alias("s")))).alias("xs"))
@@ -114,14 +129,16 @@ def opf_manifest(sections_: DataFrame, metadata: DataFrame, modified: str, has_c
     rights = F.concat(F.lit("<dc:rights>"), xml_escape(F.coalesce(F.when(F.col("rights") != "", F.col("rights")), F.lit(RIGHTS))), F.lit("</dc:rights>\n"))
     fixed = '<item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>\n<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>\n<item id="css" href="styles.css" media-type="text/css"/>\n'
     if has_cover:
-        fixed += '<item id="cover-image" href="cover.jpg" media-type="image/jpeg" properties="cover-image"/>\n'
+        fixed += f'<item id="cover-image" href="cover.{cover_kind}" media-type="{COVER_TYPES[cover_kind]}" properties="cover-image"/>\n'
+        fixed += '<item id="cover" href="cover.xhtml" media-type="application/xhtml+xml"/>\n'
+    opening = '<itemref idref="cover" linear="yes"/>\n' if has_cover else ""
     if font:
         fixed += f'<item id="font-regular" href="fonts/{font}.ttf" media-type="font/ttf"/>\n'
     content = F.concat(
         F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="bookid">\n<metadata xmlns:dc="http://purl.org/dc/elements/1.1/">\n<dc:identifier id="bookid">'), book_uid(),
         F.lit("</dc:identifier>\n<dc:title>"), xml_escape("title"), F.lit("</dc:title>\n<dc:creator>"), xml_escape(F.coalesce("author", F.lit(""))), F.lit("</dc:creator>\n<dc:language>"), xml_escape(F.coalesce("language", F.lit("zh-CN"))),
         F.lit(f'</dc:language>\n<meta property="dcterms:modified">{modified}</meta>\n'), some("description", "<dc:description>", "</dc:description>\n"), F.coalesce(subjects, F.lit("")), series, rights,
-        F.lit('<meta name="cover" content="cover-image"/>\n' if has_cover else ""), F.lit("</metadata>\n<manifest>\n" + fixed), F.array_join("xs.i", ""), F.lit('</manifest>\n<spine toc="ncx">\n'), F.array_join("xs.s", ""), F.lit("</spine>\n</package>\n"),
+        F.lit('<meta name="cover" content="cover-image"/>\n' if has_cover else ""), F.lit("</metadata>\n<manifest>\n" + fixed), F.array_join("xs.i", ""), F.lit('</manifest>\n<spine toc="ncx">\n' + opening), F.array_join("xs.s", ""), F.lit("</spine>\n</package>\n"),
     )
     return m.select("book_id", F.lit("content.opf").alias("href"), content.alias("content"))
 
@@ -164,3 +181,17 @@ def epub_files(parts: DataFrame) -> DataFrame:
         return pd.DataFrame({"book_id": [rows["book_id"].iloc[0]], "epub": [box.getvalue()]})
 
     return parts.groupBy("book_id").applyInPandas(pack, f"book_id {kind}, epub binary")
+
+
+def epub_entries(packages: DataFrame) -> DataFrame:
+    """(book_id, entry_no, name, stored, size, data) for the entries of zipped books (book_id, epub), in their order."""
+    kind = packages.schema["book_id"].dataType.simpleString()
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for book, epub in zip(rows["book_id"], rows["epub"]):
+                with zipfile.ZipFile(io.BytesIO(bytes(epub))) as z:
+                    found = [(book, i, x.filename, x.compress_type == zipfile.ZIP_STORED, x.file_size, z.read(x)) for i, x in enumerate(z.infolist())]
+                yield pd.DataFrame(found, columns=["book_id", "entry_no", "name", "stored", "size", "data"])
+
+    return packages.select("book_id", "epub").mapInPandas(unpack, f"book_id {kind}, entry_no long, name string, stored boolean, size long, data binary")

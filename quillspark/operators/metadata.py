@@ -14,6 +14,10 @@ NO_SUBJECT = ("", "未知")
 SUBJECT_SPLIT = "[,，、/|]"
 SUBJECT_SPLIT_USER = "[,，、;；]"
 NOISE = "精校版|完结版|全本|完结|《|》"
+#: What stands before the fields of a search result, and before fields that are known already.
+RESULT_LABELS = (". 标题:", "\n   URL:", "\n   摘要:")
+KNOWN_LABELS = {"title": "- 已知书名:", "author": "- 已知作者:", "description": "- 已知简介:", "subjects": "- 已知分类:", "series": "- 已知系列:"}
+NONE_KNOWN = "(尚无任何已知字段)"
 
 
 def clean_value(c) -> Column:
@@ -89,9 +93,17 @@ def search_query(title="title", stem="file_stem", default: str = "中文网络
     return F.concat(plain, F.lit(suffix))
 
 
+def known_fields() -> Column:
+    """A line for each field that a suggestion has, which a second reply must leave as it is."""
+    held = {n: F.col(n) for n in KNOWN_LABELS} | {"subjects": F.when(F.size("subjects") > 0, F.array_join("subjects", "、"))}
+    lines = F.array_compact(F.array(*(F.concat(F.lit(label), held[n]) for n, label in KNOWN_LABELS.items())))
+    return F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(NONE_KNOWN)
+
+
 def search_context(results: DataFrame, first: int = 5) -> DataFrame:
-    """(book_id, n, context): the first results (rank, title, url, snippet) as numbered text."""
+    """(book_id, n, context): the first results (rank, title, url, snippet) as numbered text of three lines each."""
     found = results.withColumn("i", F.row_number().over(Window.partitionBy("book_id").orderBy("rank"))).where(F.col("i") <= first)
-    text = F.concat(F.col("i").cast("string"), F.lit(". "), F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("snippet", F.lit("")))
+    told = [x for label, c in zip(RESULT_LABELS, ("title", "url", "snippet")) for x in (F.lit(label), F.coalesce(c, F.lit("")))]
+    text = F.concat(F.col("i").cast("string"), *told)
     item = F.struct("i", text.alias("t"))
     return found.groupBy("book_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(item))["t"], "\n").alias("context"))

@@ -574,13 +574,15 @@ def clear_decisions(c):
 _IS = "EXISTS (SELECT 1 FROM decisions d WHERE d.book_id = x.book_id AND d.s = x.s AND d.e = x.e AND d.scope = '{}' AND d.verdict = '{}')"
 
 
-@query(
+LAYERS = (
     f"SELECT book_id, s, e, 'removed' AS layer FROM cleaning x WHERE NOT {_IS.format('cleaning', 'rejected')} "
     f"UNION ALL SELECT book_id, s, e, 'removed' FROM marks x WHERE verdict = 'suspect' AND {_IS.format('watermark', 'approved')} "
     f"UNION ALL SELECT book_id, s, e, 'auto' FROM marks x WHERE verdict = 'auto' AND NOT {_IS.format('watermark', 'rejected')} "
-    f"UNION ALL SELECT book_id, s, e, 'suspect' FROM marks x WHERE verdict = 'suspect' AND NOT {_IS.format('watermark', 'approved')} AND NOT {_IS.format('watermark', 'rejected')}",
-    more=DECIDED.rstrip(","),
+    f"UNION ALL SELECT book_id, s, e, 'suspect' FROM marks x WHERE verdict = 'suspect' AND NOT {_IS.format('watermark', 'approved')} AND NOT {_IS.format('watermark', 'rejected')}"
 )
+
+
+@query(LAYERS, more=DECIDED.rstrip(","))
 def effective_layers(c):
     return _span(review.effective_layers(c.cleaning, c.watermarks, _decisions(c)), "layer")
 
@@ -745,14 +747,22 @@ def search_query(c):
 
 @over(
     "pages",
-    "SELECT book_id, count(*) AS n, string_agg(i || '. ' || url || chr(10) || length(coalesce(html, '')), chr(10) ORDER BY i) AS context FROM (SELECT *, regexp_extract(url, '//([^/?#]+)', 1) AS book_id, "
+    "SELECT book_id, count(*) AS n, string_agg(i || '. 标题:' || coalesce(substr(regexp_extract(html, '<title>([^<]*)', 1), 1, 40), '') || chr(10) || '   URL:' || url || chr(10) || '   摘要:' || length(coalesce(html, '')), chr(10) ORDER BY i) AS context FROM (SELECT *, regexp_extract(url, '//([^/?#]+)', 1) AS book_id, "
     "row_number() OVER (PARTITION BY regexp_extract(url, '//([^/?#]+)', 1) ORDER BY page_id) AS i FROM pages) WHERE i <= 5 GROUP BY book_id",
 )
 def search_context(pages):
-    rows = pages.select(F.regexp_extract("url", "//([^/?#]+)", 1).alias("book_id"), F.col("page_id").alias("rank"), F.col("url").alias("title"), "url", F.length(F.coalesce("html", F.lit(""))).cast("string").alias("snippet"))
+    rows = pages.select(F.regexp_extract("url", "//([^/?#]+)", 1).alias("book_id"), F.col("page_id").alias("rank"), F.substring(F.regexp_extract("html", "<title>([^<]*)", 1), 1, 40).alias("title"), "url", F.length(F.coalesce("html", F.lit(""))).cast("string").alias("snippet"))
     return metadata.search_context(rows)
 
 
+@query(
+    "SELECT book_id, coalesce(nullif(concat_ws(chr(10), '- 已知书名:' || title, '- 已知作者:' || author, CASE WHEN subjects <> '' THEN '- 已知分类:' || replace(subjects, ';', '、') END), ''), '(尚无任何已知字段)') AS known FROM meta",
+    more=META,
+)
+def known_fields(c):
+    return metadata.parse_metadata_json(_first_words(c)).select("book_id", metadata.known_fields().alias("known"))
+
+
 @over(
     "documents",
     "SELECT doc_id, array_to_string(list_filter(xs, lambda x, i: x <> '' AND list_position(xs, x) = i), '|') AS subjects FROM (SELECT doc_id, list_transform(string_split_regex(coalesce(text, ''), '[,，、;；]'), lambda x: trim(x)) AS xs FROM documents)",
@@ -777,7 +787,7 @@ def sections(c):
 
 
 @query(
-    f"SELECT book_id, href, '<h1>' || {ESC.format('title')} || '</h1>' || chr(10) || coalesce((SELECT string_agg('<p>' || {ESC.format('text')} || '</p>' || chr(10), '' ORDER BY para_no) FROM paras p WHERE p.book_id = s.book_id AND p.chapter_no = s.chapter_no), '') AS body FROM sects s WHERE kind = 'chapter'",
+    f"SELECT book_id, href, '<h1 class=\"{export.CHAPTER_CLASS}\">' || {ESC.format('title')} || '</h1>' || chr(10) || coalesce((SELECT string_agg('<p>' || {ESC.format('text')} || '</p>' || chr(10), '' ORDER BY para_no) FROM paras p WHERE p.book_id = s.book_id AND p.chapter_no = s.chapter_no), '') AS body FROM sects s WHERE kind = 'chapter'",
     more=SECTIONS + _paragraph_table(),
 )
 def chapter_pages(c):
@@ -785,7 +795,7 @@ def chapter_pages(c):
     return pages.select("book_id", "href", F.regexp_extract("content", r"(?s)<body>\n(.*)</body>", 1).alias("body"))
 
 
-@query(f"SELECT book_id, href, '<h1 class=\"volume\">' || {ESC.format('title')} || '</h1>' || chr(10) AS body FROM sects WHERE kind = 'volume'", more=SECTIONS)
+@query(f"SELECT book_id, href, '<h1 class=\"{export.VOLUME_CLASS}\">' || {ESC.format('title')} || '</h1>' || chr(10) AS body FROM sects WHERE kind = 'volume'", more=SECTIONS)
 def volume_pages(c):
     pages = export.volume_pages(export.sections(c.chapters, c.volumes))
     return pages.select("book_id", "href", F.regexp_extract("content", r"(?s)<body>\n(.*)</body>", 1).alias("body"))
@@ -810,13 +820,13 @@ def ncx_toc(c):
 
 
 @query(
-    f"SELECT s.book_id, string_agg(id || '=' || href, ',' ORDER BY seq) AS items, string_agg(id, ',' ORDER BY seq) AS spine, any_value({ESC.format('CASE WHEN s.book_id % 2 = 0 THEN ' + chr(39) + '<New> ' + chr(39) + ' || s.book_id ELSE b.title END')}) AS title, any_value(CASE WHEN s.book_id % 3 = 0 THEN 4 END) AS series_index FROM sects s JOIN books b USING (book_id) GROUP BY s.book_id",
+    f"SELECT s.book_id, 'cover=cover.xhtml,' || string_agg(id || '=' || href, ',' ORDER BY seq) AS items, 'cover,' || string_agg(id, ',' ORDER BY seq) AS spine, any_value({ESC.format('CASE WHEN s.book_id % 2 = 0 THEN ' + chr(39) + '<New> ' + chr(39) + ' || s.book_id ELSE b.title END')}) AS title, any_value(CASE WHEN s.book_id % 3 = 0 THEN 4 END) AS series_index FROM sects s JOIN books b USING (book_id) GROUP BY s.book_id",
     more=SECTIONS,
 )
 def opf_manifest(c):
-    opf = export.opf_manifest(export.sections(c.chapters, c.volumes), _overlaid(c), MODIFIED)
+    opf = export.opf_manifest(export.sections(c.chapters, c.volumes), _overlaid(c), MODIFIED, has_cover=True)
     pair = lambda p, n: F.regexp_extract_all("content", F.lit(p), F.lit(n))
-    items = r'<item id="((?:ch|vol)[0-9]+)" href="([^"]*)"'
+    items = r'<item id="((?:ch|vol)[0-9]+|cover)" href="([^"]*)"'
     return opf.select(
         "book_id", F.array_join(F.zip_with(pair(items, 1), pair(items, 2), lambda a, b: F.concat(a, F.lit("="), b)), ",").alias("items"), F.array_join(pair('<itemref idref="([^"]*)"', 1), ",").alias("spine"),
         F.regexp_extract("content", "<dc:title>([^<]*)</dc:title>", 1).alias("title"), F.expr("try_cast(regexp_extract(content, 'group-position\">([0-9]+)<', 1) as int)").alias("series_index"),
@@ -840,6 +850,15 @@ def epub_files(c):
     return export.epub_files(_parts(c)).select("book_id", F.length("epub").alias("n_bytes"), F.sha2("epub", 256).alias("sha256"))
 
 
+@query(
+    "SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY name <> 'mimetype', name) - 1 AS entry_no, name, name = 'mimetype' AS stored FROM (SELECT book_id, 'OEBPS/' || href AS name FROM sects "
+    "UNION ALL SELECT DISTINCT book_id, unnest(['mimetype', 'META-INF/container.xml', 'OEBPS/styles.css', 'OEBPS/nav.xhtml', 'OEBPS/toc.ncx', 'OEBPS/content.opf']) FROM sects)",
+    more=SECTIONS,
+)
+def epub_entries(c):
+    return export.epub_entries(export.epub_files(_parts(c))).select("book_id", "entry_no", "name", "stored")
+
+
 @query(
     "SELECT book_id, layer, CAST(floor(s / total * 200) AS BIGINT) AS bucket, count(*) AS n, max(greatest(2, CAST(ceil((e - s) / total * 200) AS BIGINT))) AS longest FROM (SELECT book_id, s, e, CASE WHEN kind LIKE 'watermark%' THEN 'auto' ELSE 'format' END AS layer, strlen(source_text) AS total FROM merged JOIN books USING (book_id)) GROUP BY ALL"
 )
@@ -856,10 +875,27 @@ def highlight_lines(c):
     return overlay.highlight_segments(c.lines, layers).select("book_id", "line_no", F.coalesce("layer", F.lit("")).alias("layer"), "text")
 
 
-@query()
+#: Spans cut to lines and numbered by start, the longer first; which one is taken after each; those taken; and the gaps around them.
+SEGMENTS = f""",
+layers AS ({LAYERS}),
+pieces AS (SELECT *, row_number() OVER (PARTITION BY book_id, line_no ORDER BY s, e DESC, layer) AS i FROM (
+  SELECT l.book_id, l.line_no, greatest(x.s, l.byte_start) - l.byte_start AS s, least(x.e, l.byte_end) - l.byte_start AS e, x.layer
+  FROM lines l JOIN layers x ON x.book_id = l.book_id AND least(x.e, l.byte_end) > greatest(x.s, l.byte_start))),
+follows AS (SELECT p.book_id, p.line_no, p.i, min(q.i) AS after FROM pieces p JOIN pieces q ON q.book_id = p.book_id AND q.line_no = p.line_no AND q.i > p.i AND q.s >= p.e GROUP BY ALL),
+taken AS (SELECT book_id, line_no, i FROM pieces WHERE i = 1 UNION ALL SELECT t.book_id, t.line_no, f.after FROM taken t JOIN follows f ON f.book_id = t.book_id AND f.line_no = t.line_no AND f.i = t.i),
+chosen AS (SELECT p.*, coalesce(lag(e) OVER (PARTITION BY book_id, line_no ORDER BY i), 0) AS last FROM pieces p JOIN taken t USING (book_id, line_no, i)),
+segments AS (
+  SELECT book_id, line_no, s, e, layer FROM chosen UNION ALL SELECT book_id, line_no, last, s, NULL FROM chosen WHERE s > last
+  UNION ALL SELECT book_id, line_no, at_, size, NULL FROM (SELECT l.book_id, l.line_no, strlen(l.line) AS size, coalesce((SELECT max(e) FROM chosen c WHERE c.book_id = l.book_id AND c.line_no = l.line_no), 0) AS at_ FROM lines l)
+  WHERE at_ < size OR size = 0)"""
+
+
+@query(
+    "SELECT book_id, line_no, row_number() OVER (PARTITION BY book_id, line_no ORDER BY s) - 1 AS seg_no, decode(encode(line)[s + 1:e]) AS text, layer FROM segments JOIN lines USING (book_id, line_no)",
+    more=DECIDED.rstrip(",") + SEGMENTS, recursive=True,
+)
 def highlight_segments(c):
-    layers = _decided_layers(c)
-    return overlay.highlight_segments(c.lines, layers)
+    return overlay.highlight_segments(c.lines, _decided_layers(c))
 
 
 def _decided_layers(c) -> DataFrame:
@@ -878,6 +914,18 @@ def pipeline_output(c):
     return held.select("book_id", F.to_json(F.struct("source_text", F.lit("UTF-8").alias("source_encoding"), "cleaning", "watermark", book.alias("book"))).alias("document"))
 
 
+@query(
+    "SELECT b.book_id, sha256(source_text) AS source_sha256, coalesce((SELECT string_agg(s || ':' || e || ':' || kind, ',' ORDER BY s) FROM merged x WHERE x.book_id = b.book_id), '') AS cleaning, "
+    "coalesce((SELECT string_agg(s || ':' || e || ':' || verdict, ',' ORDER BY s) FROM marks x WHERE x.book_id = b.book_id), '') AS watermark FROM books b"
+)
+def pipeline_output_spans(c):
+    """What a reader of the documents finds in them."""
+    span = "array<struct<start:bigint,end:bigint,kind:string,verdict:string>>"
+    read = pipeline_output(c).select("book_id", F.from_json("document", f"struct<source_text:string,cleaning:{span},watermark:{span}>").alias("d"))
+    told = lambda name, last: F.coalesce(F.array_join(F.transform(f"d.{name}", lambda x: F.concat_ws(":", x["start"], x["end"], x[last])), ","), F.lit("")).alias(name)
+    return read.select("book_id", F.sha2("d.source_text", 256).alias("source_sha256"), told("cleaning", "kind"), told("watermark", "verdict"))
+
+
 def _finish() -> None:
     """Put in what needs other modules' patterns."""
     from quillspark.plans.oracle import _all

@@ -154,6 +154,6 @@ m2 AS (SELECT *, row_number() OVER (PARTITION BY book_id, run ORDER BY CASE kind
 merged AS (SELECT book_id, min(s) AS s, max(e) AS e, max(CASE WHEN best = 1 THEN kind END) AS kind, max(CASE WHEN best = 1 THEN replacement END) AS replacement FROM m2 GROUP BY book_id, run)"""
 
 
-def sql(select: str, source: str = "to_merge", more: str = "", documents: bool = False) -> str:
+def sql(select: str, source: str = "to_merge", more: str = "", documents: bool = False, recursive: bool = False) -> str:
     """A whole statement; more adds tables that come before the merge of `source`."""
-    return f"WITH {DOCUMENT_BOOKS if documents else BOOKS}{TABLES}{more}{merged(source)}\n{select}"
+    return f"WITH {'RECURSIVE' if recursive else ''}{DOCUMENT_BOOKS if documents else BOOKS}{TABLES}{more}{merged(source)}\n{select}"

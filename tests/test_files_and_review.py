@@ -104,6 +104,10 @@ def test_metadata_replies(spark):
     assert (got["f"]["title"], got["f"]["author"], got["f"]["subjects"], got["f"]["series_index"]) == ("书", None, ["a", "b"], 3)
     assert got["b"]["title"] is None and got["b"]["subjects"] == []
     assert (got["n"]["title"], got["n"]["subjects"], got["n"]["series_index"]) == (None, ["a", "b", "c"], 2)
+    known = {r["book_id"]: r["k"] for r in metadata.parse_metadata_json(spark.createDataFrame(raw, "book_id string, raw string")).select("book_id", metadata.known_fields().alias("k")).collect()}
+    assert known == {"f": "- 已知书名:书\n- 已知分类:a、b", "b": "(尚无任何已知字段)", "n": "- 已知分类:a、b、c"}
+    found = metadata.search_context(spark.createDataFrame([("a", 1, "t", "u", None)], "book_id string, rank int, title string, url string, snippet string"))
+    assert found.first()["context"] == "1. 标题:t\n   URL:u\n   摘要:"
 
 
 def _curation(spark):
@@ -117,7 +121,13 @@ def test_epub(spark):
     meta = c.books.select("book_id", "title", F.lit("me").alias("author"), F.lit(None).cast("string").alias("description"), F.lit("zh-CN").alias("language"), F.array(F.lit("s")).alias("subjects"), F.lit("S").alias("series"), F.lit(1).alias("series_index"), F.lit(None).cast("string").alias("rights"))
     texts = [export.css_part(c.books, font="f"), export.chapter_pages(found, c.paragraphs), export.volume_pages(found), export.nav_toc(found), export.ncx_toc(found, c.books).drop("depth"), export.opf_manifest(found, meta, "2024-01-01T00:00:00Z", True, "f")]
     cover = export.binary_part(spark.createDataFrame([("a", bytearray(b"jpg"))], "book_id string, content binary"), "cover.jpg")
-    data = export.epub_files(export.epub_parts(texts, [cover])).first()["epub"]
+    packed = export.epub_files(export.epub_parts([*texts, export.cover_pages(c.books)], [cover])).cache()
+    entries = {r["name"]: r for r in export.epub_entries(packed).collect()}
+    assert entries["mimetype"]["entry_no"] == 0 and entries["mimetype"]["stored"] and entries["OEBPS/cover.jpg"]["size"] == 3
+    assert b'src="cover.jpg"' in bytes(entries["OEBPS/cover.xhtml"]["data"])
+    opf = bytes(entries["OEBPS/content.opf"]["data"]).decode()
+    assert opf.index('<itemref idref="cover"') < opf.index('<itemref idref="vol0001"') and 'href="cover.xhtml"' in opf
+    data = packed.first()["epub"]
     with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
         assert z.namelist()[0] == "mimetype" and z.infolist()[0].compress_type == zipfile.ZIP_STORED
         opf = z.read("OEBPS/content.opf").decode()
