@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.config import CleaningConfig
 from quillspark.functions.text import CONTROL, LINE_SPACE, right_trimmed
+from quillspark.operators.scan import CHUNK_BYTES, carried, chunked, inside, with_carried
 from quillspark.operators.spans import apply_spans, drop_contained
 
 COLUMNS = ("book_id", "start", "end", "kind", "replacement")
@@ -63,25 +64,29 @@ def clean_control_chars(lines: DataFrame) -> DataFrame:
     return _rows(_matches(lines, CONTROL), "control_char")
 
 
-def _blank_islands(lines: DataFrame) -> DataFrame:
-    """Newlines by run: a newline continues a run if nothing but blanks lies between it and the one before."""
-    token = lines.where("ended").withColumn("cr", F.col("line").endswith("\r").cast("int"))
-    order = Window.partitionBy("book_id").orderBy("line_no")
-    between = F.col("line").rlike(rf"^[ \t{IDEOGRAPHIC}]*\r?\z") & (F.col("line_no") > 0)
-    token = token.withColumn("new", F.when(between, 0).otherwise(1))
-    return token.withColumn("run", F.sum("new").over(order)).withColumn("at", F.col("byte_end") - F.col("cr"))
-
+def clean_blank_runs(lines: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Three or more newlines with only blanks between them; two newlines take their place.
 
-def clean_blank_runs(lines: DataFrame) -> DataFrame:
-    """Three or more newlines with only blanks between them; two newlines take their place."""
-    runs = _blank_islands(lines).groupBy("book_id", "run").agg(
-        F.min("at").alias("start"), (F.max("byte_end") + 1).alias("end"), F.count("*").alias("n")
-    )
+    A newline continues a run if nothing but blanks lies between it and the one before. Runs are numbered and summed up inside
+    each chunk of a book; their numbers in the book follow from how many the chunks before have opened, and the parts of a run
+    over the edge of chunks meet by it.
+    """
+    cr = F.col("line").endswith("\r").cast("int")
+    between = F.col("line").rlike(rf"^[ \t{IDEOGRAPHIC}]*\r?\z") & (F.col("line_no") > 0)
+    token = lines.where("ended").select("book_id", "line_no", "byte_start", "byte_end", (F.col("byte_end") - cr).alias("at"), F.when(between, 0).otherwise(1).alias("new"))
+    rows = chunked(token, "byte_start", chunk_bytes)
+    marked = rows.withColumn("run", F.sum("new").over(inside("line_no")))
+    parts = marked.groupBy("book_id", "chunk", "run").agg(F.min("at").alias("start"), F.max("byte_end").alias("stop"), F.count("*").alias("n"))
+    opened = parts.groupBy("book_id", "chunk").agg(F.max(F.struct("run", "start", "stop", "n")).alias("last"))
+    before = carried(opened.select("book_id", "chunk", F.col("last.run").alias("opened")), carry=F.sum("opened"))
+    # inside a chunk a run is whole, unless it is the first or the last; those few meet by number
+    numbered = with_carried(parts, before).withColumn("run", F.col("run") + F.coalesce("carry", F.lit(0)))
+    runs = numbered.groupBy("book_id", "run").agg(F.min("start").alias("start"), (F.max("stop") + 1).alias("end"), F.sum("n").alias("n"))
     kind = F.lit("blank_line_compression")
     return runs.where("n >= 3").select("book_id", "start", "end", kind.alias("kind"), F.lit("\n\n").alias("replacement"))
 
 
-def cleaning_annotations(lines: DataFrame, config: CleaningConfig = CleaningConfig()) -> DataFrame:
+def cleaning_annotations(lines: DataFrame, config: CleaningConfig = CleaningConfig(), chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The spans of all detectors that are on, sorted apart: none lies inside or overlaps another.
 
     White space at a line's end stops where a run of blank lines begins, so that a carriage return is not claimed twice.
@@ -90,7 +95,7 @@ def cleaning_annotations(lines: DataFrame, config: CleaningConfig = CleaningConf
     if config.trailing_whitespace:
         trailing = clean_trailing_ws(lines)
         if config.blank_line_compression:
-            stops = clean_blank_runs(lines).select("book_id", F.col("start").alias("stop"))
+            stops = clean_blank_runs(lines, chunk_bytes).select("book_id", F.col("start").alias("stop"))
             ends = trailing.withColumn("stop", F.col("end") - 1)
             trailing = ends.join(stops.withColumn("hit", F.lit(1)), ["book_id", "stop"], "left")
             trailing = trailing.withColumn("end", F.col("end") - F.coalesce("hit", F.lit(0))).where("start < end").select(*COLUMNS)
@@ -102,10 +107,10 @@ def cleaning_annotations(lines: DataFrame, config: CleaningConfig = CleaningConf
     if config.control_char:
         parts.append(clean_control_chars(lines))
     if config.blank_line_compression:
-        parts.append(clean_blank_runs(lines))
+        parts.append(clean_blank_runs(lines, chunk_bytes))
     if not parts:
         return lines.sparkSession.createDataFrame([], lines.select("book_id").schema.add("start", "long").add("end", "long").add("kind", "string").add("replacement", "string"))
-    return drop_contained(reduce(DataFrame.unionByName, parts))
+    return drop_contained(reduce(DataFrame.unionByName, parts), chunk_bytes)
 
 
 def apply_cleaning(books: DataFrame, cleaning: DataFrame) -> DataFrame:

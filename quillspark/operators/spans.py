@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.scan import CHUNK_BYTES, carried, chunked, inside, with_carried
+
 
 def kind_priority(kind: str | Column = "kind") -> Column:
     """Which kind a merged span takes: formats first, then keyword, repetition, and script."""
@@ -17,39 +19,66 @@ def kind_priority(kind: str | Column = "kind") -> Column:
     )
 
 
-def drop_contained(spans: DataFrame) -> DataFrame:
+def _reach(rows: DataFrame, whole: list[str]) -> DataFrame:
+    """rows, dealt out by chunked, with reach: the furthest end of the spans before it in the book; null for the first.
+
+    The chunks' sums are taken over whole rows, so that they and the rows come from one exchange.
+    """
+    furthest = rows.groupBy("book_id", "chunk").agg(F.max(F.struct("end", *whole)).alias("furthest"))
+    before = carried(furthest.select("book_id", "chunk", F.col("furthest.end").alias("end")), carry=F.max("end"))
+    own = F.max("end").over(inside("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1))
+    return with_carried(rows.withColumn("own", own), before).withColumn("reach", F.greatest("own", "carry")).drop("own", "carry")
+
+
+def drop_contained(spans: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Spans (book_id, start, end, ...) without those that lie inside an earlier one, by start and then end."""
-    before = Window.partitionBy("book_id").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    marked = spans.withColumn("__reach", F.max("end").over(before))
-    return marked.where("__reach is null or end > __reach").drop("__reach")
+    rows = chunked(spans.select("book_id", "start", "end", "kind", F.struct(*spans.columns).alias("row")), "start", chunk_bytes)
+    return _reach(rows, ["row", "start", "kind"]).where("reach is null or end > reach").select("row.*")
 
 
-def merge_spans(spans: DataFrame) -> DataFrame:
+def merge_spans(spans: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(book_id, start, end, kind, replacement): overlapping spans become one.
 
     Adjacent spans stay apart. A merged span takes kind and replacement of the highest priority, the first by
     start and end where several have it.
-    """
-    order = Window.partitionBy("book_id").orderBy("start", "end", "kind")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    marked = spans.select("book_id", "start", "end", "kind", "replacement").withColumn("__reach", F.max("end").over(before))
-    marked = marked.withColumn("__new", F.when(F.col("start") < F.col("__reach"), 0).otherwise(1))
-    marked = marked.withColumn("__run", F.sum("__new").over(order)).withColumn("__at", F.row_number().over(order))
-    best = F.max_by(F.struct("kind", "replacement"), F.struct(kind_priority().alias("p"), (-F.col("__at")).alias("at")))
-    merged = marked.groupBy("book_id", "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"), best.alias("best"))
-    return merged.select("book_id", "start", "end", "best.kind", "best.replacement")
 
-
-def assign_to_ranges(spans: DataFrame, ranges: DataFrame, names: list[str]) -> DataFrame:
+    Spans are merged inside each chunk of a book. Of a chunk's runs only the last can reach beyond it, and those of later
+    chunks that begin before its end belong to it: how far the chunks before reach, and where the run that does begins, is
+    known from one row a chunk.
+    """
+    rows = chunked(spans.select("book_id", "start", "end", "kind", "replacement"), "start", chunk_bytes)
+    order = inside("start", "end", "kind", "replacement")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("new", F.when(F.col("start") < reach, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    best = F.min(F.struct((-kind_priority()).alias("p"), "start", "end", "kind", "replacement"))
+    runs = marked.groupBy("book_id", "chunk", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), best.alias("best"))
+
+    last = runs.groupBy("book_id", "chunk").agg(F.max(F.struct("start", "end", "run", "best")).alias("last"))
+    last = last.select("book_id", "chunk", F.col("last.start").alias("start"), F.col("last.end").alias("end"))
+    earlier = Window.partitionBy("book_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.withColumn("reach", F.max("end").over(earlier)).withColumn("opened", F.when(F.col("reach").isNull() | (F.col("start") >= F.col("reach")), F.col("start")))
+    before = carried(last, carry=F.max("end"), opened=F.last("opened", ignorenulls=True))
+    placed = with_carried(runs, before).withColumn("key", F.when(F.col("start") < F.col("carry"), F.col("opened")).otherwise(F.col("start")))
+    merged = placed.groupBy("book_id", "key").agg(F.max("end").alias("end"), F.min("best").alias("best"))
+    return merged.select("book_id", F.col("key").alias("start"), "end", "best.kind", "best.replacement")
+
+
+def assign_to_ranges(spans: DataFrame, ranges: DataFrame, names: list[str], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """spans with the columns `names` and range_start, range_end of the last of the disjoint ranges (book_id, start, end) that
-    begins at or before the span's start; null before the first. An as-of fill over the union, not a range join."""
-    own = F.struct("end", *names)
-    fields = spans.columns
-    left = spans.select("book_id", F.col("start").alias("__at"), F.lit(1).alias("__side"), F.struct(*fields).alias("__row"), F.lit(None).cast(ranges.select(F.struct("start", own.alias("v")).alias("r")).schema["r"].dataType).alias("__r"))
-    right = ranges.select("book_id", F.col("start").alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), F.struct("start", own.alias("v")).alias("__r"))
-    until = Window.partitionBy("book_id").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    filled = left.union(right).withColumn("__r", F.last("__r", ignorenulls=True).over(until)).where("__side = 1")
-    return filled.select("__row.*", F.col("__r.start").alias("range_start"), F.col("__r.v.end").alias("range_end"), *(F.col(f"__r.v.{n}").alias(n) for n in names))
+    begins at or before the span's start; null before the first. An as-of fill over the union, not a range join; what the last
+    range before a chunk is, is carried into it."""
+    own = F.struct("start", "end", *names)
+    none = lambda df, what: F.lit(None).cast(df.select(what.alias("x")).schema["x"].dataType)
+    row = F.struct(*spans.columns)
+    left = spans.select("book_id", F.col("start").alias("at"), F.lit(1).alias("side"), row.alias("row"), none(ranges, own).alias("range"))
+    right = ranges.select("book_id", F.col("start").alias("at"), F.lit(0).alias("side"), none(spans, row).alias("row"), own.alias("range"))
+    rows = chunked(left.union(right), "at", chunk_bytes)
+    # the last range of each chunk; the row beside it is null, and keeps this and the rows one exchange
+    last = rows.groupBy("book_id", "chunk").agg(F.max_by(F.struct("range", "row"), F.when(F.col("side") == 0, F.col("at"))).alias("last"))
+    before = carried(last.select("book_id", "chunk", F.col("last.range").alias("range")), carry=F.last("range", ignorenulls=True))
+    until = F.last("range", ignorenulls=True).over(inside("at", "side").rowsBetween(Window.unboundedPreceding, 0))
+    filled = with_carried(rows.withColumn("own", until).where("side = 1"), before).withColumn("r", F.coalesce("own", "carry"))
+    return filled.select("row.*", F.col("r.start").alias("range_start"), F.col("r.end").alias("range_end"), *(F.col(f"r.{n}").alias(n) for n in names))
 
 
 def splice(text: str | None, edits: list | None) -> str | None:

@@ -6,7 +6,7 @@ the lines table partitioned by book_id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.config import WatermarkConfig
@@ -37,10 +37,28 @@ def eligible_lines(lines: DataFrame, headings: DataFrame | None = None, config:
     return some.where(~is_dialogue_line("trimmed"))
 
 
+#: A text that makes up more than one in so many lines is hot; there are fewer hot texts than this, which bounds their broadcast.
+HOT_SHARE = 1000
+
+
 def line_frequency(eligible: DataFrame) -> DataFrame:
-    """eligible with `repeats`, how many eligible lines of the book read the same when trimmed."""
-    same = Window.partitionBy("book_id", "trimmed")
-    return eligible.withColumn("repeats", F.count("*").over(same))
+    """eligible with `repeats`, how many eligible lines of the book read the same when trimmed.
+
+    Texts are counted by 128 bits of hash, with combining before the exchange, and only counts over one are joined back. The
+    few hot texts are broadcast; their lines go through the join spread by place, where no count waits for them, so that no
+    task gets all copies of a line.
+    """
+    named = eligible.select(F.struct(*eligible.columns).alias("row"), "book_id", F.xxhash64("trimmed").alias("h"), F.xxhash64(F.lit(1), "trimmed").alias("g"), F.xxhash64("book_id", "line_no").alias("place"))
+    counts = named.groupBy("book_id", "h", "g").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    many = counts.where("n > 1")
+    hot = many.join(F.broadcast(total), F.col("n") * HOT_SHARE > F.col("total")).select(F.col("book_id").alias("b1"), F.col("h").alias("h1"), F.col("g").alias("g1"), F.col("n").alias("n1"))
+    rest = many.select(F.col("book_id").alias("b2"), F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("n").alias("n2"))
+    same = lambda b, g: F.col("book_id").eqNullSafe(F.col(b)) & (F.col("g") == F.col(g))
+    told = named.join(F.broadcast(hot), same("b1", "g1") & (F.col("h") == F.col("h1")), "left")
+    spread = F.when(F.col("n1").isNull(), F.col("h")).otherwise(F.col("place"))
+    told = told.join(rest, same("b2", "g2") & (spread == F.col("h2")), "left")
+    return told.select("row.*", F.coalesce("n1", "n2", F.lit(1).cast("long")).alias("repeats"))
 
 
 def repetition_signal(config: WatermarkConfig = WatermarkConfig()) -> Column:

@@ -174,11 +174,22 @@ def test_rule_sets(spark, tmp_path):
     assert rules.read_rules(spark, str(tmp_path / "part.json")).first()["enabled"]
 
 
-def test_one_exchange_for_line_work(spark):
+def test_texts_are_dealt_out_once(spark):
     books = spark.createDataFrame([("a", "x\ny")], "book_id string, source_text string")
-    eligible = watermark.eligible_lines(lines.split_lines(books))
-    plan = watermark.line_frequency(eligible)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    plan = lines.split_lines(books)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1
+
+
+def test_repeats_without_a_sort_by_text(spark):
+    rows = [(b, k, t, "n") for b in ("a", "b", None) for k, t in enumerate(["hot line"] * 3000 + ["twice"] * 2 + [f"once {b} {k}" for k in range(500)])]
+    some = spark.createDataFrame(rows, "book_id string, line_no int, trimmed string, n string").withColumns({"h": F.lit(1), "n1": F.lit(2)})
+    got = watermark.line_frequency(some)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "trimmed#" not in "".join(x for x in plan.splitlines() if "- Sort [" in x)
+    assert got.columns == [*some.columns, "repeats"]
+    assert {(r["trimmed"].split()[0], r["repeats"], r["count"]) for r in got.groupBy("trimmed", "repeats").count().collect() if r["repeats"] > 1} == {("hot", 3000, 9000), ("twice", 2, 6)}
+    assert got.where("repeats = 1").count() == 1500
+    assert watermark.line_frequency(some.limit(0)).count() == 0
 
 
 def test_chapter_lengths(spark):
