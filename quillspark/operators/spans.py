@@ -19,21 +19,24 @@ def kind_priority(kind: str | Column = "kind") -> Column:
     )
 
 
-def _reach(rows: DataFrame, whole: list[str]) -> DataFrame:
-    """rows, dealt out by chunked, with reach: the furthest end of the spans before it in the book; null for the first.
-
-    The chunks' sums are taken over whole rows, so that they and the rows come from one exchange.
-    """
-    furthest = rows.groupBy("book_id", "chunk").agg(F.max(F.struct("end", *whole)).alias("furthest"))
-    before = carried(furthest.select("book_id", "chunk", F.col("furthest.end").alias("end")), carry=F.max("end"))
-    own = F.max("end").over(inside("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1))
-    return with_carried(rows.withColumn("own", own), before).withColumn("reach", F.greatest("own", "carry")).drop("own", "carry")
+def _reaching(start: str, end: str, chunk_bytes: int, side: int) -> Column:
+    """Rows (chunk, at, side) that put something from start to end into every chunk that it reaches: as it is where it begins,
+    and with a smaller side at the beginning of each further one. A row more is made for each chunk_bytes that are covered."""
+    first, last = F.floor(F.col(start) / chunk_bytes), F.floor(F.greatest(start, end) / chunk_bytes)
+    here = lambda k: F.struct(k.alias("chunk"), F.greatest(F.col(start), k * chunk_bytes).alias("at"), F.when(k == first, side).otherwise(side - 1).alias("side"))
+    return F.transform(F.sequence(first, last), here)
 
 
 def drop_contained(spans: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Spans (book_id, start, end, ...) without those that lie inside an earlier one, by start and then end."""
-    rows = chunked(spans.select("book_id", "start", "end", "kind", F.struct(*spans.columns).alias("row")), "start", chunk_bytes)
-    return _reach(rows, ["row", "start", "kind"]).where("reach is null or end > reach").select("row.*")
+    """Spans (book_id, start, end, ...) without those that lie inside an earlier one, by start and then end.
+
+    A span also stands at the beginning of each further chunk of the book that it reaches, so that chunks are looked at alone.
+    """
+    rows = spans.select("book_id", "start", "end", "kind", F.struct(*spans.columns).alias("row"))
+    rows = rows.select("*", F.inline(_reaching("start", "end", chunk_bytes, 1))).repartition("book_id", "chunk")
+    before = inside("at", "side", "start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    marked = rows.withColumn("reach", F.max("end").over(before)).where("side = 1")
+    return marked.where("reach is null or end > reach").select("row.*")
 
 
 def merge_spans(spans: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -64,21 +67,22 @@ def merge_spans(spans: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 
 
 def assign_to_ranges(spans: DataFrame, ranges: DataFrame, names: list[str], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """spans with the columns `names` and range_start, range_end of the last of the disjoint ranges (book_id, start, end) that
-    begins at or before the span's start; null before the first. An as-of fill over the union, not a range join; what the last
-    range before a chunk is, is carried into it."""
+    """spans with the columns `names` and range_start, range_end of that of the disjoint ranges (book_id, start, end) which holds
+    the span's start or ends there; of two that touch there the later; null where none does.
+
+    An as-of fill over the union, not a range join. A range also stands at the beginning of each further chunk of the book that
+    it reaches, so that chunks are filled alone.
+    """
     own = F.struct("start", "end", *names)
     none = lambda df, what: F.lit(None).cast(df.select(what.alias("x")).schema["x"].dataType)
-    row = F.struct(*spans.columns)
-    left = spans.select("book_id", F.col("start").alias("at"), F.lit(1).alias("side"), row.alias("row"), none(ranges, own).alias("range"))
-    right = ranges.select("book_id", F.col("start").alias("at"), F.lit(0).alias("side"), none(spans, row).alias("row"), own.alias("range"))
-    rows = chunked(left.union(right), "at", chunk_bytes)
-    # the last range of each chunk; the row beside it is null, and keeps this and the rows one exchange
-    last = rows.groupBy("book_id", "chunk").agg(F.max_by(F.struct("range", "row"), F.when(F.col("side") == 0, F.col("at"))).alias("last"))
-    before = carried(last.select("book_id", "chunk", F.col("last.range").alias("range")), carry=F.last("range", ignorenulls=True))
-    until = F.last("range", ignorenulls=True).over(inside("at", "side").rowsBetween(Window.unboundedPreceding, 0))
-    filled = with_carried(rows.withColumn("own", until).where("side = 1"), before).withColumn("r", F.coalesce("own", "carry"))
-    return filled.select("row.*", F.col("r.start").alias("range_start"), F.col("r.end").alias("range_end"), *(F.col(f"r.{n}").alias(n) for n in names))
+    row, at = F.struct(*spans.columns), F.col("start")
+    left = spans.select("book_id", F.floor(at / chunk_bytes).alias("chunk"), at.alias("at"), F.lit(1).alias("side"), row.alias("row"), none(ranges, own).alias("range"))
+    right = ranges.select("book_id", F.inline(_reaching("start", "end", chunk_bytes, 0)), none(spans, row).alias("row"), own.alias("range"))
+    rows = left.unionByName(right).repartition("book_id", "chunk")
+    until = inside("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.withColumn("r", F.last("range", ignorenulls=True).over(until)).where("side = 1")
+    held = filled.withColumn("r", F.when(F.col("at") <= F.col("r.end"), F.col("r")))
+    return held.select("row.*", F.col("r.start").alias("range_start"), F.col("r.end").alias("range_end"), *(F.col(f"r.{n}").alias(n) for n in names))
 
 
 def splice(text: str | None, edits: list | None) -> str | None:

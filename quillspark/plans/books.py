@@ -88,7 +88,7 @@ class Curation:
 
     @cached_property
     def cleaning(self) -> DataFrame:
-        return cleaning.cleaning_annotations(self.lines, self.config)
+        return materialize(cleaning.cleaning_annotations(self.lines, self.config))
 
     @cached_property
     def merged(self) -> DataFrame:

@@ -104,7 +104,7 @@ def test_ranges_of_chunks(spark, some_spans, pieces):
     got = spans.assign_to_ranges(df.select("book_id", "start", "end"), spark.createDataFrame(ranges, "book_id long, start long, end long, no long"), ["no"], 400 // pieces)
     want = []
     for b, start, end, *_ in rows:
-        last = max((r for r in ranges if r[0] == b and r[1] <= start), default=(None,) * 4)
+        last = max((r for r in ranges if r[0] == b and r[1] <= start <= r[2]), default=(None,) * 4)
         want.append((b, start, end, last[1], last[2], last[3]))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
