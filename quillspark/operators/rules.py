@@ -5,11 +5,18 @@ A rule set is small: it is collected, and each pattern enters the plan as a lite
 
 from __future__ import annotations
 
-from functools import reduce
-
+import json
+from collections import OrderedDict
+from collections.abc import Iterator
+from functools import lru_cache, reduce
+
+import ahocorasick
+import pandas as pd
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.operators.patterns import ambiguity, needed_words
 
 RULE_SCHEMA = "id string, pattern string, kind string, enabled boolean, priority int, source string, description string"
 DIALECT = "(?dU)"
@@ -47,17 +54,11 @@ BUILTIN = (
     ("builtin-watermark-free-read", "(?:免费(?:阅读|看书|小说)|无广告(?:阅读|追书)|全本(?:免费|无弹窗))", "watermark", 140),
 )
 
-#: For rules that are costly to search every line for, words of which a line must hold one to match.
-NEEDED = {
-    "builtin-watermark-url-http": ("http",),
-    "builtin-watermark-url-www": ("www.",),
-    "builtin-watermark-tg-handle": ("@",),
-    "builtin-watermark-domain": tuple(f".{end}" for end in "com net org cc cn io me xyz info tv club app top vip biz".split()),
-    "builtin-watermark-first-publish": ("首发", "更新最快", "最快"),
-    "builtin-watermark-piracy-warn": ("盗", "可耻", "严禁转载", "未经授权"),
-    "builtin-watermark-free-read": ("免费", "无广告", "全本"),
-}
-_errors: dict[str, str | None] = {}
+#: So many rules are tried one by one on a line that holds a word they need; more go by one pass over the line for all their words.
+FEW_RULES = 64
+#: What is remembered of patterns that were compiled.
+REMEMBERED = 50_000
+_errors: OrderedDict[str, str | None] = OrderedDict()
 
 
 def builtin_rules(spark: SparkSession) -> DataFrame:
@@ -141,52 +142,100 @@ def java_pattern(pattern: str) -> str:
 
 
 def check_patterns(spark: SparkSession, patterns: list[str]) -> None:
-    """Compile patterns that are not known yet in one job; only where one of them fails is each tried by itself."""
-    new = [p for p in dict.fromkeys(patterns) if p not in _errors]
-    try:
-        if new:
-            spark.range(1).select(*(F.lit("").rlike(java_pattern(p)) for p in new)).collect()
-        _errors.update(dict.fromkeys(new))
-    except Exception as e:  # noqa: BLE001 - any failure to compile is the answer
-        if len(new) == 1:
-            _errors[new[0]] = str(e).splitlines()[0]
-        else:
-            for p in new:
-                check_patterns(spark, [p])
+    """Find out what is wrong with patterns that are not known yet, without a job: they are compiled where the driver is.
+
+    Patterns that backtracking could take exponential time for are refused too, as matching has to be linear in a line's length.
+    """
+    while len(_errors) > REMEMBERED:
+        _errors.popitem(last=False)
+    compile_ = spark._jvm.java.util.regex.Pattern.compile
+    for p in dict.fromkeys(patterns):
+        if p in _errors:
+            continue
+        try:
+            compile_(java_pattern(p))
+            _errors[p] = ambiguity(p)
+        except IllegalArgumentException as e:
+            _errors[p] = str(e).splitlines()[0]
 
 
 def pattern_error(spark: SparkSession, pattern: str) -> str | None:
-    """What is wrong with a pattern; None if it compiles."""
+    """What is wrong with a pattern; None if it compiles and is matched in reasonable time."""
     check_patterns(spark, [pattern])
     return _errors[pattern]
 
 
 def validate_rules(rules: DataFrame) -> DataFrame:
-    """(id, error) of the rules that do not compile."""
+    """(id, error) of the rules that do not compile, or that backtracking could take exponential time for."""
     spark = rules.sparkSession
-    rows = rules.collect()
+    rows = rules.select("id", "pattern").collect()
     check_patterns(spark, [r["pattern"] for r in rows])
     bad = [(r["id"], e) for r in rows if (e := pattern_error(spark, r["pattern"]))]
     return spark.createDataFrame(bad, "id string, error string")
 
 
+@lru_cache(maxsize=4)
+def _automaton(patterns: tuple[str, ...]) -> tuple[ahocorasick.Automaton | None, frozenset[int]]:
+    """An automaton from the words that rules need to the places of the rules, and the places of rules that need none."""
+    by_word: dict[str, set[int]] = {}
+    always = set()
+    for k, p in enumerate(patterns):
+        for word in needed_words(p.removeprefix(DIALECT)) or [""]:
+            by_word.setdefault(word, set()).add(k)
+    always |= by_word.pop("", set())
+    found = ahocorasick.Automaton()
+    for word, places in by_word.items():
+        found.add_word(word, tuple(places))
+    found.make_automaton()
+    return found if by_word else None, frozenset(always)
+
+
+def _candidates(c: str, patterns: list[tuple[str, str]]) -> Column:
+    """The places of the rules that a line holds a needed word of, or that need none, in order."""
+    texts = tuple(p for _, p in patterns)
+
+    @F.pandas_udf("array<int>")
+    def places(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words, always = _automaton(texts)
+        for lines in batches:
+            hits = [set(always).union(*(k for _, k in words.iter(x))) if words is not None and x is not None else always for x in lines]
+            yield pd.Series([sorted(h) for h in hits])
+
+    return places(c)
+
+
+def _matching(c: str, patterns: list[tuple[str, str]]) -> Column:
+    """The places of the rules that a line matches, by one pass for the words of all, and the patterns of those found."""
+    texts = _listed([p for _, p in patterns])
+    return F.filter(_candidates(c, patterns), lambda k: F.rlike(F.col(c), F.get(texts, k)))
+
+
+def _listed(texts: list[str]) -> Column:
+    """A literal array of many texts."""
+    return F.from_json(F.lit(json.dumps(texts)), "array<string>")
+
+
 def match_first_rule(c: str, patterns: list[tuple[str, str]]) -> Column:
     """The id of the first rule that a line matches; null without one."""
-    return F.coalesce(*(F.when(F.col(c).rlike(p), F.lit(i)) for i, p in patterns), F.lit(None).cast("string"))
+    if len(patterns) > FEW_RULES:
+        return F.get(_listed([i for i, _ in patterns]), F.get(_matching(c, patterns), F.lit(0)))
+    return F.coalesce(*(F.when(_may_match(c, p) & F.col(c).rlike(p), F.lit(i)) for i, p in patterns), F.lit(None).cast("string"))
 
 
 def match_all_rules(c: str, patterns: list[tuple[str, str]]) -> Column:
-    """The ids of all rules that a line matches, in order, as an array."""
+    """The ids of all rules that a line matches, in order, as an array; null lines match none."""
     if not patterns:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*(F.when(_may_match(c, i, p) & F.col(c).rlike(p), F.lit(i)) for i, p in patterns)))
+    if len(patterns) > FEW_RULES:
+        ids = _listed([i for i, _ in patterns])
+        return F.transform(_matching(c, patterns), lambda k: F.get(ids, k))
+    return F.array_compact(F.array(*(F.when(_may_match(c, p) & F.col(c).rlike(p), F.lit(i)) for i, p in patterns)))
 
 
-def _may_match(c: str, rule_id: str, pattern: str) -> Column:
-    """Whether a line holds a word that the built-in rule of this id and pattern needs; true for others."""
-    if (rule_id, pattern) not in {(i, java_pattern(p)) for i, p, _, _ in BUILTIN}:
-        return F.lit(True)
-    return reduce(lambda a, b: a | b, (F.col(c).contains(w) for w in NEEDED.get(rule_id, ("",))))
+def _may_match(c: str, pattern: str) -> Column:
+    """Whether a line holds a word that the pattern needs; true if it needs none."""
+    words = needed_words(pattern.removeprefix(DIALECT))
+    return reduce(lambda a, b: a | b, (F.col(c).contains(w) for w in words)) if words else F.lit(True)
 
 
 def heading_candidates(lines: DataFrame, rules: DataFrame, longest: int = 100) -> DataFrame:

@@ -268,6 +268,32 @@ def rules_from_json(docs):
     return R.read_rules(docs.sparkSession, path)
 
 
+#: Rules of the words that documents begin with: as they are, in two ways at once inside a repeat, unclosed, and repeated.
+WORD_RULE = "CASE length(id) % 4 WHEN 0 THEN id WHEN 1 THEN concat('(?:', id, '|', id, ')+$') WHEN 2 THEN concat('(', id) ELSE concat('(?:', id, ')+$') END"
+
+
+@over("documents", "SELECT DISTINCT regexp_extract(text, '[A-Za-z]{3,}') AS id FROM documents WHERE length(id) % 4 IN (1, 2)")
+def refused_rules(docs):
+    words = docs.select(F.regexp_extract("text", "[A-Za-z]{3,}", 0).alias("id")).where("id <> ''").distinct()
+    return R.validate_rules(words.select("id", F.expr(WORD_RULE).alias("pattern"))).select("id")
+
+
+def match_many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of a thousand rules, one for each word of the benchmark, the lines of all documents match."""
+    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("id")).distinct()
+    table = words.select("id", F.concat("id", F.lit("[.]")).alias("pattern"), F.lit("watermark").alias("kind"), F.lit(True).alias("enabled"), F.lit(1).alias("priority"), F.lit(0).alias("ord"))
+    found = L.split_lines(document_books(spark, sf_dir)).select("book_id", "line_no", R.match_all_rules("trimmed", R.compiled(table, "watermark")).alias("hits"))
+    return found.where(F.size("hits") > 0).select("book_id", "line_no", F.array_join(F.array_sort("hits"), " ").alias("hits"))
+
+
+QUERIES["match_many_rules"] = match_many_rules
+SQL["match_many_rules"] = """
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS w FROM benchmark),
+l AS (SELECT doc_id AS book_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)
+SELECT book_id, CAST(line_no AS INT) AS line_no, string_agg(w, ' ' ORDER BY w) AS hits FROM l JOIN w ON contains(line, w || '.') GROUP BY ALL
+"""
+
+
 # Cleaning
 
 
