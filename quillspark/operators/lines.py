@@ -102,9 +102,10 @@ def _mended(long: DataFrame) -> DataFrame:
 
 
 def book_profile(books: DataFrame, cleaning: DataFrame | None = None, chapters: DataFrame | None = None) -> DataFrame:
-    """Characters and bytes of every book, and how many cleaning rows and chapters it has."""
+    """Characters and bytes of every book, its encoding where books tell it, and how many cleaning rows and chapters it has."""
     out = books.select(
         "book_id",
+        *(c for c in ("source_encoding",) if c in books.columns),
         F.length("source_text").cast("long").alias("n_chars"),
         F.octet_length("source_text").cast("long").alias("n_bytes"),
     )

@@ -19,7 +19,7 @@ from quillspark.operators import lines as L
 from quillspark.operators import rules as R
 from quillspark.plans.books import BOILERPLATE, Curation, books, document_books
 from quillspark.plans.oracle import merged, sql
-from quillspark.sources import files
+from quillspark.sources import encodings, files
 from quillspark.tables import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,6 +162,33 @@ def stripped_marks(docs):
     return marked.select("doc_id", F.sha2(files.strip_bom(), 256).alias("sha256"))
 
 
+#: Cyrillic letters that take the place of Latin ones; what stands in a document's file, in one of four encodings, where letters
+#: of ISO-8859-1 have the bytes of Cyrillic ones.
+CYRILLIC = "абцдефгхийклмнопярстувщызАБЦДЕФГХИЙКЛМНОПЯРСТУВЩЫЗ"
+PLAIN = "abcdefghijklmnopqrstuvwyzABCDEFGHIJKLMNOPQRSTUVWYZ"
+
+
+def _file_of():
+    kind, narrow, ascii_ = F.col("doc_id") % 4, F.regexp_replace("text", r"[^\x00-\x7F\xA0-\xFF]", ""), F.regexp_replace("text", r"[^\x00-\x7F]", "")
+    byte = lambda encoding: F.encode(F.translate(ascii_, PLAIN, CYRILLIC.encode(encoding).decode("latin-1")), "ISO-8859-1")
+    return F.when(kind == 0, F.encode(narrow, "ISO-8859-1")).when(kind == 1, byte("cp1251")).when(kind == 2, byte("koi8-r")).otherwise(F.encode(narrow, "UTF-16LE"))
+
+
+@over(
+    "documents",
+    r"""SELECT CASE doc_id % 4 WHEN 0 THEN 'windows-1252' WHEN 1 THEN 'windows-1251' WHEN 2 THEN 'KOI8-R' ELSE 'UTF-16LE' END AS encoding, count(*) AS n, true AS told
+    FROM documents WHERE length(text) >= 200 AND (doc_id % 4 <> 0 OR regexp_matches(text, '[\x{C0}-\x{FF}]')) AND regexp_matches(text, '[a-wyz]') GROUP BY 1""",
+)
+def detected_encodings(docs):
+    """Documents in four encodings, without marks or labels, told by a model of the texts themselves: whether 0.95 are, of each."""
+    some = docs.where("length(text) >= 200").where((F.col("doc_id") % 4 != 0) | F.col("text").rlike(r"[\xC0-\xFF]")).where(F.col("text").rlike("[a-wyz]"))
+    kind = F.when(F.col("doc_id") % 4 == 0, "windows-1252").when(F.col("doc_id") % 4 == 1, "windows-1251").when(F.col("doc_id") % 4 == 2, "KOI8-R").otherwise("UTF-16LE")
+    raw = some.select(F.concat(kind, F.lit("/"), "doc_id").alias("path"), _file_of().alias("content"))
+    found = files.decode_books(raw, pairs=encodings.count_pairs(some)).withColumn("encoding", F.substring_index("path", "/", 1))
+    right = (F.col("source_encoding") == F.col("encoding")) & (F.col("decode_status") == "ok")
+    return found.groupBy("encoding").agg(F.count("*").alias("n"), (F.count_if(right) >= 0.95 * F.count("*")).alias("told"))
+
+
 def _raw(docs) -> tuple[DataFrame, DataFrame]:
     """Files of the documents, of which every seventh breaks off in a character, and the labels of some."""
     some = docs.where("text is not null").select(F.concat(F.lit("book-"), "doc_id").alias("path"), "doc_id", "text")

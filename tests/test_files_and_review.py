@@ -19,7 +19,8 @@ def test_decode(spark, tmp_path):
         "bom.txt": (b"\xef\xbb\xbf" + "你好".encode(), None, "你好", "UTF-8", "ok"),
         "gbk.txt": ("中文小说内容".encode("gbk"), None, "中文小说内容", "gb18030", "ok"),
         "le.txt": (b"\xff\xfe" + "你好".encode("utf-16le"), None, "你好", "UTF-16LE", "ok"),
-        "be.txt": (b"\xfe\xff" + "你好".encode("utf-16be"), "gbk", "你好", "UTF-16BE", "ok"),
+        "be.txt": (b"\xfe\xff" + "你好".encode("utf-16be"), None, "你好", "UTF-16BE", "ok"),
+        "label_first.txt": (b"\xef\xbb\xbf" + "你好啊".encode(), "gb18030", (b"\xef\xbb\xbf" + "你好啊".encode()).decode("gb18030"), "gb18030", "ok"),
         "labelled.txt": ("你好".encode("gb18030"), "gb18030", "你好", "gb18030", "ok"),
         "unknown.txt": (b"abc", "klingon", None, None, "unknown_label"),
         "bad.txt": (b"\xc0\xc0\xc0", "utf-8", None, "UTF-8", "malformed"),
@@ -35,7 +36,7 @@ def test_decode(spark, tmp_path):
     for name, (_, _, text, encoding, status) in cases.items():
         assert (got[name]["source_text"], got[name]["source_encoding"], got[name]["decode_status"]) == (text, encoding, status), name
     good, bad = files.quarantine_malformed(books)
-    assert good.count() == 6 and bad.count() == 2
+    assert good.count() == 7 and bad.count() == 2
 
 
 CHINESE = "清晨的集市上人声鼎沸，卖菜的老人把新摘的豆角摆得整整齐齐，孩子们在人群里跑来跑去，笑声传得很远。"
