@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.config import CleaningConfig
 from quillspark.operators import chapters, cleaning, lines, rules, watermark
-from quillspark.tables import materialize
+from quillspark.tables import materialize, release
 
 BOILERPLATE = "本文首发于 https://example.com/novel 更新最快"
 IDEOGRAPHIC = "　"
@@ -48,11 +48,21 @@ def document_books(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Curation:
     """The tables of one curation run, each derived from the books when first asked for.
 
-    Lines, chapters, and boilerplate rows are read by many operators and so written out once.
+    Lines, chapters, and boilerplate rows are read by many operators and so written out once; close() deletes them.
     """
 
     def __init__(self, books: DataFrame, config: CleaningConfig = CleaningConfig.everything()):
         self.books, self.config = books, config
+        self.written: list[DataFrame] = []
+
+    def _kept(self, table: DataFrame) -> DataFrame:
+        self.written.append(materialize(table))
+        return self.written[-1]
+
+    def close(self) -> None:
+        """Delete what was written for this run, once all that reads it has been written out itself."""
+        release(*self.written)
+        self.written.clear()
 
     @cached_property
     def rules(self) -> DataFrame:
@@ -60,11 +70,11 @@ class Curation:
 
     @cached_property
     def lines(self) -> DataFrame:
-        return materialize(lines.split_lines(self.books))
+        return self._kept(lines.split_lines(self.books))
 
     @cached_property
     def headings(self) -> DataFrame:
-        return materialize(rules.heading_candidates(self.lines, self.rules))
+        return self._kept(rules.heading_candidates(self.lines, self.rules))
 
     @cached_property
     def unsplit(self) -> DataFrame:
@@ -72,7 +82,7 @@ class Curation:
 
     @cached_property
     def chapters(self) -> DataFrame:
-        return materialize(chapters.number_chapters(chapters.split_long(materialize(self.unsplit), self.lines)))
+        return self._kept(chapters.number_chapters(chapters.split_long(self._kept(self.unsplit), self.lines)))
 
     @cached_property
     def volumes(self) -> DataFrame:
@@ -84,15 +94,15 @@ class Curation:
 
     @cached_property
     def watermarks(self) -> DataFrame:
-        return materialize(watermark.watermarks(self.lines, self.rules, self.heading_starts))
+        return self._kept(watermark.watermarks(self.lines, self.rules, self.heading_starts))
 
     @cached_property
     def cleaning(self) -> DataFrame:
-        return materialize(cleaning.cleaning_annotations(self.lines, self.config))
+        return self._kept(cleaning.cleaning_annotations(self.lines, self.config))
 
     @cached_property
     def merged(self) -> DataFrame:
-        return materialize(watermark.merge_auto_into_cleaning(self.cleaning, self.watermarks))
+        return self._kept(watermark.merge_auto_into_cleaning(self.cleaning, self.watermarks))
 
     @cached_property
     def paragraphs(self) -> DataFrame:

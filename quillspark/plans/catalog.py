@@ -20,6 +20,7 @@ from quillspark.operators import rules as R
 from quillspark.plans.books import BOILERPLATE, Curation, books, document_books
 from quillspark.plans.oracle import merged, sql
 from quillspark.sources import encodings, files
+from quillspark.streaming.curate import batch_folders, curate_stream, first_seen, stream_books
 from quillspark.tables import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -462,6 +463,24 @@ def materialize_paragraphs(c):
     return c.paragraphs
 
 
+def streamed_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs of all books that arrive as files in three steps, the second with files of the first again, the stream started anew for each."""
+    plain = books(spark, sf_dir).select("book_id", "source_text")
+    root = _written(plain, "stream")
+    step = F.pmod(F.col("book_id"), F.lit(3))
+    for k in range(3):
+        arrived = plain.where(step == k) if k != 1 else plain.where((step == 1) | (F.col("book_id") % 6 == 0))
+        arrived.select(F.col("book_id").alias("b"), "source_text").write.partitionBy("b").text(f"{root}/in/step-{k}")
+        curate_stream(first_seen(stream_books(spark, f"{root}/in")), batch_folders(f"{root}/out"), f"{root}/checkpoint").awaitTermination()
+    name = plain.select(F.col("book_id").alias("own"), F.sha2(F.concat("source_text", F.lit("\n")), 256).alias("book_id"))
+    found = spark.read.parquet(f"{root}/out/paragraphs").join(name, "book_id")
+    return found.select(F.col("own").alias("book_id"), "chapter_no", "para_no", "text")
+
+
+QUERIES["streamed_paragraphs"] = streamed_paragraphs
+SQL["streamed_paragraphs"] = SQL["materialize_paragraphs"]
+
+
 @query(
     "SELECT book_id, count(*) AS n_entries, count(*) FILTER (kind = 'volume') AS n_volumes, sum(n) AS n_chapters, string_agg(title, ' / ' ORDER BY spot) AS titles FROM ("
     "SELECT book_id, 'chapter' AS kind, title, heading_start AS spot, 1 AS n FROM chapters WHERE volume_no IS NULL UNION ALL SELECT book_id, 'volume', title, heading_start, "

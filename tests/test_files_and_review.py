@@ -10,7 +10,7 @@ from quillspark.functions import text as T
 from quillspark.operators import export, metadata, review
 from quillspark.plans.books import Curation
 from quillspark.sources import files
-from quillspark.streaming.curate import curate_stream, stream_books
+from quillspark.streaming.curate import batch_folders, curate_stream, first_seen, stream_books
 
 
 def test_decode(spark, tmp_path):
@@ -145,3 +145,22 @@ def test_stream(spark, tmp_path):
     run = curate_stream(stream_books(spark, str(tmp_path / "in")), lambda name, df, n: seen.setdefault(name, []).extend(df.collect()), str(tmp_path / "check"))
     run.awaitTermination(120)
     assert [r["text"] for r in seen["paragraphs"]] == ["正文1"] and len(seen["quarantine"]) == 1
+
+
+def test_stream_goes_on_and_sees_files_once(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+
+    def step(files_of):
+        for name, text in files_of.items():
+            (source / name).write_text(text)
+        curate_stream(first_seen(stream_books(spark, str(source))), batch_folders(out), str(tmp_path / "check")).awaitTermination(120)
+        return sorted(r["text"] for r in spark.read.parquet(f"{out}/paragraphs").collect())
+
+    assert step({"a.txt": "第一章 起\n正文1\n"}) == ["正文1"]
+    assert step({"again.txt": "第一章 起\n正文1\n", "b.txt": "第一章 起\n正文2\n"}) == ["正文1", "正文2"]
+    # a batch that is tried again replaces what it wrote
+    sink, rows = batch_folders(out), spark.createDataFrame([("x", 0, 0, "正文3")], spark.read.parquet(f"{out}/paragraphs").drop("batch").schema)
+    sink("paragraphs", rows, 9)
+    sink("paragraphs", rows, 9)
+    assert sorted(r["text"] for r in spark.read.parquet(f"{out}/paragraphs").collect()) == ["正文1", "正文2", "正文3"]
