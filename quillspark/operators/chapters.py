@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from quillspark.config import ChapterConfig
 from quillspark.functions.text import trim_unicode
 from quillspark.operators.rules import heading_candidates
-from quillspark.operators.spans import assign_to_ranges, splice
+from quillspark.operators.scan import CHUNK_BYTES, inside
+from quillspark.operators.spans import assign_to_ranges, reaching, spliced
 
 COLUMNS = ("book_id", "volume_no", "title", "heading_start", "heading_end", "body_start", "body_end", "origin", "matched_rule_id")
 
@@ -158,38 +159,50 @@ def chapters(books: DataFrame, lines: DataFrame, rules: DataFrame, config: Chapt
     return number_chapters(split_long(sized, lines, config))
 
 
-def materialize_paragraphs(lines: DataFrame, chapters: DataFrame, cleaning: DataFrame) -> DataFrame:
+def materialize_paragraphs(lines: DataFrame, chapters: DataFrame, cleaning: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(book_id, chapter_no, para_no, text): the lines of each body with the cleaning rows inside it applied, trimmed.
 
-    Edits apply line by line; runs of blank lines make no paragraph, so only edits within lines matter. An edit
-    across the edge of a body is left out, one across lines within a body deletes what it covers.
-    """
-    ranges = chapters.where("body_end > body_start").select("book_id", F.col("body_start").alias("start"), F.col("body_end").alias("end"), "chapter_no")
-    text = lines.select("book_id", F.col("byte_start").alias("start"), F.col("byte_end").alias("end"), "line_no", "line")
-    inside = assign_to_ranges(text, ranges, ["chapter_no"]).where("start < range_end")
-    edits = cleaning.where("kind <> 'blank_line_compression'").select("book_id", "start", "end", "replacement")
-    edits = assign_to_ranges(edits, ranges.select("book_id", "start", "end", "chapter_no"), ["chapter_no"]).where("end <= range_end")
-    owned = assign_to_ranges(
-        edits.select("book_id", "start", "end", "replacement"), lines.select("book_id", F.col("byte_start").alias("start"), F.col("byte_end").alias("end"), "line_no"), ["line_no"]
-    )
-    local = owned.select(
-        "book_id", "line_no", F.struct((F.col("start") - F.col("range_start")).alias("start"), (F.least("end", "range_end") - F.col("range_start")).alias("end"), "replacement").alias("e")
-    )
-    local = local.groupBy("book_id", "line_no").agg(F.array_sort(F.collect_list("e")).alias("edits"))
-    joined = inside.join(local, ["book_id", "line_no"], "left")
+    Edits apply line by line; runs of blank lines make no paragraph, so only edits within lines matter. An edit across the edge
+    of a body is left out. One that goes on behind its line deletes what it covers of further lines; its replacement stands
+    where it begins. Cleaning rows lie apart, as merged spans do.
 
-    @F.pandas_udf("string")
-    def apply(texts, edits):
-        import pandas as pd
-
-        return pd.Series([splice(t, e) for t, e in zip(texts, edits)], dtype=object)
-
-    whole = (F.size("edits") == 1) & (F.col("edits")[0]["start"] == 0) & (F.col("edits")[0]["end"] == F.octet_length("line")) & F.col("edits")[0]["replacement"].isNull()
-    kept = joined.where(F.col("edits").isNull() | ~whole)
-    cleaned = F.when(F.col("edits").isNull(), F.col("line")).otherwise(apply("line", "edits"))
-    kept = kept.withColumn("text", trim_unicode(cleaned)).where("text <> ''")
-    order = Window.partitionBy("book_id", "chapter_no").orderBy("line_no")
-    return kept.select("book_id", "chapter_no", (F.row_number().over(order) - 1).alias("para_no"), "text")
+    One scan by chunks of a book tells lines and edits their body, edits their line, and lines how far earlier edits reach; bodies,
+    lines, and edits stand in every chunk that they reach. Lines and edits then meet by chapter, where lines are numbered.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    body_type, line_type, edit_type = "struct<no:long,start:long,end:long>", "struct<no:long,start:long,end:long>", "struct<start:long,end:long,replacement:string>"
+
+    def rows(table: DataFrame, start: str, end: str, side: int, body=None, line=None, edit=None, text=None) -> DataFrame:
+        held = table.select("book_id", F.inline(reaching(start, end, chunk_bytes, side)), *((none(kind) if c is None else c.cast(kind)).alias(name) for name, c, kind in (("body", body, body_type), ("line", line, line_type), ("edit", edit, edit_type), ("text", text, "string"))))
+        return held.withColumn("text", F.when(F.col("side") == side, F.col("text"))) if text is not None else held
+
+    bodies = chapters.where("body_end > body_start")
+    parts = rows(bodies, "body_start", "body_end", 1, body=F.struct("chapter_no", "body_start", "body_end"))
+    parts = parts.unionByName(rows(lines, "byte_start", "byte_end", 3, line=F.struct("line_no", "byte_start", "byte_end"), text=F.col("line")))
+    edits = cleaning.where("kind <> 'blank_line_compression'")
+    edits = rows(edits, "start", "end", 5, edit=F.struct("start", "end", "replacement"))
+    # an edit that reaches into a chunk comes before the line that begins with it, one that begins there behind
+    parts = parts.unionByName(edits.withColumn("side", F.when(F.col("side") == 5, 5).otherwise(0)))
+
+    so_far = inside("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.last(c, ignorenulls=True).over(so_far)
+    placed = parts.repartition("book_id", "chunk").withColumns({"body": last("body"), "line": last("line"), "before": last("edit")})
+    within = lambda e: (F.col(f"{e}.start") >= F.col("body.start")) & (F.col(f"{e}.end") <= F.col("body.end"))
+    size, rest = F.col("line.end") - F.col("line.start"), F.col("before.end") - F.col("line.start")
+    own = F.struct((F.col("edit.start") - F.col("line.start")).alias("start"), (F.least("edit.end", "line.end") - F.col("line.start")).alias("end"), F.col("edit.replacement").alias("replacement"))
+    from_before = F.struct(F.lit(0).cast("long").alias("start"), F.least(rest, size).alias("end"), none("string").alias("replacement"))
+    is_line = (F.col("side") == 3) & (F.col("line.start") < F.col("body.end"))
+    is_edit = (F.col("side") == 5) & within("edit") & (F.col("edit.start") <= F.col("line.end"))
+    cut = F.when(is_edit, own).when(within("before") & (F.col("before.start") < F.col("line.start")) & (rest > 0), from_before)
+    met = placed.where(is_line | is_edit).select("book_id", F.col("body.no").cast(chapters.schema["chapter_no"].dataType).alias("chapter_no"), F.col("line.no").cast("int").alias("line_no"), "side", "text", cut.alias("cut"))
+
+    per_line = Window.partitionBy("book_id", "chapter_no", "line_no").orderBy("side", "cut").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    read = met.repartition("book_id", "chapter_no").withColumn("cuts", F.collect_list("cut").over(per_line)).where("side = 3")
+    read = read.withColumn("text", trim_unicode(spliced("text", "cuts")))
+    until = Window.partitionBy("book_id", "chapter_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    # counted before blank ones go, so that the filter stays above and texts are spliced once
+    numbered = read.withColumn("para_no", F.count_if(F.col("text") != "").over(until).cast("int") - 1)
+    return numbered.where("text <> ''").select("book_id", "chapter_no", "para_no", "text")
 
 
 def chapter_stats(chapters: DataFrame, volumes: DataFrame) -> DataFrame:

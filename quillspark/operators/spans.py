@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +16,7 @@ def kind_priority(kind: str | Column = "kind") -> Column:
     )
 
 
-def _reaching(start: str, end: str, chunk_bytes: int, side: int) -> Column:
+def reaching(start: str, end: str, chunk_bytes: int, side: int) -> Column:
     """Rows (chunk, at, side) that put something from start to end into every chunk that it reaches: as it is where it begins,
     and with a smaller side at the beginning of each further one. A row more is made for each chunk_bytes that are covered."""
     first, last = F.floor(F.col(start) / chunk_bytes), F.floor(F.greatest(start, end) / chunk_bytes)
@@ -33,7 +30,7 @@ def drop_contained(spans: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
     A span also stands at the beginning of each further chunk of the book that it reaches, so that chunks are looked at alone.
     """
     rows = spans.select("book_id", "start", "end", "kind", F.struct(*spans.columns).alias("row"))
-    rows = rows.select("*", F.inline(_reaching("start", "end", chunk_bytes, 1))).repartition("book_id", "chunk")
+    rows = rows.select("*", F.inline(reaching("start", "end", chunk_bytes, 1))).repartition("book_id", "chunk")
     before = inside("at", "side", "start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
     marked = rows.withColumn("reach", F.max("end").over(before)).where("side = 1")
     return marked.where("reach is null or end > reach").select("row.*")
@@ -77,7 +74,7 @@ def assign_to_ranges(spans: DataFrame, ranges: DataFrame, names: list[str], chun
     none = lambda df, what: F.lit(None).cast(df.select(what.alias("x")).schema["x"].dataType)
     row, at = F.struct(*spans.columns), F.col("start")
     left = spans.select("book_id", F.floor(at / chunk_bytes).alias("chunk"), at.alias("at"), F.lit(1).alias("side"), row.alias("row"), none(ranges, own).alias("range"))
-    right = ranges.select("book_id", F.inline(_reaching("start", "end", chunk_bytes, 0)), none(spans, row).alias("row"), own.alias("range"))
+    right = ranges.select("book_id", F.inline(reaching("start", "end", chunk_bytes, 0)), none(spans, row).alias("row"), own.alias("range"))
     rows = left.unionByName(right).repartition("book_id", "chunk")
     until = inside("at", "side").rowsBetween(Window.unboundedPreceding, 0)
     filled = rows.withColumn("r", F.last("range", ignorenulls=True).over(until)).where("side = 1")
@@ -85,20 +82,34 @@ def assign_to_ranges(spans: DataFrame, ranges: DataFrame, names: list[str], chun
     return held.select("row.*", F.col("r.start").alias("range_start"), F.col("r.end").alias("range_end"), *(F.col(f"r.{n}").alias(n) for n in names))
 
 
-def splice(text: str | None, edits: list | None) -> str | None:
-    """text with sorted byte spans replaced or deleted; a span that begins before the end of the one before it is skipped."""
-    if text is None or edits is None or not len(edits):
-        return text
-    raw, out, at = text.encode(), [], 0
-    for edit in edits:
-        if edit["start"] < at:
-            continue
-        out.append(raw[at : edit["start"]])
-        if edit["replacement"] is not None:
-            out.append(edit["replacement"].encode())
-        at = edit["end"]
-    out.append(raw[at:])
-    return b"".join(out).decode()
+def _apart(edits: Column) -> Column:
+    """Sorted edits without those that begin before the end of the last one that is kept."""
+    before = lambda i: F.coalesce(F.get(edits, i - 1)["end"], F.lit(0))
+    overlap = F.exists(F.transform(edits, lambda e, i: e["start"] < before(i)), lambda x: x)
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.filter(edits, lambda e: F.lit(False)).alias("kept"))
+    add = lambda acc, e: F.struct(e["end"].cast("long").alias("at"), F.array_append(acc["kept"], e).alias("kept"))
+    return F.when(overlap, F.aggregate(edits, none, lambda acc, e: F.when(e["start"] < acc["at"], acc).otherwise(add(acc, e)), lambda acc: acc["kept"])).otherwise(edits)
+
+
+def spliced(text: str | Column, edits: str | Column) -> Column:
+    """text with sorted edits (start, end, replacement), spans in bytes, put in place of what they cover; null replacements delete.
+
+    The pieces between the edits are slices of the text's bytes, which with the replacements are joined once. An edit that begins
+    before the end of the last one applied is skipped; edits that overlap, which merged spans do not, are picked one by one and
+    take time by the square of their number. Null edits leave the text as it is, and a null text stays null.
+    """
+    text, edits = (F.col(c) if isinstance(c, str) else c for c in (text, edits))
+
+    def joined(x: Column) -> Column:
+        raw, own = x["raw"], x["edits"]
+        cut = lambda start, end: F.substring(raw, (start + 1).cast("int"), (end - start).cast("int")).cast("string")
+        end_of = lambda i: F.coalesce(F.get(own, i)["end"], F.lit(0))
+        pieces = F.transform(own, lambda e, i: F.concat(cut(end_of(i - 1), e["start"]), F.coalesce(e["replacement"], F.lit(""))))
+        return F.concat(F.array_join(pieces, ""), cut(end_of(F.size(own) - 1), F.octet_length(raw)))
+
+    # an array of one binds the bytes and the edits, so that they are made once and not for every piece
+    bound = F.transform(F.array(edits), lambda e: F.struct(text.cast("binary").alias("raw"), _apart(e).alias("edits")))
+    return F.when(edits.isNull() | text.isNull() | (F.size(edits) == 0), text).otherwise(F.get(F.transform(bound, joined), F.lit(0)))
 
 
 def apply_spans(texts: DataFrame, spans: DataFrame, keys: list[str], text: str = "source_text") -> DataFrame:
@@ -106,13 +117,5 @@ def apply_spans(texts: DataFrame, spans: DataFrame, keys: list[str], text: str =
 
     Offsets are bytes of the text; edits of one text meet in one row, whose text they belong to.
     """
-
-    @F.pandas_udf("string")
-    def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for text, edits in batches:
-            yield pd.Series([splice(t, e) for t, e in zip(text, edits)], dtype=object)
-
     edits = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", "replacement"))).alias("__edits"))
-    joined = texts.join(edits, keys, "left")
-    cleaned = F.when(F.col("__edits").isNull(), F.col(text)).otherwise(apply(text, "__edits"))
-    return joined.withColumn("cleaned", cleaned).drop("__edits")
+    return texts.join(edits, keys, "left").withColumn("cleaned", spliced(text, "__edits")).drop("__edits")

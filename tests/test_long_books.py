@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.config import CleaningConfig
-from quillspark.operators import cleaning, lines, overlay, spans
+from quillspark.operators import chapters, cleaning, lines, overlay, spans
 
 KINDS = ["watermark_keyword", "watermark_repetition", "watermark_non_cjk", "control_char"]
 FIRST = {"watermark_keyword": 3, "watermark_repetition": 2, "watermark_non_cjk": 1}
@@ -128,3 +128,68 @@ def test_spans_of_empty_tables(spark, some_spans):
     assert spans.assign_to_ranges(plain, ranges, ["no"]).where("no is null and range_start is null").count() == plain.count()
     layers = plain.where("book_id is not null").withColumn("layer", F.lit("l"))
     assert overlay.overlap_lines(lines.split_lines(spark.createDataFrame([(0, "ab\ncd")], "book_id long, source_text string")), layers).where("e <= s").count() == 0
+
+
+def plain_splice(text, edits):
+    raw, out, at = text.encode(), b"", 0
+    for start, end, new in sorted(edits, key=lambda e: (e[0], e[1], e[2] or "")):
+        if start >= at:
+            out, at = out + raw[at:start] + (new or "").encode(), end
+    return (out + raw[at:]).decode()
+
+
+@pytest.mark.parametrize("apart", [True, False])
+def test_spliced_texts(spark, apart):
+    rng = random.Random(9)
+    rows = [(500, None, [(0, 1, None)]), (501, "é日", None), (502, "", []), (503, "é日🎉", [(0, 9, None)]), (504, "é日", [(2, 2, "+"), (5, 5, "🎉")])]
+    for k in range(60):
+        text = "".join(rng.choice(["a", "é", "日", "🎉"]) for _ in range(rng.randint(0, 40)))
+        cuts = sorted({len(text[:i].encode()) for i in range(len(text) + 1)})
+        ends = sorted(rng.sample(cuts, 2 * rng.randint(0, len(cuts) // 2)))
+        edits = [(a, b, rng.choice([None, "", "新"])) for a, b in zip(ends[::2], ends[1::2])]
+        if not apart:
+            edits += [(min(x), max(x), "-") for x in (rng.choices(cuts, k=2) for _ in range(8))]
+        rows.append((k, text, sorted(edits, key=lambda e: (e[0], e[1], e[2] or ""))))
+    df = spark.createDataFrame(rows, "book_id long, source_text string, edits array<struct<start:long,end:long,replacement:string>>")
+    want = {k: None if t is None else plain_splice(t, e or []) for k, t, e in rows}
+    assert {k: t for k, t in df.select("book_id", spans.spliced("source_text", "edits")).collect()} == want
+    flat = df.select("book_id", F.inline("edits"))
+    applied = spans.apply_spans(df.select("book_id", "source_text", F.lit("x").alias("edits")), flat, ["book_id"])
+    assert {r["book_id"]: r["cleaned"] for r in applied.collect()} == want
+    assert "Python" not in applied._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("width", [4, 30, 1 << 20])
+def test_paragraphs_of_chunks(spark, texts, width):
+    rng, want, bodies, edits = random.Random(10), [], [], []
+    for book, text in (r for r in texts[0] if r[0] is not None and r[1]):
+        own = sorted(plain_lines([(book, text)]), key=lambda r: r[1])
+        edges = sorted({0, len(own), *(rng.randint(0, len(own)) for _ in range(3))})
+        chars = sorted({len(text[:i].encode()) for i in range(len(text) + 1)})
+        picked = sorted(rng.sample(chars, 2 * min(4, len(chars) // 2)))
+        cuts = [(a, b, rng.choice([None, "x"])) for a, b in zip(picked[::2], picked[1::2])]
+        edits += [(book, *c[:2], "watermark_keyword", c[2]) for c in cuts]
+        edits.append((book, 0, len(text.encode()), "blank_line_compression", "\n\n"))
+        for no, (a, b) in enumerate(zip(edges, edges[1:])):
+            start, end = own[a][4], own[b - 1][5]
+            if end <= start:
+                continue
+            bodies.append((book, no, start, end))
+            held = [c for c in cuts if start <= c[0] and c[1] <= end]
+            n = 0
+            for _, _, line, _, s, e, *_ in own[a:b]:
+                if s >= end:
+                    continue
+                here = [(c[0] - s, min(c[1], e) - s, c[2]) for c in held if s <= c[0] <= e]
+                here += [(0, min(c[1], e) - s, None) for c in held if c[0] < s < c[1]]
+                new = plain_splice(line, here).strip()
+                if new:
+                    want.append((book, no, n, new))
+                    n += 1
+    assert len(want) > 100
+    ranges = spark.createDataFrame(bodies, "book_id long, chapter_no int, body_start long, body_end long")
+    table = spark.createDataFrame(edits, "book_id long, start long, end long, kind string, replacement string")
+    # names that the scan uses itself
+    clashing = {c: F.lit("c") for c in ("chunk", "side", "text", "body", "cut", "before", "edit")}
+    got = chapters.materialize_paragraphs(lines.split_lines(texts[1]).withColumns(clashing), ranges.withColumns(clashing), table.withColumns(clashing), width)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
