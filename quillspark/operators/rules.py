@@ -174,6 +174,11 @@ def validate_rules(rules: DataFrame) -> DataFrame:
     return spark.createDataFrame(bad, "id string, error string")
 
 
+def usable_rules(rules: DataFrame) -> DataFrame:
+    """rules without those that validate_rules finds fault with, such as what a model has made up."""
+    return rules.join(validate_rules(rules), "id", "left_anti")
+
+
 @lru_cache(maxsize=4)
 def _automaton(patterns: tuple[str, ...]) -> tuple[ahocorasick.Automaton | None, frozenset[int]]:
     """An automaton from the words that rules need to the places of the rules, and the places of rules that need none."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import chapters as C
-from quillspark.operators import cleaning, export, metadata, overlay, review, spans, watermark
+from quillspark.operators import asking, cleaning, export, metadata, offsets, overlay, review, spans, watermark
 from quillspark.operators import lines as L
 from quillspark.operators import rules as R
 from quillspark.plans.books import BOILERPLATE, Curation, books, document_books
@@ -92,6 +92,17 @@ def byte_and_char_offsets(c):
     return marked.select("book_id", "s", "e", "char_s", again.alias("byte_again"))
 
 
+@query(
+    r"SELECT book_id, line_no, byte_start, char_start AS char, char_start + length(regexp_replace(substr(source_text, 1, char_start), '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS utf16, "
+    "byte_start AS byte FROM lines JOIN books USING (book_id)",
+    documents=True,
+)
+def offsets_by_index(c):
+    index = offsets.offset_index(c.books)
+    found = offsets.bytes_to_chars(c.lines.select("book_id", "line_no", "byte_start"), index, "byte_start")
+    return offsets.chars_to_bytes(found, index)
+
+
 @query(
     "SELECT book_id, s, e, substr(source_text, greatest(char_start - 8, 0) + 1, char_start - greatest(char_start - 8, 0)) AS before_, trimmed_line AS target, "
     "substr(source_text, char_start + length(trimmed_line) + 1, 8) AS after_ FROM (SELECT m.book_id, m.s, m.e, l.char_start, l.line AS trimmed_line FROM marks m JOIN lines l USING (book_id, line_no)) JOIN books USING (book_id)"
@@ -750,6 +761,42 @@ def induced_rule(c):
     return review.induced_rule(reply).select("id", "pattern", "priority")
 
 
+#: What rules a model has made up: a word, one without its end, or one that takes exponential time.
+INDUCED = "CASE length({w}) % 3 WHEN 0 THEN {w} WHEN 1 THEN '(' || {w} ELSE '(' || {w} || '+)+$' END"
+
+
+@query(
+    "SELECT DISTINCT 'llm-' || substr(sha256(pattern), 1, 12) AS id, pattern, 'llm_generated' AS source FROM (SELECT regexp_extract(trimmed, '[A-Za-z]+', 0) AS pattern FROM marks WHERE s % 3 = 0) "
+    f"WHERE pattern <> '' AND length(pattern) % 3 = 0 UNION ALL SELECT id, pattern, source FROM {_builtin_sql()}"
+)
+def learned_rules(c):
+    """The built-in rules with those of replies that can be used."""
+    rejected = _decisions(c).where("scope = 'watermark' and verdict = 'rejected'")
+    text = c.lines.select("book_id", F.col("byte_start").alias("start"), F.col("byte_end").alias("end"), "trimmed")
+    words = text.join(rejected, ["book_id", "start", "end"]).select(F.regexp_extract("trimmed", "[A-Za-z]+", 0).alias("w")).where("w <> ''")
+    induced = R.usable_rules(review.induced_rule(words.select(F.expr(INDUCED.format(w="w")).alias("pattern"))))
+    placed = induced.withColumn("ord", (F.row_number().over(Window.orderBy("id")) - 1).cast("int"))
+    return R.merge_rules(c.rules, placed).select("id", "pattern", "source")
+
+
+def _odd_lines_are_content(requests: list[str]) -> list[str]:
+    """A stand-in for a model: a candidate of an even number of characters is boilerplate."""
+    told = lambda row: "水印: 偶数" if len(row.split(". ", 1)[1]) % 2 == 0 else "正文"
+    return ["\n".join(f"{i}. {told(row)}" for i, row in enumerate(r.split("\n"), 1)) for r in requests]
+
+
+@query(
+    "SELECT book_id, batch, i, CASE WHEN length(text) % 2 = 0 THEN 'is_watermark' ELSE 'is_content' END AS verdict, CASE WHEN length(text) % 2 = 0 THEN '偶数' END AS reason FROM numbered",
+    more=CANDIDATES,
+)
+def asked_verdicts(c):
+    """Verdicts of a stand-in for a model, asked in two waves; the replies are those of the log, of a second run that asks no one."""
+    batches = review.number_candidates(review.llm_candidates(c.lines, c.watermarks), 2)
+    requests, log = batches.withColumnRenamed("prompt", "request"), _written(c.books, "replies")
+    asking.ask(requests, log, _odd_lines_are_content, waves=2)
+    return review.parse_verdict_lines(batches, asking.ask(requests, log))
+
+
 # Metadata
 
 
