@@ -93,7 +93,7 @@ def byte_and_char_offsets(c):
 
 
 @query(
-    r"SELECT book_id, line_no, byte_start, char_start AS char, char_start + length(regexp_replace(substr(source_text, 1, char_start), '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS utf16, "
+    r"SELECT book_id, line_no, byte_start, char_start AS char, char_start + length(regexp_replace(substr(source_text, 1, char_start), '[^\x{10000}-\x{10FFFF}]', '', 'g')) AS utf16, "
     "byte_start AS byte FROM lines JOIN books USING (book_id)",
     documents=True,
 )
@@ -761,8 +761,8 @@ def induced_rule(c):
     return review.induced_rule(reply).select("id", "pattern", "priority")
 
 
-#: What rules a model has made up: a word, one without its end, or one that takes exponential time.
-INDUCED = "CASE length({w}) % 3 WHEN 0 THEN {w} WHEN 1 THEN '(' || {w} ELSE '(' || {w} || '+)+$' END"
+#: What rules a model has made up: a word, one without its end, or one twice in a repeat, which takes exponential time.
+INDUCED = "CASE length({w}) % 3 WHEN 0 THEN {w} WHEN 1 THEN '(' || {w} ELSE '(' || {w} || '|' || {w} || ')+$' END"
 
 
 @query(
