@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 SPLIT_BITS = 10
 MASK = (1 << SPLIT_BITS) - 1
+#: Single bits of both levels, so that a merge makes no new numbers for them; ranks have to be below 2 ** (2 * SPLIT_BITS).
+BIT = [1 << k for k in range(1 << SPLIT_BITS)]
 CACHE_ROWS = 200_000
 CACHE_KEY_CHARS = 64
 
@@ -40,20 +42,19 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     n, get = len(piece), ranks.get
     after, before = list(range(1, n + 2)), list(range(-1, n))
     at: list[int | None] = [get(piece[k : k + 2]) for k in range(n - 1)]  # the rank that a live position waits at
-    at += [None, None]
     buckets: dict[int, list[int]] = {}
     leaves: dict[int, int] = {}
     top = 0
-    for k in range(n - 1):
-        r = at[k]
+    for k, r in enumerate(at):
         if r is not None:
             if r in buckets:
                 buckets[r].append(k)
             else:
                 buckets[r] = [k]
                 h = r >> SPLIT_BITS
-                leaves[h] = leaves.get(h, 0) | 1 << (r & MASK)
-                top |= 1 << h
+                leaves[h] = leaves.get(h, 0) | BIT[r & MASK]
+                top |= BIT[h]
+    at += (None, None)
     while top:
         h = (top & -top).bit_length() - 1
         leaf = leaves[h]
@@ -61,7 +62,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         rank = h << SPLIT_BITS | low.bit_length() - 1
         if leaf == low:
             del leaves[h]
-            top ^= 1 << h
+            top ^= BIT[h]
         else:
             leaves[h] = leaf ^ low
         waiting = buckets.pop(rank)
@@ -81,8 +82,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                 else:
                     buckets[r] = [k]
                     h = r >> SPLIT_BITS
-                    leaves[h] = leaves.get(h, 0) | 1 << (r & MASK)
-                    top |= 1 << h
+                    leaves[h] = leaves.get(h, 0) | BIT[r & MASK]
+                    top |= BIT[h]
             left = before[k]
             if left >= 0:
                 at[left] = r = get(piece[left:follow])
@@ -92,8 +93,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
                     else:
                         buckets[r] = [left]
                         h = r >> SPLIT_BITS
-                        leaves[h] = leaves.get(h, 0) | 1 << (r & MASK)
-                        top |= 1 << h
+                        leaves[h] = leaves.get(h, 0) | BIT[r & MASK]
+                        top |= BIT[h]
     ids, k = [], 0
     while k < n:
         follow = after[k]
