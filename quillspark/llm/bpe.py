@@ -24,7 +24,7 @@ SPLIT_BITS = 10
 MASK = (1 << SPLIT_BITS) - 1
 #: Single bits of both levels, so that a merge makes no new numbers for them; ranks have to be below 2 ** (2 * SPLIT_BITS).
 BIT = [1 << k for k in range(1 << SPLIT_BITS)]
-CACHE_ROWS = 200_000
+CACHE_ROWS = 260_000
 CACHE_KEY_CHARS = 64
 
 
