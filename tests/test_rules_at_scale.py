@@ -80,3 +80,24 @@ def test_one_bad_rule_among_many(spark):
     assert set(found) == {"open", "slow"} and "exponentially" in found["slow"] and jobs <= 3
     # the bad watermark rules are skipped, the others stay
     assert len(rules.compiled(table.union(bad), "watermark")) == 1001
+
+
+def test_rules_are_validated_where_their_rows_are(spark, monkeypatch):
+    """More rules than are remembered: each is analysed once, and none on the driver."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(rules, "REMEMBERED", 50)
+    monkeypatch.setattr(rules, "check_patterns", lambda *a: 1 / 0)
+    ends = F.expr("CASE id % 4 WHEN 0 THEN 'w' || id WHEN 1 THEN '(?:w' || id || '|w' || id || ')+$' WHEN 2 THEN '(w' || id WHEN 3 THEN NULL END")
+    told = {r["id"]: r["error"] for r in rules.validate_rules(spark.range(400).select("id", ends.alias("pattern"))).collect()}
+    assert set(told) == {k for k in range(400) if k % 4}
+    assert "exponentially" in told[1] and told[2] == "does not compile: missing ), unterminated subpattern" and told[3] == "does not compile"
+
+
+def test_rules_beyond_those_remembered_are_compiled_once(spark, monkeypatch):
+    monkeypatch.setattr(rules, "REMEMBERED", 50)
+    rules._errors.clear()
+    seen, own = [], rules.ambiguity
+    monkeypatch.setattr(rules, "ambiguity", lambda p: seen.append(p) or own(p))
+    table = spark.range(120).selectExpr("'r' || id AS id", "'once' || id AS pattern", "'watermark' AS kind", "true AS enabled", "1 AS priority", "cast(id AS int) AS ord")
+    assert len(rules.compiled(table, "watermark")) == 120 and len(seen) == 120 and len(rules._errors) <= 50
