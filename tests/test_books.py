@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.config import CleaningConfig, WatermarkConfig, partial_config
+from quillspark.functions import text
 from quillspark.operators import chapters, cleaning, lines, rules, spans, watermark
 from quillspark.plans.books import Curation
 
@@ -203,3 +204,19 @@ def test_a_long_book_is_split_in_linear_time(spark):
     began = time.time()
     got = lines.split_lines(book).agg(F.count("*"), F.max("byte_end"), F.max("n_bytes")).first()
     assert tuple(got) == (100_000, 100_000 * 28 - 1, 100_000 * 28) and time.time() - began < 20
+
+
+def test_signals_of_a_text_are_told_below_the_exchange(spark):
+    """A filter on the score names the signals many times over; patterns in it would be matched anew for each."""
+    line = "book_id long, line_no int, line string, trimmed string, n_chars int, byte_start long, byte_end long, char_start long, ended boolean, n_bytes long"
+    found = watermark.watermarks(spark.createDataFrame([], line), rules.builtin_rules(spark))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join", 1)
+    assert "RLIKE" not in above and "regexp_replace" not in above and "RLIKE" in below
+
+
+def test_characters_of_chinese_context_are_counted(spark):
+    texts = ["", "abc", "中文", "a中b文文，c", "🎉中🎉", "\u3000\u00a0\u00b7\ufeffx", "第１章 \n é"]
+    want = [0, 0, 2, 4, 1, 4, 3]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", text.cjk_count("t").alias("n")).orderBy("k").collect()
+    assert [r["n"] for r in got] == want
