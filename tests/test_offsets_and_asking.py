@@ -120,3 +120,14 @@ def test_what_failed_is_told_and_asked_again(spark, tmp_path):
 def test_rules_that_cannot_be_used_are_left_out(spark):
     df = spark.createDataFrame([("a", "x+"), ("b", "(x"), ("c", "(a+)+$")], "id string, pattern string")
     assert [r["id"] for r in rules.usable_rules(df).collect()] == ["a"]
+
+
+def test_characters_of_parts_that_are_torn(spark):
+    """Every part of a text, also one that begins or ends inside a character, without a scan that replaces byte by byte."""
+    raw = "aé中🎉b🎉🎉中é".encode()
+    parts = [raw[i:j] for i in range(len(raw)) for j in range(i, len(raw) + 1)]
+    df = spark.createDataFrame([(bytearray(p),) for p in parts], "p binary").select("p", offsets._chars(F.col("p")).alias("chars"), offsets._units(F.col("p")).alias("units"))
+    assert "translate" not in df.select("chars")._jdf.queryExecution().optimizedPlan().toString()
+    for r in df.collect():
+        begun = sum(x & 0xC0 != 0x80 for x in r["p"])
+        assert (r["chars"], r["units"]) == (begun, begun + sum(x >= 0xF0 for x in r["p"])), bytes(r["p"])
