@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import export, metadata, review
-from quillspark.plans.books import Curation
+from quillspark.plans import catalog
+from quillspark.plans.books import BOILERPLATE, Curation
 from quillspark.sources import files
 from quillspark.streaming.curate import batch_folders, curate_stream, first_seen, stream_books
 
@@ -164,3 +165,17 @@ def test_stream_goes_on_and_sees_files_once(spark, tmp_path):
     sink("paragraphs", rows, 9)
     sink("paragraphs", rows, 9)
     assert sorted(r["text"] for r in spark.read.parquet(f"{out}/paragraphs").collect()) == ["正文1", "正文2", "正文3"]
+
+
+def test_streamed_books_are_split_as_they_would_be_in_one_run(spark, tmp_path):
+    """The last chapter has exactly 2.5 times the median: a character more in its file and it would be split."""
+    size = lambda text, indent=0: indent + len(text) + 2 + len(BOILERPLATE)
+    first = "a" * 100
+    first += "a" * (size(first) % 2)
+    last = "b" * 40 + "\nshort\n" + "c" * 40
+    gap = 2 * (len("  \n\n\n\n") - 1)
+    last += "c" * (size(first) * 5 // 2 - size(last) - gap)
+    rows = [(2, 0, "user", first), (2, 1, "assistant", first[2:]), (2, 2, "user", last), (3, 0, "user", "d" * 50)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found, whole = (catalog.QUERIES[q](spark, str(tmp_path)) for q in ("streamed_paragraphs", "materialize_paragraphs"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.select(*found.columns).collect()))
