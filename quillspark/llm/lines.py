@@ -107,23 +107,41 @@ def moves(runs: list[tuple[int, int, int]], less: int, k: int) -> list[tuple[int
     return [m for m in found if abs(less - m[-1]) <= behind]
 
 
+def follows(k: int, blocks: int, less: int, runs: list[tuple[int, int, int]], moved: tuple[int, ...]) -> int:
+    """Bits of the segment ways (by number) after which a line need ask for what stays.
+
+    A pair within k edits shares a segment i with i edits at most before it and k - i behind. The segment tells the lengths'
+    difference; of 2 k + 1 blocks it holds block 2 i, which stays and moves with it: the 2 i blocks before and 2 (k - i)
+    behind have room for k blocks to go that hold all edits.
+    """
+    at = {b: s for (first, behind, _), s in zip(runs, moved) for b in range(first, behind)}
+    own = [w["less"] == less and (blocks != 2 * k + 1 or at.get(2 * w["i"]) == w["shift"]) for w in segment_ways(k)]
+    bits = sum({1 << number % 64 for number, met in enumerate(own) if met})
+    return bits - (bits >> 63 << 64)  # as a signed number of 64 bits
+
+
 def compound_keys(k: int, blocks: int, ask: bool) -> Column:
     """Keys of what stays of a line when k of its blocks go, for each choice of the k: lines within k edits share one.
 
-    ask: what a line looks up, for each length that is not greater and each way in which edits can move what stays.
+    ask: what a line looks up, for each length that is not greater and each way in which edits can move what stays, as far as
+    that follows from the segments that the line met others at (bits of `met`).
     """
     ways = []
     for less in range(k + 1 if ask else 1):
         for number, gone in enumerate(combinations(range(blocks), k)):
             runs = runs_without(gone, blocks)
             for moved in moves(runs, less, k) if ask else [(0,) * len(runs)]:
-                ways.append({"less": less, "gone": number, "runs": [{"first": f, "behind": b, "shift": s} for (f, b, _), s in zip(runs, moved)]})
-    shape = "array<struct<less int, gone int, runs array<struct<first int, behind int, shift int>>>>"
+                after = follows(k, blocks, less, runs, moved)
+                ways.append({"less": less, "gone": number, "after": after, "runs": [{"first": f, "behind": b, "shift": s} for (f, b, _), s in zip(runs, moved)]})
+    shape = "array<struct<less int, gone int, after bigint, runs array<struct<first int, behind int, shift int>>>>"
 
     start = "int((n - w.less) div {m} * {i} + greatest({i} - ({m} - (n - w.less) % {m}), 0) + 1)"
     first, behind = start.format(m=blocks, i="r.first"), start.format(m=blocks, i="r.behind")
     kept = f"transform(w.runs, r -> {piece('c', f'{first} + r.shift', f'{behind} - {first}')})"
-    keys = f"transform(from_json('{json.dumps(ways)}', '{shape}'), w -> xxhash64(n - w.less, w.gone, {kept}))"
+    asked = f"from_json('{json.dumps(ways)}', '{shape}')"
+    # in shorter lines a block need not lie in its segment
+    asked = f"filter({asked}, w -> n < {blocks * (k + 1) + k} or (w.after & met) <> 0)" if ask else asked
+    keys = f"transform({asked}, w -> xxhash64(n - w.less, w.gone, {kept}))"
     return F.expr(f"transform(array(encode(line, 'UTF-32')), c -> {keys})[0]")
 
 
@@ -191,8 +209,8 @@ def within_edits(left: str, right: str, k: int) -> Column:
 
 
 def some_of(table: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of a table whose id is listed; a short list is broadcast, so that the texts stay where they are."""
-    return table.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    """The rows of a table whose id is listed (once), with what the list tells of it; a short list is broadcast, so that the texts stay where they are."""
+    return table.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id")
 
 
 def verified(met: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -212,7 +230,8 @@ def links(nodes: DataFrame, k: int, hot: int = 8, blocks: int = 5, part_rows: in
 
     A segment that over `hot` lines enter would pair them all. Lines that meet there meet again under compound keys, which
     hold all of a line but k of its blocks; they are paired where the counts of their letters, and of their pairs of
-    neighbouring letters, differ by no more than k edits can change. A key with many entries is dealt over parts.
+    neighbouring letters, differ by no more than k edits can change. A line asks only for the compound keys that follow from
+    the busy segments it met. A key with many entries is dealt over parts.
     """
     nodes = nodes.select("id", "line", "n")
     keyed = stash(nodes.select("id", segment_keys(k).alias("keys")))
@@ -228,7 +247,8 @@ def links(nodes: DataFrame, k: int, hot: int = 8, blocks: int = 5, part_rows: in
         found = verified(met, nodes, k)
         release(keyed, busy)
         return found
-    held = stash(asked.join(busy, "key", "left_semi").select("id").distinct())
+    ways = keyed.select("id", F.posexplode("keys").alias("way", "key")).join(busy, "key", "left_semi")
+    held = stash(ways.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, way)")).alias("met")))
     letters, pairs = parity("split(line, '')"), parity("transform(sequence(1, n), i -> substr(line, i, 2))")
     keys = {"entered": compound_keys(k, blocks, False), "asked": compound_keys(k, blocks, True)}
     some = stash(some_of(nodes, held).select("id", "n", letters.alias("letters"), pairs.alias("pairs"), *(v.alias(c) for c, v in keys.items())))

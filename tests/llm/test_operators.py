@@ -448,6 +448,15 @@ def test_line_links(spark, letters, least, most):
         assert {(r["a"], r["b"]) for r in lines.links(nodes, 2, hot).collect()} == expect
 
 
+def test_busy_lines_ask_only_for_what_follows_from_their_segments(spark):
+    """Of the 48 compound keys, a line that met others of its length at places that don't move needs 20; a short line asks for all."""
+    still = sum(1 << i for i, w in enumerate(lines.segment_ways(2)) if w["less"] == w["shift"] == 0)
+    rows = [(n, "".join(chr(97 + i * i % 23) for i in range(n)), still) for n in (40, 8)] + [(41, "z" * 41, 1)]
+    df = spark.createDataFrame(rows, "n int, line string, met long")
+    got = {r["n"]: r["size"] for r in df.select("n", F.size(lines.compound_keys(2, 5, True)).alias("size")).collect()}
+    assert got == {40: 20, 8: 48, 41: 12}
+
+
 def test_line_dedup(spark, odd):
     long = "This line is surely long enough to be compared at all."
     docs = [(1, f"{long}\nshort\nAnother line, which also is long enough to count."), (2, f"short\n{long.replace('surely', 'surelY')}\nA wholly different line that nobody else has, really."), (3, long), (4, "tiny"), (5, f"{long}\n{long}")]
