@@ -12,14 +12,17 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import partial
 from itertools import chain
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import per_worker
+
 SPLIT_BITS = 10
 MASK = (1 << SPLIT_BITS) - 1
 #: Single bits of both levels, so that a merge makes no new numbers for them; ranks have to be below 2 ** (2 * SPLIT_BITS).
@@ -146,10 +149,9 @@ class Codec:
         return len(ids), written, hashlib.sha256(self.decode(ids)).hexdigest()
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """One codec per worker and file."""
-    return Codec(read_ranks(path), pattern)
+    """A worker's codec, kept until it needs another or other tables."""
+    return per_worker((Codec, path, pattern), lambda: Codec(read_ranks(path), pattern))
 
 
 def encode_documents(docs: DataFrame, locate: Callable[[], str], pattern: str) -> DataFrame:
@@ -169,15 +171,19 @@ def encode_documents(docs: DataFrame, locate: Callable[[], str], pattern: str) -
     return plain.mapInPandas(each, "doc_id long, ids array<int>, decoded binary")
 
 
+def digests(c: Codec, texts: pa.Array) -> pa.StructArray:
+    """The digests of a batch of texts (null: as an empty one), of which one at a time is a string of Python's."""
+    rows = [c.digest(t.as_py() or "") for t in texts]
+    named = (("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()))
+    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(named)], [n for n, _ in named])
+
+
 def digest_documents(docs: DataFrame, locate: Callable[[], str], pattern: str) -> DataFrame:
     """docs' columns with n_tokens, ids_sha256 and decoded_sha256 of every whole text (null: as an empty one)."""
-    out = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    @F.pandas_udf(out)
-    def each(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        c = codec(locate(), pattern)
-        for batch in texts:
-            yield pd.DataFrame([c.digest(t or "") for t in batch], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def each(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from map(partial(digests, codec(locate(), pattern)), texts)
 
     own = [c for c in docs.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
     return docs.withColumn("__bpe", each("text")).select(*own, "__bpe.*")

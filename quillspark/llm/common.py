@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,17 @@ from quillspark.tables import materialize, release, shared_dir  # noqa: F401 - t
 stash = materialize
 
 
+_kept: dict[object, object] = {}
+
+
+def per_worker(key: object, make: Callable[[], object]) -> object:
+    """What make gives, kept by a Python worker for its next tasks: only the last key's, so that what the stages of a pipeline keep does not add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def merge_links(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Let label hold the smallest index that each position reaches, once the links i-j are added."""
     while len(i):

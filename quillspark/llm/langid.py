@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import hash_bound, is_training
+from quillspark.llm.common import hash_bound, is_training, per_worker
 
 DIMENSIONS = 512
 GRAM = 3
@@ -44,7 +45,7 @@ class Profiler:
         self.place = np.full(0x110000, -1, np.int16)  # of a code point: 0 no letter, below COMMON common, else rare
         self.codes = [SPACE]
         self.row = np.full(COMMON**GRAM, -1, np.int32)
-        self.rows = np.zeros((0, dimensions), np.float32)
+        self.rows, self.used = np.zeros((TABLE_ROWS, dimensions), np.float32), 0  # memory is taken as rows are filled
 
     def letter(self, code: int) -> np.ndarray:
         """The vector of a letter, by its code point and the seed alone."""
@@ -104,10 +105,11 @@ class Profiler:
         keys = keys if rare is None else keys[~rare]
         rows = self.row[keys]
         if (rows < 0).any():
-            fresh = np.unique(keys[rows < 0])[: TABLE_ROWS - len(self.rows)]
+            fresh = np.unique(keys[rows < 0])[: TABLE_ROWS - self.used]
             if len(fresh):
-                self.row[fresh] = np.arange(len(self.rows), len(self.rows) + len(fresh))
-                self.rows = np.concatenate([self.rows, self.bind(self.spell(fresh))])
+                self.row[fresh] = np.arange(self.used, self.used + len(fresh))
+                self.rows[self.used : self.used + len(fresh)] = self.bind(self.spell(fresh))
+                self.used += len(fresh)
                 rows = self.row[keys]
             if (rows < 0).any():
                 odd, counts = np.unique(keys[rows < 0], return_counts=True)
@@ -146,12 +148,9 @@ class Profiler:
         return np.divide(total, size, out=np.zeros_like(total), where=size > 0), seen & (size[:, 0] > 0)
 
 
-_profilers: dict[int, Profiler] = {}
-
-
 def profiler(dimensions: int = DIMENSIONS) -> Profiler:
-    """One profiler per worker and size."""
-    return _profilers.setdefault(dimensions, Profiler(dimensions))
+    """A worker's profiler, kept until it needs another or other tables."""
+    return per_worker((Profiler, dimensions), lambda: Profiler(dimensions))
 
 
 def train(docs: DataFrame, bound: int = TRAINING_BOUND, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
@@ -194,17 +193,19 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     size = len(next(iter(prototypes.values()))) if names else DIMENSIONS
     table = np.stack([prototypes[n] for n in names]).astype(np.float32) if names else None
 
-    @F.pandas_udf("lang_pred string, score double")
-    def each(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def each(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         p = profiler(size)
         for batch in texts:
             rows = []
             for k in range(0, len(batch), DOCS_AT_ONCE):
-                units, seen = p.profiles(list(batch[k : k + DOCS_AT_ONCE]))
+                # few texts of a batch at a time are strings of Python's
+                units, seen = p.profiles(batch.slice(k, DOCS_AT_ONCE).to_pylist())
                 cosines = units @ table.T if names else np.zeros((len(units), 1))
                 for best, top, has in zip(cosines.argmax(axis=1), cosines.max(axis=1), seen & bool(names)):
                     rows.append((names[best], min(1.0, max(0.0, float(top)))) if has else ("und", 0.0))
-            yield pd.DataFrame(rows, columns=["lang_pred", "score"])
+            columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())]
+            yield pa.StructArray.from_arrays(columns, ["lang_pred", "score"])
 
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.select(*own, each("text").alias("__lang")).select(*own, "__lang.*")

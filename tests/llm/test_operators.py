@@ -4,10 +4,13 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
+import weakref
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -550,6 +553,27 @@ def test_bpe_documents(odd):
         assert bytes(r["decoded"]).decode() == "日本語 émoji 🎉 ﬁ İ"
 
 
+def test_worker_keeps_one_operators_tables():
+    own = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), r"\S+")
+    first = bpe.codec(*own)
+    assert bpe.codec(*own) is first
+    gone = weakref.ref(first)
+    del first
+    assert langid.profiler() is langid.profiler() and gone() is None
+
+
+def test_bpe_holds_one_text_of_a_batch(codec):
+    """A batch stays in Arrow's memory: Python's own holds one text and what is given back."""
+    texts = pa.array(["word " * 2000] * 1000 + [None])
+    bpe.digests(codec, texts[:1])
+    tracemalloc.start()
+    got = bpe.digests(codec, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < texts.nbytes / 5
+    assert got[0].as_py() == dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), codec.digest("word " * 2000))) and got[1000]["n_tokens"].as_py() == 0
+
+
 # 10
 
 
