@@ -22,6 +22,8 @@ COVER_TYPES = {"jpg": "image/jpeg", "png": "image/png"}
 #: The markup below is fixed by the package format.
 HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE html>\n'
 RIGHTS = "All rights remain with the author."
+#: Bytes of entries that are given back together, so that small books do not go one by one.
+HELD_BYTES = 4 << 20
 
 
 def _page(title, body, extra: str = ""):
@@ -188,10 +190,16 @@ def epub_entries(packages: DataFrame) -> DataFrame:
     kind = packages.schema["book_id"].dataType.simpleString()
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, found, held = ["book_id", "entry_no", "name", "stored", "size", "data"], [], 0
         for rows in batches:
             for book, epub in zip(rows["book_id"], rows["epub"]):
                 with zipfile.ZipFile(io.BytesIO(bytes(epub))) as z:
-                    found = [(book, i, x.filename, x.compress_type == zipfile.ZIP_STORED, x.file_size, z.read(x)) for i, x in enumerate(z.infolist())]
-                yield pd.DataFrame(found, columns=["book_id", "entry_no", "name", "stored", "size", "data"])
+                    found += [(book, i, x.filename, x.compress_type == zipfile.ZIP_STORED, x.file_size, z.read(x)) for i, x in enumerate(z.infolist())]
+                    held += sum(x.file_size for x in z.infolist())
+                if held >= HELD_BYTES:
+                    yield pd.DataFrame(found, columns=names)
+                    found, held = [], 0
+        if found:
+            yield pd.DataFrame(found, columns=names)
 
     return packages.select("book_id", "epub").mapInPandas(unpack, f"book_id {kind}, entry_no long, name string, stored boolean, size long, data binary")

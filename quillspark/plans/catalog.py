@@ -21,7 +21,7 @@ from quillspark.plans.books import BOILERPLATE, Curation, books, document_books
 from quillspark.plans.oracle import merged, sql
 from quillspark.sources import encodings, files
 from quillspark.streaming.curate import batch_folders, curate_stream, first_seen, stream_books
-from quillspark.tables import shared_dir
+from quillspark.tables import materialize, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -954,7 +954,7 @@ def opf_manifest(c):
 
 
 def _parts(c) -> DataFrame:
-    sections_ = export.sections(c.chapters, c.volumes)
+    sections_ = materialize(export.sections(c.chapters, c.volumes))  # five kinds of parts read it
     texts = [export.css_part(c.books), export.chapter_pages(sections_, c.paragraphs), export.volume_pages(sections_), export.nav_toc(sections_)]
     texts += [export.ncx_toc(sections_, c.books).drop("depth"), export.opf_manifest(sections_, _overlaid(c), MODIFIED)]
     return export.epub_parts(texts)

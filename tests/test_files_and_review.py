@@ -179,3 +179,9 @@ def test_streamed_books_are_split_as_they_would_be_in_one_run(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     found, whole = (catalog.QUERIES[q](spark, str(tmp_path)) for q in ("streamed_paragraphs", "materialize_paragraphs"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.select(*found.columns).collect()))
+
+
+def test_reading_order_is_made_once_for_a_package(spark, tmp_path):
+    spark.createDataFrame([(2, 0, "user", "a text")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    plan = catalog.QUERIES["epub_files"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_%04d.xhtml" not in plan
