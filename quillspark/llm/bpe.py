@@ -4,16 +4,17 @@ A pre-token's merges run on a rank queue: one bucket per merge rank holds positi
 two-level bitmap marks the ranks whose buckets hold something, find-first-set gives the next rank, and
 positions that an earlier merge has changed are skipped. A pre-token of n bytes takes time in proportion to
 n, which also suits very long ones. The ids of short pre-tokens are remembered by each
-worker in two bounded generations of a cache.
+worker, packed, in two generations of a cache that is bounded in bytes.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
-from itertools import chain
+from sys import getsizeof
 
 import pandas as pd
 import pyarrow as pa
@@ -27,7 +28,9 @@ SPLIT_BITS = 10
 MASK = (1 << SPLIT_BITS) - 1
 #: Single bits of both levels, so that a merge makes no new numbers for them; ranks have to be below 2 ** (2 * SPLIT_BITS).
 BIT = [1 << k for k in range(1 << SPLIT_BITS)]
-CACHE_ROWS = 260_000
+#: Bytes of keys, packed ids and places in the dict that a generation of the cache may take: some 260,000 pre-tokens of usual length.
+CACHE_BYTES = 40_000_000
+CACHE_PLACE_BYTES = 48
 CACHE_KEY_CHARS = 64
 
 
@@ -113,38 +116,45 @@ class Codec:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.tokens = {r: t for t, r in ranks.items()}
         self.digits = {r: str(r) for r in ranks.values()}
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.young_bytes = 0
 
-    def match(self, text: str) -> tuple[int, ...]:
-        """The ids of one match of the pattern, remembered if short."""
+    def match(self, text: str) -> bytes:
+        """The packed ids of one match of the pattern, remembered if short."""
         found = self.young.get(text)
         if found is None:
-            found = self.old.get(text)
+            found = self.old.pop(text, None)
             if found is None:
-                found = tuple(merge(text.encode("utf-8", "replace"), self.ranks))
+                found = array("I", merge(text.encode("utf-8", "replace"), self.ranks)).tobytes()
             if len(text) <= CACHE_KEY_CHARS:
-                if len(self.young) >= CACHE_ROWS:
-                    self.old, self.young = self.young, {}
+                size = getsizeof(text) + getsizeof(found) + CACHE_PLACE_BYTES
+                if self.young_bytes + size > CACHE_BYTES:
+                    self.old, self.young, self.young_bytes = self.young, {}, 0
                 self.young[text] = found
+                self.young_bytes += size
         return found
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> memoryview:
         """The ids of a text, each match of the pattern on its own."""
         matches = self.split(text)
         found = list(map(self.young.get, matches))
         if None in found:
             match = self.match
             found = [match(m) if f is None else f for m, f in zip(matches, found)]
-        return list(chain.from_iterable(found))
+        return memoryview(b"".join(found)).cast("I")
+
+    def encode(self, text: str) -> list[int]:
+        """The ids of a text as a list."""
+        return self.packed(text).tolist()
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Iterable[int]) -> bytes:
         """The bytes that ids stand for."""
         return b"".join(map(self.tokens.__getitem__, ids))
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, and SHA-256 of the ids' text and of the decoded bytes."""
-        ids = self.encode(text)
+        ids = self.packed(text)
         written = hashlib.sha256(",".join(map(self.digits.__getitem__, ids)).encode()).hexdigest()
         return len(ids), written, hashlib.sha256(self.decode(ids)).hexdigest()
 

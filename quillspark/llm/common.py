@@ -5,13 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.tables import materialize, release, shared_dir  # noqa: F401 - the operators take these from here
 
 stash = materialize
 
+#: Of the texts that go to a Python worker at once. Spark's own limits are 10,000 rows and 64 MB, which the JVM and the worker hold a few times over.
+ARROW_BYTES = "4m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session end at ARROW_BYTES, also after the call, since a plan asks for it when it runs; a limit that was set before stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, ARROW_BYTES)
+
 
 _kept: dict[object, object] = {}
 

@@ -574,6 +574,42 @@ def test_bpe_holds_one_text_of_a_batch(codec):
     assert got[0].as_py() == dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), codec.digest("word " * 2000))) and got[1000]["n_tokens"].as_py() == 0
 
 
+def test_bpe_cache_is_bounded_in_bytes(codec, monkeypatch):
+    """Pre-tokens of many ids take no more memory than others: what a generation holds is counted in bytes."""
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 500_000, raising=False)
+    own = bpe.Codec(codec.ranks, public_tokenizers.PATTERN)
+    rng = random.Random(3)
+    texts = [" ".join("".join(map(chr, rng.choices(range(0x4E00, 0x9FA5), k=60))) for _ in range(300)) for _ in range(10)]
+    ids = own.encode(texts[0])
+    tracemalloc.start()
+    for t in texts:
+        own.encode(t)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 1_300_000
+    assert ids == own.encode(texts[0]) and own.decode(ids) == texts[0].encode() and own.digest(texts[0])[0] == len(ids)
+
+
+def test_pipeline_stages_send_small_batches(spark):
+    """What a worker is given at once is bounded in bytes; 10,000 whole texts were one batch."""
+
+    @F.arrow_udf("long")
+    def batch(texts: pa.Array) -> pa.Array:
+        return pa.array([texts.nbytes] * len(texts), pa.int64())
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df = spark.range(0, 5000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    spark.conf.unset(key)
+    try:
+        corpus_pipeline.byte_bpe(spark, df, "")
+        assert 1 << 20 < df.select(F.max(batch("text"))).first()[0] <= 5 << 20
+        spark.conf.set(key, "1m")
+        common.bound_batches(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
+
+
 # 10
 
 
