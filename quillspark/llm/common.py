@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.tables import materialize, release, shared_dir  # noqa: F401 - the operators take these from here
@@ -79,14 +79,14 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(heads)
 
 
-def spread_buckets(df: DataFrame, limit: int) -> DataFrame:
-    """Split buckets of over `limit` rows into pairs of tiles.
+def spread_buckets(df: DataFrame, limit: int, weight: Column | None = None) -> DataFrame:
+    """Split buckets of over `limit` rows, or of a sum of weights over it, into pairs of tiles.
 
     df has the columns bucket and salt (a hash of what makes the row). A bucket of s tiles becomes
     s * (s + 1) / 2 groups (bucket, lo, hi): a row of tile t goes to each group that names t, so that every
     pair of rows meets in exactly one group where the two tiles differ, and in (t, t) where they don't.
     """
-    sizes = df.groupBy("bucket").count().where(F.col("count") > limit)
+    sizes = df.groupBy("bucket").agg((F.count("*") if weight is None else F.sum(weight)).alias("count")).where(F.col("count") > limit)
     sizes = sizes.select("bucket", F.ceil(F.col("count") / limit).cast("int").alias("tiles"))
     tiled = df.join(sizes, "bucket", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     tiled = tiled.withColumn("tile", F.pmod("salt", F.col("tiles").cast("bigint")).cast("int"))

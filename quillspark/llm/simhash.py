@@ -6,7 +6,8 @@ in at least one of r + 1 blocks of bits, so tiles are only drawn from fingerprin
 bucket of a block, and the work grows with the input rather than with its square.
 
 Similarities of 0.8 or more need some 20 bits, for which 64 bits hold no selective blocks: there, tiles are drawn from
-texts that share a band of minimum hashes, and pairs within the radius are verified by their sets of shingles.
+texts that share a band of minimum hashes, and pairs within the radius are verified by their sets of shingles in the
+task that finds them, so that rows grow with the texts of a group and not with their pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ WORDS_AT_ONCE = 1 << 16
 TILE = 512
 #: Minimum hashes: a pair at similarity 0.8 shares none of 24 bands of 4 with chance 0.000003.
 BANDS, BAND_ROWS = 24, 4
+#: What a candidate weighs beside its shingles where sets are dealt to tasks, and shingles that one text is compared with at once.
+SET_WEIGHT, SHINGLES_AT_ONCE = 256, 1 << 19
 #: Up to so many ids are broadcast to the documents, whose texts are then not shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -176,6 +179,44 @@ def near_pairs(rows: pd.DataFrame, radius: int, across: bool, star: bool) -> pd.
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
+def alike_links(rows: pd.DataFrame, radius: int, least: float, across: bool) -> pd.DataFrame:
+    """Links (a, b) that join what candidate pairs of a similarity of `least` or more link: every member with its smallest.
+
+    Candidates are of one group, share a band, and are within the radius; across: of different tiles too. A pair that earlier
+    links have joined is not looked at again.
+    """
+    rows = rows.sort_values(["group", "id"])
+    ids, group, tile, sets = (rows[c].to_numpy() for c in ("id", "group", "tile", "set"))
+    fps, bands, label = rows["fp"].to_numpy().view(np.uint64), np.stack(rows["bands"].to_numpy()), np.arange(len(rows))
+    sizes = np.fromiter(map(len, sets), np.int64, len(rows))
+    starts, ends = np.cumsum(sizes) - sizes, np.searchsorted(group, group, side="right")
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    own = np.zeros(len(codes), bool)  # by code: whether the text at hand has it
+    for i, end in enumerate(ends):
+        y = slice(i + 1, end)
+        near = (label[y] != label[i]) & (np.bitwise_count(fps[y] ^ fps[i]) <= radius)
+        near &= np.minimum(sizes[y], sizes[i]) >= least * np.maximum(sizes[y], sizes[i])
+        if across:
+            near &= tile[y] != tile[i]
+        near = np.nonzero(near)[0] + i + 1
+        near = near[(bands[near] == bands[i]).any(axis=1)]
+        if not len(near):
+            continue
+        mine = codes[starts[i] : starts[i] + sizes[i]]
+        own[mine] = True
+        at_once = max(1, SHINGLES_AT_ONCE // max(1, len(mine)))
+        for start in range(0, len(near), at_once):
+            j = near[start : start + at_once]
+            first = np.cumsum(sizes[j]) - sizes[j]
+            places = np.arange(sizes[j].sum()) + np.repeat(starts[j] - first, sizes[j])
+            both = np.add.reduceat(own[codes[places]], first, dtype=np.int64) if len(mine) else np.zeros(len(j), np.int64)
+            j = j[both >= least * (len(mine) + sizes[j] - both)]
+            label = merge_links(label, np.full(len(j), i), j)
+        own[mine] = False
+    moved = np.nonzero(label != np.arange(len(rows)))[0]
+    return pd.DataFrame({"a": ids[label[moved]], "b": ids[moved]})
+
+
 def described_texts(docs: DataFrame, width: int) -> DataFrame:
     """(id, h1, h2, low, fp, bands) of the different texts of docs (doc_id, text), written out: low is the smallest doc_id.
 
@@ -198,10 +239,11 @@ def text_name() -> list[Column]:
     return [F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2")]
 
 
-def similar_links(docs: DataFrame, texts: DataFrame, width: int, radius: int, least: float, split_rows: int = 8192) -> DataFrame:
+def similar_links(docs: DataFrame, texts: DataFrame, width: int, radius: int, least: float, split_rows: int = 8192, split_weight: int = 1 << 20) -> DataFrame:
     """Links (a, b) among described texts whose components are those of all candidate pairs of a similarity of `least` or more.
 
-    First each candidate is verified against one other of its group, then every candidate pair that those links leave apart.
+    Candidates are first joined to groups by links that grow with their number; sets then meet by group and tile, where every
+    candidate pair is verified. Pairs that fail are never rows.
     """
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,34 +252,33 @@ def similar_links(docs: DataFrame, texts: DataFrame, width: int, radius: int, le
                 part = rows.iloc[start : start + 256]
                 yield pd.DataFrame({"id": part["id"], "set": [shingle_hashes(t, width).view(np.int64) for t in part["text"]]})
 
-    def alike(left: str, right: str) -> Column:
-        both = F.size(F.array_intersect(left, right))
-        every = F.size(left) + F.size(right) - both
-        return (every == 0) | (both >= F.lit(least) * every)
+    def star(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return near_pairs(rows, radius, key[1] != key[2], True)
+
+    def verified(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return alike_links(rows, radius, least, key[1] != key[2])
 
     entered = texts.select("id", "fp", F.explode("bands").alias("key"))
     shared = entered.groupBy("key").count().where("count > 1").select("key")
-    entered = stash(entered.join(shared, "key"))
+    entered = stash(entered.join(shared, "key").withColumn("label", F.col("id")))
     buckets = max(1, entered.count() // 2048)
-    few = stash(texts.select("id", "h1", "h2").join(entered.select("id").distinct(), "id", "left_semi"))
-    named = docs.select(*text_name(), "text").join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, ["h1", "h2"])
-    sets = stash(named.select("id", "text").mapInPandas(shingles, "id long, set array<long>").dropDuplicates(["id"]))
-
-    def round_of(labelled: DataFrame, star: bool) -> DataFrame:
-        def pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            return near_pairs(rows, radius, key[1] != key[2], star)
-
-        spread = labelled.withColumns({"bucket": F.pmod("key", F.lit(buckets)), "salt": F.xxhash64("id")})
-        spread = spread_buckets(spread, split_rows)
-        met = stash(spread.groupBy("bucket", "lo", "hi").applyInPandas(pairs, "a long, b long").distinct())
-        met = met.join(sets.select(F.col("id").alias("a"), F.col("set").alias("left")), "a")
-        met = met.join(sets.select(F.col("id").alias("b"), F.col("set").alias("right")), "b")
-        return stash(met.where(alike("left", "right")).select("a", "b"))
-
-    first = round_of(entered.withColumn("label", F.col("id")), True)
-    heads = components(first).withColumnRenamed("node", "id")
-    labelled = entered.join(heads, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    return first.union(round_of(stash(labelled), False))
+    spread = entered.withColumns({"bucket": F.pmod("key", F.lit(buckets)), "salt": F.xxhash64("id")})
+    spread = spread_buckets(spread, split_rows)
+    met = stash(spread.groupBy("bucket", "lo", "hi").applyInPandas(star, "a long, b long").distinct())
+    groups = components(met).withColumnsRenamed({"node": "id", "component": "group"})
+    few = stash(texts.join(groups, "id").select("id", "h1", "h2", "fp", "bands", "group"))
+    release(entered, met)
+    names = few.select("id", "h1", "h2")
+    named = docs.select(*text_name(), "text").join(F.broadcast(names) if few.count() <= BROADCAST_IDS else names, ["h1", "h2"])
+    sets = named.select("id", "text").mapInPandas(shingles, "id long, set array<long>").dropDuplicates(["id"])
+    weight = (F.size("set") + SET_WEIGHT).cast("long").alias("weight")
+    sets = stash(few.select("id", "fp", "bands", "group").join(sets, "id").select("*", weight))
+    buckets = max(1, 4 * (sets.agg(F.sum("weight")).first()[0] or 0) // split_weight)
+    spread = sets.withColumns({"bucket": F.pmod(F.xxhash64("group"), F.lit(buckets)), "salt": F.xxhash64("id")})
+    spread = spread_buckets(spread, split_weight, F.col("weight"))
+    found = stash(spread.groupBy("bucket", "lo", "hi").applyInPandas(verified, "a long, b long"))
+    release(few, sets)
+    return found
 
 
 def similar_documents(docs: DataFrame, width: int = 5, radius: int = 20, least: float = 0.8) -> DataFrame:

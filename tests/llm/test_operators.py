@@ -125,6 +125,52 @@ def test_similar_documents(spark, odd):
     assert simhash.keep_one(odd.limit(0), 5, 20, 0.8).count() == 0
 
 
+def test_similar_documents_make_no_rows_of_pairs(spark, monkeypatch):
+    """What is written grows with the near copies of a text, also if most are under the least similarity, and not with their pairs."""
+    rng = random.Random(8)
+    base = words(rng, 400).split()
+    texts = [" ".join(rng.choice(WORDS) if rng.random() < p else w for w in base) for p in (0.01, 0.03, 0.04, 0.05) for _ in range(75)]
+    made = []
+
+    def counted(table):
+        table = common.stash(table)
+        made.append(table.count())
+        return table
+
+    monkeypatch.setattr(simhash, "stash", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df, 5, 64, 0.8).collect()}
+    assert max(made) <= simhash.BANDS * len(texts)
+    sets = [simhash.shingle_hashes(t, 5) for t in texts]
+    bands = np.stack([simhash.band_keys(x) for x in sets])
+    held = np.stack([np.isin(np.unique(np.concatenate(sets)), x) for x in sets]).astype(np.int64)
+    both, size = held @ held.T, held.sum(axis=1)
+    linked = (5 * both >= 4 * (size[:, None] + size - both)) & (bands[:, None] == bands).any(axis=2)
+    label = simhash.merge_links(np.arange(len(texts)), *np.nonzero(linked))
+    assert [got[i] for i in range(len(texts))] == label.tolist() and 20 < len(set(label)) < len(texts) - 20
+
+
+def test_alike_links_in_tiles(monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 300
+    sets = [np.unique(rng.integers(0, 14, k)) for k in rng.integers(0, 30, n)]
+    rows = pd.DataFrame({"id": np.arange(n) + 50, "group": rng.integers(0, 3, n), "tile": rng.integers(0, 2, n), "fp": rng.integers(0, 1 << 8, n), "bands": list(rng.integers(0, 4, (n, 3))), "set": sets})
+    monkeypatch.setattr(simhash, "SHINGLES_AT_ONCE", 40)
+    fp, group, tile, bands = (rows[c].tolist() for c in ("fp", "group", "tile", "bands"))
+    found = [set(x.tolist()) for x in sets]
+
+    def linked(i, j, across):
+        near = group[i] == group[j] and (fp[i] ^ fp[j]).bit_count() <= 3 and (bands[i] == bands[j]).any() and not (across and tile[i] == tile[j])
+        return near and len(found[i] & found[j]) >= 0.8 * len(found[i] | found[j])
+
+    for across in (False, True):
+        label = brute_components(n, lambda i, j: i == j or linked(i, j, across))  # noqa: B023
+        got = simhash.alike_links(rows.sample(frac=1, random_state=1), 3, 0.8, across)
+        assert len(got) == n - len(set(label))
+        joined = simhash.merge_links(np.arange(n), got["a"].to_numpy() - 50, got["b"].to_numpy() - 50)
+        assert joined.tolist() == label and 20 < len(set(label)) < n - 20
+
+
 def test_near_pairs_in_tiles():
     rng = np.random.default_rng(4)
     n = 1500
