@@ -608,6 +608,20 @@ def test_worker_keeps_one_operators_tables():
     assert langid.profiler() is langid.profiler() and gone() is None
 
 
+def test_bpe_merges_new_words_of_many_texts_at_once(codec, monkeypatch):
+    """A queue for each new word took most of the time; one takes those of several texts, with the ids of each as if alone."""
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    own = bpe.Codec(codec.ranks, public_tokenizers.PATTERN)
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("aathernionßÿ日") for _ in range(rng.randint(1, 15))) for _ in range(40)) for _ in range(100)] + ["", "a" * 40_000 + " " + "aab" * 9]
+    sizes, merge = [], own.merges.merge
+    monkeypatch.setattr(own.merges, "merge", lambda pieces: sizes.append(len(pieces)) or merge(pieces))
+    assert [x.tolist() for x in own.packed(texts)] == [library.encode_ordinary(t) for t in texts]
+    assert sum(sizes) > 1500 and len(sizes) < sum(sizes) / 50
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 2_000)
+    assert [x.tolist() for x in own.packed(texts)] == [library.encode_ordinary(t) for t in texts]
+
+
 def test_bpe_holds_one_text_of_a_batch(codec):
     """A batch stays in Arrow's memory: Python's own holds one text and what is given back."""
     texts = pa.array(["word " * 2000] * 1000 + [None])
