@@ -1,25 +1,42 @@
 """Near-duplicate embeddings by Euclidean p-stable hashing.
 
 Unit vectors are projected on random directions, shifted and quantised; several such values make a bucket in each
-of many tables. Vectors that share a bucket are compared exactly, in double precision. A pair counts in the
-first table whose bucket it shares, so links are counted once although only sums and spanning links are emitted.
+of many tables. Vectors that share a bucket are candidates where a byte a component can't rule them out, and what candidates
+connect is compared exactly, in double precision, every pair once. A task gives sums and spanning links, never pairs.
+
+What tables deal out goes with their number, which grows with the input: they are gone through a few at a time, and
+the shuffle files of each round are deleted before the next.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillspark.llm.common import components, merge_links, spread_buckets, stash
+from quillspark.llm.common import components, merge_links, release, shuffles_dropped, spread_buckets, stash
 
 TILE = 512
-#: So many rows of buckets are compared in one call, or one split bucket.
+#: So many rows are compared in one call, or one split group.
 GROUP_ROWS = 8192
+#: So many rows of buckets are looked through in one call, but that a bucket is not split.
+SPOTS = 32768
+#: Buckets of more rows are compared by matrix products.
+SMALL = 32
+#: Tables of a round: as many as deal out so many bytes, LEAST_TABLES at least.
+ROUND_BYTES = 256 << 20
+LEAST_TABLES = 8
+#: Bytes of rows that a task makes at once.
+HELD_BYTES = 16 << 20
+#: Most bytes of vectors in a tile of a group that is split.
+TILE_BYTES = 32 << 20
 QUANTUM = 2.0
 MISS = 0.02
 
@@ -39,72 +56,157 @@ def plan(rows: int, least: float, quantum: float = QUANTUM, miss: float = MISS)
     return width, math.ceil(math.log(miss) / math.log(1 - near**width))
 
 
-def usable(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
-    """vectors with u, the unit vector as array<double>, for those that are finite and not zero; the others go."""
-    v = F.transform(embedding, lambda x: x.cast("double"))
-    fine = F.col("v").isNotNull() & (F.size("v") > 0)
-    fine &= ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    top = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    good = vectors.withColumn("v", v).where(fine).withColumn("__top", top).where("__top > 0")
-    scaled = good.withColumn("v", F.transform("v", lambda x: x / F.col("__top")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return scaled.withColumn("__n", norm).withColumn("u", F.transform("v", lambda x: x / F.col("__n"))).drop("v", "__top", "__n")
+def unit(x: np.ndarray) -> np.ndarray:
+    """The rows of x, which are finite and not zero, as unit vectors in double precision, the same in whatever batch a row comes."""
+    v = x.astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt((v * v).cumsum(axis=1)[:, -1:]) + 0.0
+
+
+def _kind(vectors: DataFrame) -> str:
+    """What the components of vectors are, or are made to be."""
+    return "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
+
+
+def told(vectors: DataFrame, whole: bool) -> DataFrame:
+    """(vec_id, h, and if whole x): 128 bits of hash of the unit vector, null for rows that are not finite or zero; x holds the bytes of the vector."""
+    kind = "array<float>" if _kind(vectors) == "<f4" else "array<double>"
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("embedding")
+            values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            sizes = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, np.diff(at))
+            h: list[bytes | None] = [None] * len(sizes)
+            raw: list[bytes | None] = [None] * len(sizes)
+            for size in np.unique(sizes[sizes > 0]):
+                own = np.flatnonzero(sizes == size)
+                step = max(1, HELD_BYTES // (8 * int(size)))
+                for rows in (own[i : i + step] for i in range(0, len(own), step)):
+                    x = values[at[rows][:, None] + np.arange(size)]
+                    good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+                    for r, one, u in zip(rows[good], x[good], unit(x[good])):
+                        h[r] = hashlib.blake2b(u.tobytes(), digest_size=16).digest()
+                        raw[r] = one.tobytes() if whole else None
+            out = {"vec_id": batch.column("vec_id"), "h": pa.array(h, pa.binary())}
+            yield pa.RecordBatch.from_pydict(out | ({"x": pa.array(raw, pa.binary())} if whole else {}))
+
+    fields = [vectors.schema["vec_id"], T.StructField("h", T.BinaryType()), T.StructField("x", T.BinaryType())]
+    return vectors.select("vec_id", F.col("embedding").cast(kind)).mapInArrow(each, T.StructType(fields[: 2 + whole]))
+
 
+def spot_type(size: int) -> np.dtype:
+    """A vector of this size in a bucket: a byte for each component, what they are multiples of, and the length of what they leave."""
+    return np.dtype([("key", "<i8"), ("id", "<i8"), ("step", "<f4"), ("rest", "<f4"), ("q", "i1", (size,))])
 
-def hashed(units: DataFrame, width: int, tables: int, quantum: float = QUANTUM, seed: int = 5) -> DataFrame:
-    """(id, u, keys array<long>): every unit vector's bucket in each table."""
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def spots(nodes: DataFrame, kind: str, width: int, tables: int, first: int, last: int, parts: int, seed: int) -> DataFrame:
+    """(part, size, rows): the vectors of nodes (id, x) in their buckets of the tables from first to last, dealt to parts by bucket."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = last - first
         made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        mix = np.random.default_rng(seed).integers(1, 1 << 62, (tables, width), dtype=np.int64) | 1
-        for rows in batches:
-            keys: list[np.ndarray | None] = [None] * len(rows)
-            sizes = rows["u"].map(len).to_numpy()
-            for size in np.unique(sizes):
+        # sums of small whole numbers times these are exact
+        mix = np.random.default_rng(seed).integers(1, 1 << 44, (tables, width), dtype=np.int64)[first:last].astype(np.float64)
+        for batch in batches:
+            ids, raw = batch.column("id").to_numpy(), batch.column("x").to_pylist()
+            sizes = np.array([len(x) for x in raw]) // np.dtype(kind).itemsize
+            for size in map(int, np.unique(sizes)):
                 if size not in made:
-                    rng = np.random.default_rng([seed, int(size)])
-                    made[size] = rng.standard_normal((size, tables * width)), rng.uniform(0, quantum, tables * width)
-                at = np.nonzero(sizes == size)[0]
-                x = np.stack(rows["u"].to_numpy()[at])
-                q = np.floor((x @ made[size][0] + made[size][1]) / quantum).astype(np.int64).reshape(len(at), tables, width)
-                with np.errstate(over="ignore"):
-                    h = (q * mix).sum(axis=2) * 31 + int(size)
-                    h ^= h >> 29
-                for k, one in zip(at, h):
-                    keys[k] = one
-            yield pd.DataFrame({"id": rows["id"], "u": rows["u"], "keys": keys})
+                    rng = np.random.default_rng([seed, size])
+                    ways, shifts = rng.standard_normal((size, tables * width)), rng.uniform(0, QUANTUM, tables * width)
+                    cut = slice(first * width, last * width)
+                    made[size] = (ways[:, cut] / QUANTUM).astype(np.float32), (shifts[cut] / QUANTUM).astype(np.float32)
+                kept = spot_type(size)
+                own = np.flatnonzero(sizes == size)
+                step = max(1, HELD_BYTES // (k * (kept.itemsize + 8 * width)))
+                for rows in (own[i : i + step] for i in range(0, len(own), step)):
+                    u = unit(np.frombuffer(b"".join(raw[r] for r in rows), kind).reshape(len(rows), size))
+                    p = u.astype(np.float32) @ made[size][0]
+                    p += made[size][1]
+                    np.floor(p, out=p)
+                    key = np.einsum("rtw,tw->rt", p.reshape(len(rows), k, width).astype(np.float64), mix).astype(np.int64)
+                    with np.errstate(over="ignore"):
+                        key = (key * 31 + (np.arange(first, last) << 8) + size) * -7046029254386353131
+                    key ^= (key >> 31) & 0x1FFFFFFFF
+                    grain = np.abs(u).max(axis=1) / 127
+                    q = np.rint(u / grain[:, None])
+                    grain = grain.astype(np.float32)
+                    rest = np.sqrt(((u - q * grain[:, None]) ** 2).sum(axis=1)) * (1 + 1e-6)
+                    part = ((key & 0x7FFFFFFFFFFFFFFF) % parts).ravel()
+                    order = np.argsort(part, kind="stable")
+                    row = order // k
+                    out = np.empty(len(order), kept)
+                    out["key"], out["id"], out["step"], out["rest"] = key.ravel()[order], ids[rows][row], grain[row], rest[row]
+                    out["q"] = q.astype(np.int8)[row]
+                    to, at = np.unique(part[order], return_index=True)
+                    blobs = [out[a:b].tobytes() for a, b in zip(at, [*at[1:], len(out)])]
+                    yield pa.RecordBatch.from_pydict({"part": pa.array(to, pa.int64()), "size": pa.array([size] * len(to), pa.int32()), "rows": pa.array(blobs, pa.binary())})
 
-    return units.select("id", "u").mapInPandas(each, "id long, u array<double>, keys array<long>")
+    return nodes.select("id", "x").mapInArrow(each, "part long, size int, rows binary")
 
 
-def compare(rows: pd.DataFrame, table: int, across: bool, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For one bucket: ids that have links, the id that each leads to, and the number of new links, summed over copies.
+def candidates(rows: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of spot_type: ids, and the smallest id that each leads to by links in its bucket, for those that differ.
 
-    A link is new where the pair shares no bucket of an earlier table.
+    Links are all pairs of a bucket whose cosine may be `least`, as far as a byte a component can tell.
     """
-    x, tile = np.stack(rows["u"].to_numpy()), rows["tile"].to_numpy() if across else None
-    ids, copies, keys = rows["id"].to_numpy(), rows["copies"].to_numpy(), None
-    links, label = np.zeros(len(x), np.int64), np.arange(len(x))
-    for a in range(0, len(x), TILE):
-        for b in range(a, len(x), TILE):
-            near = x[a : a + TILE] @ x[b : b + TILE].T >= least
-            if tile is not None:
-                near &= tile[a : a + TILE][:, None] != tile[b : b + TILE][None, :]
-            i, j = np.nonzero(near)
-            i, j = i + a, j + b
-            own = i < j
-            i, j = i[own], j[own]
-            if not len(i):
-                continue
-            label = merge_links(label, i, j)
-            if keys is None:
-                keys = np.stack(rows["keys"].to_numpy())
-            new = np.ones(len(i), bool)
-            for t in range(table):
-                new[new] = keys[i[new], t] != keys[j[new], t]
-            np.add.at(links, i[new], copies[j[new]])
-            np.add.at(links, j[new], copies[i[new]])
-    some = (links > 0) | (label != np.arange(len(x)))
+    order = np.lexsort((rows["id"], rows["key"]))
+    key = rows["key"][order]
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    count = np.diff(np.append(edge, len(key)))
+    rows = rows[order[np.repeat(count > 1, count)]]
+    count = count[count > 1]
+    if not len(count):
+        return rows["id"], rows["id"]
+    rest, x = rows["rest"], rows["q"].astype(np.float32) * rows["step"][:, None]
+    label, left = np.arange(len(rows)), np.repeat(np.cumsum(count), count) - np.arange(len(rows))
+    few = np.repeat(count <= SMALL, count)
+    # what a cosine may be above that of the rounded vectors, and what the sums in single precision may be off
+    fits = lambda near, i, j: near >= least - 1e-4 - rest[i] - rest[j] * (1 + rest[i])
+    links = []
+    for d in range(1, int(count[count <= SMALL].max(initial=0))):
+        i = np.flatnonzero(few & (left > d))
+        i = i[fits(np.einsum("ij,ij->i", x[i], x[i + d]), i, i + d)]
+        links.append((i, i + d))
+    if links:
+        label = merge_links(label, *map(np.concatenate, zip(*links)))
+    for end, n in zip(np.cumsum(count)[count > SMALL], count[count > SMALL]):
+        own = slice(end - n, end)
+        sub, y, r, inner = label[own] - own.start, x[own], rest[own], None
+        for a in range(0, n, TILE):
+            for b in range(a, n, TILE):
+                p, q = slice(a, a + TILE), slice(b, b + TILE)
+                inner = y[p] @ y[q].T
+                i, j = np.nonzero(inner >= least - 1e-4 - r[p][:, None] - r[q][None, :] * (1 + r[p][:, None]))
+                sub = merge_links(sub, i + a, j + b)
+        label[own] = sub + own.start
+    some = label != np.arange(len(rows))
+    return rows["id"][some], rows["id"][label[some]]
+
+
+def compare(rows: pd.DataFrame, kind: str, across: bool, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For one group: ids that have links, the id that each leads to, and the number of links, summed over copies."""
+    ids, copies, tile, sizes = rows["id"].to_numpy(), rows["copies"].to_numpy(), rows["tile"].to_numpy(), rows["x"].map(len).to_numpy()
+    links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    for size in np.unique(sizes):
+        own = np.flatnonzero(sizes == size)
+        x = unit(np.frombuffer(b"".join(rows["x"].to_numpy()[own]), kind).reshape(len(own), -1))
+        for a in range(0, len(own), TILE):
+            for b in range(a, len(own), TILE):
+                p, q = own[a : a + TILE], own[b : b + TILE]
+                near = x[a : a + TILE] @ x[b : b + TILE].T >= least
+                if across:
+                    near &= tile[p][:, None] != tile[q][None, :]
+                if a == b:
+                    near = np.triu(near, 1)
+                if not near.any():
+                    continue
+                links[p] += near @ copies[q]
+                links[q] += copies[p] @ near
+                i, j = np.nonzero(near)
+                label = merge_links(label, p[i], q[j])
+    some = (links > 0) | (label != np.arange(len(ids)))
     return ids[some], ids[label[some]], links[some]
 
 
@@ -113,58 +215,72 @@ def near_duplicates(
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding).
 
-    Pairs that share a bucket link where their cosine is at least `least`, none else. Vectors that are null, empty,
-    zero or hold null or non-finite components link with nothing, and so do vectors of different sizes. Rows
-    with equal directions are compared once and link among themselves. component_id is the smallest
+    Pairs that share a bucket link where their cosine is at least `least`, and so do others of what such pairs connect;
+    none else. Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and so do vectors of
+    different sizes. Rows with equal directions are compared once and link among themselves. component_id is the smallest
     vec_id reached, itself included; a null vec_id never names a component that has others. Other columns are not read.
     """
-    rows = vectors.select("vec_id", "embedding")
-    units = usable(rows).select("vec_id", "u", F.xxhash64(F.lit(1), "u").alias("h1"), F.xxhash64(F.lit(2), "u").alias("h2"))
-    units = stash(units)
-    # equal vectors are one node, named by two independent hashes of 64 bits, and numbered as it is written out
-    nodes = units.groupBy("h1", "h2").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
-    nodes = stash(nodes.withColumn("id", F.monotonically_increasing_id()))
-    n = nodes.count()
+    kind = _kind(vectors)
+    with shuffles_dropped(vectors.sparkSession):
+        named = stash(told(vectors, False))
+        # equal vectors are one node, named by a hash of 128 bits, and numbered as it is written out
+        nodes = told(vectors, True).where("h is not null").groupBy("h")
+        nodes = nodes.agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.min("x").alias("x"))
+        nodes = stash(nodes.withColumn("id", F.monotonically_increasing_id()))
+        n, longest = nodes.agg(F.count("*"), F.coalesce(F.max(F.octet_length("x")), F.lit(1))).first()
+        found = _linked(nodes, kind, n, longest, least, tables, split_rows, seed)
+        sums = found.groupBy("a").agg(F.sum("links").alias("links")).select(F.col("a").alias("id"), "links")
+        heads = components(found.select("a", "b")).withColumnRenamed("node", "id")
+        heads = heads.join(sums, "id", "left").join(nodes.select("id", "h", "low", "copies"), "id")
+        lows = heads.groupBy("component").agg(F.min("low").alias("component_id"))
+        heads = stash(heads.join(lows, "component").select("h", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
+        # what links with no other direction
+        others = nodes.where("copies > 1").select("h", (F.col("copies") - 1).alias("n_links"), F.col("low").alias("component_id"))
+        linked = stash(heads.union(others.join(heads.select("h"), "h", "left_anti")))
+        release(nodes, found, heads)
+    rows = named.join(linked.withColumnRenamed("h", "hash"), F.col("h") == F.col("hash"), "left")
+    rows = rows.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(F.col("hash").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _linked(nodes: DataFrame, kind: str, n: int, longest: int, least: float, tables: int | None, split_rows: int, seed: int) -> DataFrame:
+    """(a, b, links): ids that have links, an id that each leads to, and how many; an id has a row for each group it is compared in."""
     width, planned = plan(n, least, QUANTUM)
     tables = tables or planned
-    one = units.join(nodes.where("low is not null").select("h1", "h2", F.col("low").alias("vec_id"), "id"), ["h1", "h2", "vec_id"])
-    none = units.join(nodes.where("low is null").select("h1", "h2", "id"), ["h1", "h2"]).dropDuplicates(["id"])
-    both = one.select("id", "u").union(none.select("id", "u")).dropDuplicates(["id"])
-    keyed = stash(hashed(both, width, tables, QUANTUM, seed).join(nodes.select("id", "copies"), "id"))
-    spots = keyed.select("id", F.posexplode("keys").alias("t", "key"))
-    spots = spots.select("id", "t", F.xxhash64("t", "key").alias("bucket"))
-    shared = stash(spots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
-    spots = stash(spots.join(shared, "bucket").withColumn("salt", F.xxhash64("id")))
-    shares = max(1, math.ceil(spots.count() / GROUP_ROWS))
-    spread = spread_buckets(spots, split_rows)
-    spread = spread.withColumn("share", F.pmod(F.xxhash64("bucket", "lo", "hi"), F.lit(shares))).join(keyed, "id")
+    a_table = max(1, n) * spot_type(longest // np.dtype(kind).itemsize).itemsize
+    step = max(LEAST_TABLES, ROUND_BYTES // a_table)
+
+    def look(part: pa.Table) -> pa.Table:
+        out, size = [], part.column("size").to_numpy()
+        for one in np.unique(size):
+            blob = b"".join(x.as_py() for x in part.column("rows").filter(pa.array(size == one)))
+            out.append(candidates(np.frombuffer(blob, spot_type(int(one))), least))
+        pairs = pd.DataFrame(dict(zip("ab", map(np.concatenate, zip(*out))))).drop_duplicates()
+        return pa.table({c: pairs[c].to_numpy() for c in "ab"})
+
+    rounds = []
+    for first in range(0, tables, step):
+        last = min(tables, first + step)
+        dealt = spots(nodes, kind, width, tables, first, last, max(1, math.ceil(n * (last - first) / SPOTS)), seed)
+        rounds.append(stash(dealt.groupBy("part").applyInArrow(look, "a long, b long")))
+    edges = rounds[0]
+    for more in rounds[1:]:
+        edges = edges.union(more)
+    heads = stash(components(edges).select(F.col("node").alias("id"), F.col("component").alias("bucket")))
+    release(*rounds)
+    members = stash(nodes.select("id", "copies", "x").join(heads, "id").withColumn("salt", F.xxhash64("id")))
+    # a large group is sixteen tiles, or as many more as keep a tile in bounds
+    most = max(split_rows, TILE_BYTES // longest)
+    spread = spread_buckets(members, F.greatest(F.lit(split_rows), F.least(F.lit(most), F.ceil(F.col("count") / 16))))
+    shares = max(1, math.ceil(members.count() / GROUP_ROWS))
+    spread = spread.withColumn("share", F.pmod(F.xxhash64("bucket", "lo", "hi"), F.lit(shares)))
 
     def links(part: pd.DataFrame) -> pd.DataFrame:
-        out = [compare(rows, int(rows["t"].iloc[0]), lo != hi, least) for (_, lo, hi), rows in part.groupby(["bucket", "lo", "hi"], sort=False)]
+        out = [compare(rows, kind, lo != hi, least) for (_, lo, hi), rows in part.groupby(["bucket", "lo", "hi"], sort=False)]
         a, b, counts = (np.concatenate(x) for x in zip(*out))
         return pd.DataFrame({"a": a, "b": b, "links": counts})
 
-    spread = spread.select("share", "bucket", "lo", "hi", "t", "tile", "id", "u", "keys", "copies")
-    found = stash(spread.groupBy("share").applyInPandas(links, "a long, b long, links long"))
-    sums = found.groupBy("a").agg(F.sum("links").alias("links")).select(F.col("a").alias("id"), "links")
-    heads = components(found.select("a", "b")).withColumnRenamed("node", "id")
-    named = nodes.join(sums, "id", "left").join(heads, "id", "left")
-    named = named.withColumn("head", F.coalesce("component", "id")).drop("component")
-    lows = named.groupBy("head").agg(F.min("low").alias("component_id"))
-    named = stash(
-        named.join(lows, "head").select(
-            "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
-        )
-    )
-    linked = units.select("vec_id", "h1", "h2").join(named, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
-    alone = usable_not(rows).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-
-
-def usable_not(vectors: DataFrame) -> DataFrame:
-    """The rows that usable() leaves out."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.where(
-        F.col("embedding").isNull() | (F.size("embedding") == 0) | odd | ~F.exists(v, lambda x: F.coalesce(x != 0, F.lit(True)))
-    )
+    found = spread.select("share", "bucket", "lo", "hi", "tile", "id", "copies", "x")
+    found = stash(found.groupBy("share").applyInPandas(links, "a long, b long, links long"))
+    release(heads, members)
+    return found

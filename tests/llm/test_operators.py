@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
+import time
 import tracemalloc
 import weakref
 import zlib
@@ -569,6 +571,30 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_hold_less_disk_than_four_times_the_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((3000, 64)).astype(np.float32)
+    x[1500:1600] = x[:100] + 0.01
+    df = common.stash(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
+    shared = common.shared_dir(spark).removeprefix("file://")
+    folders = [shared, *map(str, spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())]
+    size = lambda path: os.path.getsize(path) if os.path.exists(path) else 0
+    held = lambda: sum(size(f"{d}/{f}") for top in folders for d, _, files in os.walk(top) for f in files if d.startswith(shared) or f.startswith("shuffle_"))
+    before, seen = held(), []
+
+    def watched(table):
+        out = common.materialize(table)
+        time.sleep(0.3)
+        seen.append(held() - before)
+        return out
+
+    monkeypatch.setattr(embeddings, "stash", watched)
+    monkeypatch.setattr(embeddings, "ROUND_BYTES", 0, raising=False)
+    got = table(embeddings.near_duplicates(df), "vec_id")
+    assert max(seen) < 4 * x.nbytes
+    assert [i for i in range(3000) if got[i]["n_links"]] == [*range(100), *range(1500, 1600)]
+
+
 # 9
 
 
