@@ -2,14 +2,16 @@
 
 import io
 import zipfile
+from pathlib import Path
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import export, metadata, review
 from quillspark.plans import catalog
-from quillspark.plans.books import BOILERPLATE, Curation
+from quillspark.plans.books import BOILERPLATE, Curation, books
 from quillspark.sources import files
 from quillspark.streaming.curate import batch_folders, curate_stream, first_seen, stream_books
 
@@ -181,6 +183,34 @@ def test_streamed_books_are_split_as_they_would_be_in_one_run(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.select(*found.columns).collect()))
 
 
+def test_stream_takes_many_files_in_several_batches(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(5):
+        (tmp_path / "in" / f"{k}.txt").write_text(f"第一章 起\n正文{k}\n")
+    seen = {}
+    sink = lambda name, df, n: seen.setdefault(n, []).extend(r["text"] for r in df.collect() if name == "paragraphs")
+    curate_stream(first_seen(stream_books(spark, str(tmp_path / "in"), batch_files=3)), sink, str(tmp_path / "check")).awaitTermination(120)
+    assert sorted(map(len, seen.values())) == [2, 3] and sorted(sum(seen.values(), [])) == [f"正文{k}" for k in range(5)]
+    assert spark.conf.get("spark.sql.files.maxPartitionNum", None) is None
+
+
+def test_files_of_a_step_lie_in_one_folder(spark, tmp_path, monkeypatch):
+    rows = [(b, 0, "user", f"text {b}\n") for b in range(30)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    asked = []
+    monkeypatch.setattr(catalog, "stream_books", lambda spark, path: asked.append(path))
+    monkeypatch.setattr(catalog, "first_seen", lambda raw: raw)
+    monkeypatch.setattr(catalog, "curate_stream", lambda *args: type("Run", (), {"awaitTermination": lambda self: None})())
+    with pytest.raises(AnalysisException):  # nothing was curated
+        catalog.QUERIES["streamed_paragraphs"](spark, str(tmp_path))
+    texts = {r["book_id"]: r["source_text"] for r in books(spark, str(tmp_path)).collect()}
+    for k in range(3):
+        own = list(Path(asked[0].removeprefix("file://"), f"step-{k}").iterdir())
+        assert not any(x.is_dir() for x in own)
+        want = [t for b, t in texts.items() if b % 3 == k or k == 1 and b % 6 == 0]
+        assert sorted(x.read_text() for x in own if x.suffix == ".txt" and x.stat().st_size) == sorted(want)
+
+
 def test_reading_order_is_made_once_for_a_package(spark, tmp_path):
     spark.createDataFrame([(2, 0, "user", "a text")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     plan = catalog.QUERIES["epub_files"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
